@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import licenses, quality, urls
+from quillgraph.llm import bpe, decontaminate, licenses, quality, sharding, urls
 
 
 def queries() -> dict:
     return {
         "op1_license_scans": licenses.op1_license_scans,
+        "op3_decontamination": decontaminate.op3_decontamination,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_url_filters": urls.op5_url_filters,
+        "op6_byte_bpe": bpe.op6_byte_bpe,
+        "op9_sharding": sharding.op9_sharding,
     }
 
 
