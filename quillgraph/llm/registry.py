@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, decontaminate, licenses, quality, sharding, urls
+from quillgraph.llm import bpe, decontaminate, licenses, quality, sharding, toxicity, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_url_filters": urls.op5_url_filters,
         "op6_byte_bpe": bpe.op6_byte_bpe,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_sharding": sharding.op9_sharding,
     }
 
