@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, decontaminate, licenses, quality, sharding, toxicity, urls
+from quillgraph.llm import bpe, decontaminate, licenses, quality, sharding, substring_dedup, suffix_dedup, toxicity, urls
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
         "op5_url_filters": urls.op5_url_filters,
         "op6_byte_bpe": bpe.op6_byte_bpe,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_sharding": sharding.op9_sharding,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
