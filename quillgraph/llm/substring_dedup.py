@@ -93,7 +93,8 @@ class Words(Method):
             anchor[some], name[some] = level.start[at], level.name[at] + np.uint64(number)
             if number < ROUNDS:
                 level, up, down = level.up(number)
-                lo, hi = np.where(some, up[lo], 1), np.where(some, down[hi - 1], 0)
+                last = len(up) - 1
+                lo, hi = np.where(some, up[np.minimum(lo, last)], 1), np.where(some, down[np.clip(hi - 1, 0, last)], 0)
         left = anchor - start >= SIDE
         new = np.ones(len(start), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (left[1:] != left[:-1]) | (text[1:] != text[:-1]) | (name[1:] != name[:-1])
