@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding (6).
 
 Encoding: the merges are compiled into a finite-state transducer over bytes
-whose states are determinised lazily, one more each time a text leaves the known ones.  A sequence of tokens is the BPE encoding
+whose states are determinised lazily, along the paths that texts take often.  A sequence of tokens is the BPE encoding
 of its bytes exactly if each token encodes to itself and each adjacent pair
 encodes to that pair; so each prefix of a text has one last token, and a state
 holds, for every start of a still possible token, the vocabulary-trie node
@@ -35,7 +35,7 @@ from quillgraph.llm.common import documents, table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MAX_VOCAB_BYTES = 64 << 20
 #: Bounds of the memos of one Python worker, which are emptied when full.
-MAX_TRANSITIONS, MAX_PIECES = 400_000, 500_000
+MAX_TRANSITIONS, MAX_PIECES, LAZY = 400_000, 500_000, 8
 #: A text is encoded in runs of so many pieces, or characters.
 PIECES, RUN = 1 << 14, 1 << 16
 #: Ends of a text that are white space, or white space beside white space.
@@ -80,6 +80,7 @@ class Transducer:
             self.ends[node] = i
         self._pair: dict[tuple[int, int], bool] = {}
         self._edges: dict[int, tuple] = {}
+        self._left = 0
         self._reset()
 
     def _reset(self) -> None:
@@ -210,19 +211,23 @@ class Transducer:
         return tuple(out[::-1])
 
     def encode(self, data: bytes) -> tuple[int, ...]:
-        """Follows known transitions, adds one where they end, and finishes without adding more: states
-        grow with the paths that texts take again."""
+        """Follows known transitions and finishes from where they end without adding more, but for every
+        LAZY-th text that leaves them, which adds the transition it lacked: states grow with the paths that
+        texts take often."""
         if (whole := self.ranks.get(data)) is not None:
             return (whole,)
-        if len(self._next) >= MAX_TRANSITIONS:
-            self._reset()
         out: list[int] = []
         state, known = self._start, self._next
         for at, byte in enumerate(data):
             move = known.get(state << 8 | byte)
             if move is None:
-                move = known[state << 8 | byte] = self._step(state, byte)
-                return (*out, *move[1], *self._finish(move[0], data[at + 1 :]))
+                self._left += 1
+                if self._left % LAZY == 0:
+                    if len(known) >= MAX_TRANSITIONS:
+                        self._reset()
+                        return self.encode(data)
+                    known[state << 8 | byte] = self._step(state, byte)
+                return (*out, *self._finish(state, data[at:]))
             state = move[0]
             if move[1]:
                 out += move[1]
