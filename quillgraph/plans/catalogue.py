@@ -1,9 +1,287 @@
-"""Registered queries."""
+"""The registered queries of the rule engine, with their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillgraph.operators import analyses, dfg
+from quillgraph.plans import views
+from quillgraph.plans.compiler import run_rules
+from quillgraph.sources import sinks
+from quillgraph.streaming import incremental
 
-def oracle_sql():
-    return {}
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+FLAGSHIP = """
+rule "big-open" {
+  severity: high
+  message: "a call with arguments under an open condition"
+  find o: Conditional, c: Call where c.has_ancestor(o.id()) and c.same_function(o) and c.arg_count() >= 1
+}
+"""
+
+
+def _flat(findings: DataFrame) -> DataFrame:
+    m = lambda i: F.get("matched_nodes", F.lit(i))
+    return findings.select("rule_id", "severity", "file", m(0).alias("a"), m(1).alias("b"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(run_rules(views.tree(spark, sf_dir), FLAGSHIP))
+
+
+def _add(name: str, sql: str | None = None):
+    def put(f):
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def _rule(name: str, find: str, where_sql: str, extra: str = "", view=views.tree, prefix: str = views.TREE_SQL, a: str = "n.id", b: str = "NULL::BIGINT", table: str = "nodes n", **options):
+    """A query that runs one rule, and its SQL over the same view."""
+    text = f'{extra} rule "{name}" {{ severity: low {find} }}'
+    sql = f"WITH RECURSIVE {prefix} SELECT '{name}' AS rule_id, 'low' AS severity, n.file AS file, {a} AS a, {b} AS b FROM {table} WHERE {where_sql}"
+    _add(name, sql)(lambda spark, sf_dir: _flat(run_rules(view(spark, sf_dir, **options), text)))
+
+
+# scans, comparisons, membership, patterns, predicates
+_rule("scan_kind", "find n: Loop", "kind = 'Loop'")
+_rule("scan_superset", "find n: Stmt where n.kind() != \"Block\"", "kind IN ('Loop', 'Conditional')")
+_rule("scan_raw_type", 'find n: NodeType("Conditional")', "kind = 'Conditional'")
+_rule("pred_compare", "find n: Call where n.arg_count() >= 4 and n.line() < 3", "kind = 'Call' AND argument_count >= 4 AND line < 3")
+_rule("pred_string_order_false", 'find n: Call where n.name() < "z" or n.line() == 2', "kind = 'Call' AND line = 2")
+_rule("pred_in_list", 'find n: Node where n.text() in ["R", "1-URGENT"]', "text IN ('R', '1-URGENT')")
+_rule("pred_in_list_null", 'find n: Decl where n.text() in ["x", null]', "kind = 'MethodDef'")
+_rule("pred_in_regex", "find n: Call where n.name() in /ar.*[ko]$/i", "kind = 'Call' AND regexp_matches(name, '(?i)ar.*[ko]$')")
+_rule("pred_in_substring", 'find n: Call where n.text() in "RA" and n.line() == 1', "kind = 'Call' AND contains('RA', text) AND line = 1")
+_rule("pred_null_ne", 'find n: Node where n.name() != "x" and n.kind() in ["Loop", "File"]', "kind IN ('Loop', 'File')")
+_rule("pred_matches", 'find n: Node where n matches Call { text: "R", line: 2 }', "kind = 'Call' AND text = 'R' AND line = 2")
+_rule(
+    "pred_user_predicate", "find n: Call where flagged(n) and not early(n)", "kind = 'Call' AND text = 'N' AND line >= 4",
+    'pred flagged(c: Call) { c.text() == "N" } pred early(c: Call) = c.line() < 4',
+)
+_rule("pred_undefined_false", "find n: Loop where nothing(n) or n.text() == \"5-LOW\"", "kind = 'Loop' AND text = '5-LOW'")
+_rule("pred_language", "find n: Loop", "kind = 'Loop' AND file IN ('r0', 'r2', 'r4')", view=lambda s, d: (lambda g: g.only(nodes=g.nodes.where("lang = 'c'")))(views.tree(s, d)))
+# trees
+_P = "JOIN nodes p ON n.parent_id = p.id"
+_rule("tree_parent", 'find n: Call where n.parent().kind() == "Loop" and n.parent().parent().kind() == "MethodDef"', "n.kind = 'Call' AND p.kind = 'Loop'", table=f"nodes n {_P}")
+_rule("tree_let", 'find n: Call where let p = n.parent() in p.text() == "2-HIGH" and p.kind() == "Block"', "n.kind = 'Call' AND p.text = '2-HIGH' AND p.kind = 'Block'", table=f"nodes n {_P}")
+_rule("tree_function", 'find n: Call where n.function_id().name() in /7$/', "n.kind = 'Call' AND f.name LIKE '%7'", table="nodes n JOIN nodes f ON n.function_id = f.id")
+_rule("tree_child", 'find n: Stmt where n.child(1).text() == "A"', "n.kind IN ('Loop', 'Conditional', 'Block') AND c.line = 2 AND c.text = 'A'", table="nodes n JOIN nodes c ON c.parent_id = n.id", children=True)
+_rule("tree_arg", 'find n: Stmt where n.arg(0).arg_count() == 7', "n.kind IN ('Loop', 'Conditional', 'Block') AND c.line = 1 AND c.argument_count = 7", table="nodes n JOIN nodes c ON c.parent_id = n.id", children=True)
+_rule("tree_ancestor", 'find n: Call where n.ancestor("namespace").name() == "NATION_03" or n.ancestor("MethodDef").name() in /5$/', "n.kind = 'Call' AND (s.name = 'NATION_03' OR f.name LIKE '%5')", table="nodes n JOIN nodes f ON n.function_id = f.id JOIN nodes s ON f.parent_id = s.id")
+_rule("tree_has_ancestor", 'find n: Call where n.has_ancestor("conditional")', "n.kind = 'Call' AND p.kind = 'Conditional'", table=f"nodes n {_P}")
+_rule("tree_has_descendant", 'find n: MethodDef where not n.has_descendant("loop")', "n.kind = 'MethodDef' AND NOT EXISTS (SELECT 1 FROM nodes p WHERE p.parent_id = n.id AND p.kind = 'Loop')")
+_rule("tree_no_parent", "find n: Node where n.parent() == null", "parent_id IS NULL")
+_add(
+    "tree_depth",
+    f"WITH RECURSIVE {views.TREE_SQL}, c AS (SELECT id, parent_id AS anc, 1 AS depth FROM nodes WHERE parent_id IS NOT NULL UNION ALL "
+    "SELECT c.id, n.parent_id, depth + 1 FROM c JOIN nodes n ON c.anc = n.id WHERE n.parent_id IS NOT NULL) "
+    "SELECT depth::BIGINT AS depth, count(*) AS n FROM c GROUP BY depth",
+)(lambda spark, sf_dir: views.tree(spark, sf_dir).ancestry.groupBy("depth").agg(F.count(F.lit(1)).alias("n")))
+# joins and quantifiers
+_add("join_ancestor", f"WITH RECURSIVE {views.TREE_SQL} SELECT 'big-open' AS rule_id, 'high' AS severity, n.file, o.id AS a, n.id AS b FROM nodes n JOIN nodes o ON n.parent_id = o.id WHERE o.kind = 'Conditional' AND n.argument_count >= 1")(flagship)
+_rule("join_same_function", 'find n: Conditional, l: Loop where n.same_function(l) and n.text() == "1-URGENT" and l.text() == "5-LOW"', "n.kind = 'Conditional' AND l.kind = 'Loop' AND n.text = '1-URGENT' AND l.text = '5-LOW'", b="l.id", table="nodes n JOIN nodes l ON n.function_id = l.function_id")
+_rule("join_identity", "find n: Loop, m: Stmt where n.id() == m.id() and m.line() == 1", "n.kind = 'Loop'", b="n.id")
+_rule("quant_exists", 'find n: MethodDef where exists(l: Loop | l.same_function(n) and l.text() == "5-LOW")', "n.kind = 'MethodDef' AND EXISTS (SELECT 1 FROM nodes l WHERE l.function_id = n.id AND l.kind = 'Loop' AND l.text = '5-LOW')")
+_rule("quant_forall", 'find n: MethodDef where not exists(l: Conditional | l.same_function(n) and l.text() == "5-LOW")', "n.kind = 'MethodDef' AND NOT EXISTS (SELECT 1 FROM nodes l WHERE l.function_id = n.id AND l.kind = 'Conditional' AND l.text = '5-LOW')")
+_rule("quant_or", 'find n: Loop where n.text() == "1-URGENT" or exists(c: Call | c.has_ancestor(n.id()) and c.arg_count() == 7)', "n.kind = 'Loop' AND (n.text = '1-URGENT' OR EXISTS (SELECT 1 FROM nodes c WHERE c.parent_id = n.id AND c.argument_count = 7))")
+_rule("quant_nested", 'find n: MethodDef where exists(l: Loop | l.same_function(n) and exists(c: Call | c.has_ancestor(l.id()) and c.same_function(n) and c.text() == "R"))', "n.kind = 'MethodDef' AND EXISTS (SELECT 1 FROM nodes l JOIN nodes c ON c.parent_id = l.id WHERE l.function_id = n.id AND l.kind = 'Loop' AND c.text = 'R')")
+# control flow
+_FLOW_NODES = views.FLOW_SQL + ", nodes AS (SELECT 'events' AS file, e.event_id AS id, e.t AS name, e.fn, e.k, b.o FROM e JOIN blocks b ON e.fn = b.fn AND e.t = b.t)"
+_PAIR = "nodes n JOIN nodes m ON n.fn = m.fn"
+for _name, _method, _test in (
+    ("cfg_dominates", "dominates", "EXISTS (SELECT 1 FROM dom d WHERE d.fn = n.fn AND d.a = n.o AND d.b = m.o)"),
+    ("cfg_reaches", "cfg_reaches", "EXISTS (SELECT 1 FROM reach d WHERE d.fn = n.fn AND d.a = n.o AND d.b = m.o)"),
+    ("cfg_same_block", "same_block", "n.o = m.o"),
+):
+    _rule(_name, f'find n: Call, m: Call where n.{_method}(m) and n.name() == "click" and n.line() < m.line()', f"n.name = 'click' AND n.k < m.k AND {_test}", view=views.flow, prefix=_FLOW_NODES, b="m.id", table=_PAIR)
+_rule("cfg_exception_path", "find n: Call where n.in_exception_path()", "(n.fn, n.o) IN (SELECT r.fn, r.b FROM reach r JOIN alledges x ON r.fn = x.fn AND r.a = x.dst WHERE x.exc)", view=views.flow, prefix=_FLOW_NODES)
+_rule("cfg_without", 'find n: Call, m: Call, w: Call where n.cfg_reaches_without(m, w) and n.same_function(m) and n.same_function(w) and n.line() == 1 and w.name() == "view" and w.line() == 2',
+    "n.k = 1 AND w.name = 'view' AND w.k = 2 AND EXISTS (SELECT 1 FROM away v WHERE v.fn = n.fn AND v.w = w.o AND v.n = m.o)",
+    view=views.flow, prefix=_FLOW_NODES + ", away AS (SELECT b.fn, b.o AS w, 0::BIGINT AS n FROM blocks b UNION SELECT v.fn, v.w, x.dst FROM away v JOIN edges x ON v.fn = x.fn AND v.n = x.src WHERE x.dst <> v.w)",
+    b="m.id", table="nodes n JOIN nodes m ON n.fn = m.fn JOIN nodes w ON n.fn = w.fn")
+
+
+def _fact(name: str, fact: str, sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return views.flow(spark, sf_dir).flow_facts.where(F.col("fact") == fact).select("function", "a", "b")
+
+    _add(name, f"WITH RECURSIVE {views.FLOW_SQL}{sql}")(run)
+
+
+_END = ", stop AS (SELECT fn, max(o) + 1 AS z FROM blocks GROUP BY fn), back AS (SELECT fn, dst AS src, src AS dst FROM edges UNION SELECT b.fn, s.z, b.o FROM blocks b JOIN stop s ON b.fn = s.fn WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.fn = b.fn AND x.src = b.o)), blive AS (SELECT fn, z AS n FROM stop UNION SELECT v.fn, x.dst FROM blive v JOIN back x ON v.fn = x.fn AND v.n = x.src), bavoid AS (SELECT b.fn, b.o AS w, s.z AS n FROM blocks b JOIN stop s ON b.fn = s.fn UNION SELECT v.fn, v.w, x.dst FROM bavoid v JOIN back x ON v.fn = x.fn AND v.n = x.src WHERE x.dst <> v.w)"
+_fact("cfg_post_dominates", "postdom", _END + " SELECT fn AS \"function\", o AS a, o AS b FROM blocks UNION SELECT l.fn, p.o, l.n FROM blive l JOIN blocks p ON l.fn = p.fn JOIN blocks q ON l.fn = q.fn AND l.n = q.o WHERE EXISTS (SELECT 1 FROM blive x WHERE x.fn = p.fn AND x.n = p.o) AND NOT EXISTS (SELECT 1 FROM bavoid v WHERE v.fn = p.fn AND v.w = p.o AND v.n = l.n)")
+_fact("cfg_frontier", "frontier", " SELECT DISTINCT x.fn AS \"function\", d.a AS a, x.dst AS b FROM edges x JOIN dom d ON d.fn = x.fn AND d.b = x.src WHERE d.a = x.dst OR NOT EXISTS (SELECT 1 FROM dom e2 WHERE e2.fn = x.fn AND e2.a = d.a AND e2.b = x.dst)")
+_fact("cfg_scc", "scc", " SELECT a.fn AS \"function\", a.a AS a, min(a.b) AS b FROM reach a JOIN reach z ON a.fn = z.fn AND a.a = z.b AND a.b = z.a GROUP BY a.fn, a.a")
+_fact("cfg_loop_no_exit", "noexit", ", scc AS (SELECT a.fn, a.a, min(a.b) AS c FROM reach a JOIN reach z ON a.fn = z.fn AND a.a = z.b AND a.b = z.a GROUP BY a.fn, a.a), cyc AS (SELECT DISTINCT x.fn, s.c FROM edges x JOIN scc s ON s.fn = x.fn AND s.a = x.src JOIN scc t ON t.fn = x.fn AND t.a = x.dst WHERE s.c = t.c), ext AS (SELECT DISTINCT x.fn, s.c FROM edges x JOIN scc s ON s.fn = x.fn AND s.a = x.src JOIN scc t ON t.fn = x.fn AND t.a = x.dst WHERE s.c <> t.c) SELECT s.fn AS \"function\", s.a AS a, s.c AS b FROM scc s JOIN cyc USING (fn, c) WHERE NOT EXISTS (SELECT 1 FROM ext WHERE ext.fn = s.fn AND ext.c = s.c)")
+_fact("cfg_in_loop", "loop", ", heads AS (SELECT DISTINCT x.fn, x.dst AS h FROM edges x JOIN dom d ON d.fn = x.fn AND d.a = x.dst AND d.b = x.src), depth AS (SELECT fn, b, count(*) AS n FROM dom GROUP BY fn, b), near AS (SELECT d.fn, d.b, arg_max(d.a, p.n) AS h FROM dom d JOIN heads h ON h.fn = d.fn AND h.h = d.a JOIN depth p ON p.fn = d.fn AND p.b = d.a GROUP BY d.fn, d.b) SELECT n.fn AS \"function\", n.b AS a, n.h AS b FROM near n WHERE EXISTS (SELECT 1 FROM reach r WHERE r.fn = n.fn AND r.a = n.b AND r.b = n.h)")
+# data flow and taint
+_D = f"WITH RECURSIVE {views.DATA_SQL}"
+_R = ", r AS (SELECT s_suppkey * 8 + 5 AS a, s_suppkey * 8 + 5 AS b FROM supplier WHERE s_acctbal < 0 UNION SELECT r.a, e.dst FROM r JOIN edges e ON r.b = e.src{})"
+
+
+@_add("dfg_flows_to", _D + " SELECT DISTINCT src AS a, dst AS b FROM edges WHERE v = 'A'")
+def _(spark, sf_dir):
+    g = views.data(spark, sf_dir)
+    return dfg.flows_to(g.only(dfg_edges=g.table("dfg_edges").where("variable = 'A'"))).select("a", "b")
+
+
+@_add("dfg_reaches", _D + _R.format("") + " SELECT a, b FROM r")
+def _(spark, sf_dir):
+    g = views.data(spark, sf_dir)
+    return dfg.reaches(g, g.nodes.where("kind = 'Call' AND text = 'debt'").select("file", F.col("id").alias("a"))).select("a", "b")
+
+
+@_add("dfg_barrier", _D + _R.format(" WHERE e.dst NOT IN (SELECT p_partkey * 8 + 6 FROM part WHERE p_size > 25)") + " SELECT a, b FROM r")
+def _(spark, sf_dir):
+    g = views.data(spark, sf_dir)
+    wall = g.nodes.where("kind = 'Assign' AND line > 25").select("file", F.col("id").alias("node"))
+    seeds = g.nodes.where("kind = 'Call' AND text = 'debt'").select("file", F.col("id").alias("a"))
+    return dfg.reaches(g, seeds, wall).select("a", "b")
+
+
+@_add("dfg_def_use", _D + " SELECT DISTINCT src AS a FROM edges WHERE v = 'R' AND src IN (SELECT dst FROM edges WHERE v = 'N')")
+def _(spark, sf_dir):
+    g = views.data(spark, sf_dir)
+    return dfg.labelled(g, "src", "R").join(dfg.labelled(g, "dst", "N"), ["file", "a"], "left_semi").select("a")
+
+
+_TAINT = """
+source debt = find n: Call where n.text() == "debt"
+sink buyer = {{ kind: Return, name: "BUILDING" }}
+sanitizer large = find p: Assign where p.line() > 25
+rule "flow" {{ severity: critical taint {{ sources: [debt] sinks: [buyer] sanitizers: [{0}] max_call_depth: {1} }} }}
+"""
+_TAINT_SQL = _D + ", h AS (SELECT s_suppkey * 8 + 5 AS a, s_suppkey * 8 + 5 AS b FROM supplier WHERE s_acctbal < 0 UNION SELECT h.a, e.dst FROM h JOIN edges e ON h.b = e.src WHERE {}) SELECT 'flow' AS rule_id, 'critical' AS severity, 'd' AS file, a, c_custkey * 8 + 2 AS b FROM h JOIN customer ON b = c_custkey * 8 + 2 WHERE c_mktsegment = 'BUILDING'"
+
+
+def _ends(findings: DataFrame) -> DataFrame:
+    last = F.element_at("matched_nodes", -1)
+    return findings.select("rule_id", "severity", "file", F.get("matched_nodes", F.lit(0)).alias("a"), last.alias("b"))
+
+
+_add("taint_basic", _TAINT_SQL.format("true"))(lambda s, d: _ends(run_rules(views.data(s, d), _TAINT.format("", 10))))
+_add("taint_sanitized", _TAINT_SQL.format("e.dst NOT IN (SELECT p_partkey * 8 + 6 FROM part WHERE p_size > 25)"))(lambda s, d: _ends(run_rules(views.data(s, d), _TAINT.format("large", 10))))
+_add("taint_bounded", _TAINT_SQL.format("false"))(lambda s, d: _ends(run_rules(views.data(s, d), _TAINT.format("", 0))))
+
+
+@_add("taint_path", _D + ", t AS (SELECT e1.src AS a, e3.dst AS b, min(e2.dst) AS m FROM edges e1 JOIN edges e2 ON e1.dst = e2.src JOIN edges e3 ON e2.dst = e3.src JOIN supplier ON e1.src = s_suppkey * 8 + 5 JOIN customer ON e3.dst = c_custkey * 8 + 2 WHERE s_acctbal < 0 AND c_mktsegment = 'BUILDING' GROUP BY 1, 2) SELECT a, b, 4::BIGINT AS n, m AS before_last FROM t")
+def _(spark, sf_dir):
+    f = run_rules(views.data(spark, sf_dir), _TAINT.format("", 10))
+    m = F.col("matched_nodes")
+    return f.select(F.get(m, F.lit(0)).alias("a"), F.element_at(m, -1).alias("b"), F.size(m).cast("long").alias("n"), F.element_at(m, -2).alias("before_last"))
+
+
+# analyses
+@_add("ana_alias", _D + ", p AS (SELECT DISTINCT src AS x, dst AS t FROM edges WHERE v = 'R') SELECT DISTINCT m.x AS a, n.x AS b FROM p m JOIN p n ON m.t = n.t AND m.x < n.x")
+def _(spark, sf_dir):
+    return analyses.may_alias(views.data(spark, sf_dir)).select("a", "b")
+
+
+@_add("ana_nullability", _D + ", r AS (SELECT s_suppkey * 8 + 5 AS a, s_suppkey * 8 + 5 AS b, 0 AS h FROM supplier WHERE s_suppkey % 10 = 1 UNION SELECT r.a, e.dst, h + 1 FROM r JOIN edges e ON r.b = e.src WHERE e.v <> 'R') SELECT b AS node, arg_min(a, (h, a)) AS source FROM r GROUP BY b")
+def _(spark, sf_dir):
+    g = views.data(spark, sf_dir)
+    name = F.when((F.col("kind") == "Call") & ((F.col("id") - 5) / 8 % 10 == 1), "malloc").otherwise(F.col("name"))
+    return analyses.nullability(g.only(nodes=g.nodes.withColumn("name", name))).select("node", "source")
+
+
+@_add("ana_callees", "WITH k AS (SELECT p_partkey AS id, p_name AS key, 1 AS r FROM part UNION ALL SELECT p_partkey, p_brand || '.' || p_name, 0 FROM part), c AS (SELECT p_partkey AS n, p_name AS s, CASE WHEN p_size > 25 THEN p_brand || '.' || p_name END AS q FROM part), h AS (SELECT c.n, k.id, CASE WHEN k.key = c.q THEN 0 ELSE 1 END AS ask, k.r FROM c JOIN k ON k.key = c.q OR k.key = c.s) SELECT n AS call_node, arg_min(id, (ask, r, id)) AS target FROM h GROUP BY n")
+def _(spark, sf_dir):
+    p = views.read(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat_ws(".", "p_brand", "p_name").alias("q"), "p_size")
+    calls = p.select(F.lit("f").alias("file"), F.col("p_partkey").alias("call_node"), F.col("p_name").alias("callee_name"), F.when(F.col("p_size") > 25, F.col("q")).alias("qualified_callee"))
+    names = p.select(F.lit("f").alias("file"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("q").alias("qualified_name"))
+    return analyses.resolve_callees(calls, names).select("call_node", "target")
+
+
+@_add("ana_class_closure", "WITH RECURSIVE e AS (SELECT c_custkey AS x, c_custkey // 3 AS y FROM customer WHERE c_custkey >= 3), r AS (SELECT x, y, 1 AS h FROM e UNION ALL SELECT r.x, e.y, h + 1 FROM r JOIN e ON r.y = e.x) SELECT x::VARCHAR AS child, y::VARCHAR AS ancestor, h::BIGINT AS hops FROM r")
+def _(spark, sf_dir):
+    from quillgraph.plans.graph import Graph
+
+    c = views.read(spark, sf_dir, "customer").where("c_custkey >= 3")
+    t = c.select(F.lit("f").alias("file"), F.col("c_custkey").cast("string").alias("child"), F.floor(F.col("c_custkey") / 3).cast("string").alias("parent"))
+    return analyses.class_closure(Graph(spark, {"supertypes": t})).select("child", "ancestor", "hops")
+
+
+@_add("ana_prune", f"WITH RECURSIVE {views.TREE_SQL}, x AS (SELECT n.id AS src, p.parent_id AS dst FROM nodes n JOIN nodes p ON n.parent_id = p.id WHERE n.kind = 'Call'), m AS (SELECT CASE WHEN s.kind = 'Call' THEN s.parent_id ELSE s.id END AS src, CASE WHEN d.kind = 'Call' THEN d.parent_id ELSE d.id END AS dst FROM x JOIN nodes s ON x.src = s.id JOIN nodes d ON x.dst = d.id) SELECT DISTINCT src, dst FROM m WHERE src <> dst")
+def _(spark, sf_dir):
+    g = views.tree(spark, sf_dir)
+    n = g.nodes.where("kind = 'Call'").select("file", F.col("id").alias("src"), F.col("parent_id").alias("id"))
+    edges = n.join(g.nodes.select("file", "id", F.col("parent_id").alias("dst")), ["file", "id"]).select("file", "src", "dst")
+    return analyses.prune(g, edges, "Call").select("src", "dst")
+
+
+@_add("ana_anonymize", f"WITH RECURSIVE {views.TREE_SQL}, f AS (SELECT file, name, row_number() OVER (PARTITION BY file ORDER BY min(id), name) AS k FROM nodes WHERE name IS NOT NULL GROUP BY file, name) SELECT n.id AS id, 'var' || k AS name FROM nodes n JOIN f ON n.file = f.file AND n.name = f.name")
+def _(spark, sf_dir):
+    return analyses.anonymize(views.tree(spark, sf_dir)).select("id", "name")
+
+
+# aggregates, set operations, sinks, maintenance
+@_add("agg_nodes_by_kind", f"WITH RECURSIVE {views.TREE_SQL} SELECT file, kind, count(*) AS n, count(DISTINCT name) AS names FROM nodes GROUP BY file, kind")
+def _(spark, sf_dir):
+    return views.tree(spark, sf_dir).nodes.groupBy("file", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"))
+
+
+@_add("agg_size_estimate", f"WITH RECURSIVE {views.TREE_SQL} SELECT file, count(*) AS total_nodes, (256 * count(*))::BIGINT AS bytes FROM nodes GROUP BY file")
+def _(spark, sf_dir):
+    return analyses.size_estimate(views.tree(spark, sf_dir))
+
+
+@_add("agg_histogram", "WITH s AS (SELECT event_type, (value * 100)::BIGINT AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL), l AS (SELECT event_type, list_sort(list(v)) AS a FROM s WHERE k <= 2000 GROUP BY event_type) SELECT s.event_type, count(*) AS n, min(v) AS min, max(v) AS max, floor(sum(v) / count(*))::BIGINT AS mean, any_value(a[floor((len(a) - 1) * 50 / 100 + 0.5)::INT + 1]) AS p50, any_value(a[floor((len(a) - 1) * 95 / 100 + 0.5)::INT + 1]) AS p95, any_value(a[floor((len(a) - 1) * 99 / 100 + 0.5)::INT + 1]) AS p99 FROM s JOIN l USING (event_type) GROUP BY s.event_type")
+def _(spark, sf_dir):
+    e = views.read(spark, sf_dir, "events").where("value IS NOT NULL").select("event_type", F.round(F.col("value") * 100).cast("long").alias("v"), "ts", "event_id")
+    return analyses.histogram(e, ["event_type"], "v", ["ts", "event_id"])
+
+
+@_add("set_changes", "WITH a AS (SELECT event_type || (user_id % 97) AS p, bit_xor(event_id) AS h FROM events WHERE event_id % 5 <> 0 GROUP BY 1), b AS (SELECT event_type || (user_id % 97) AS p, bit_xor(event_id) AS h FROM events WHERE user_id % 7 <> 0 GROUP BY 1) SELECT coalesce(a.p, b.p) AS path, CASE WHEN a.p IS NULL THEN 'added' WHEN b.p IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.p = b.p WHERE a.h IS DISTINCT FROM b.h")
+def _(spark, sf_dir):
+    e = views.read(spark, sf_dir, "events").select(F.concat("event_type", (F.col("user_id") % 97).cast("string")).alias("path"), "event_id", "user_id")
+    state = lambda test: e.where(test).groupBy("path").agg(F.bit_xor("event_id").alias("hash"))
+    return incremental.changes(state("event_id % 5 <> 0"), state("user_id % 7 <> 0"))
+
+
+@_add("incr_latest", "SELECT user_id::VARCHAR AS path, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def _(spark, sf_dir):
+    e = views.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("ts").alias("generation"), F.col("event_id").alias("hash"), "event_type")
+    return incremental.latest(e).select("path", "event_type")
+
+
+@_add("incr_dirty_callers", "WITH RECURSIVE e AS (SELECT o_orderkey % 1009 AS x, o_custkey % 1009 AS y FROM orders WHERE o_orderkey % 4 = 0), r AS (SELECT 7::BIGINT AS fn UNION SELECT e.x FROM r JOIN e ON r.fn = e.y) SELECT fn FROM r")
+def _(spark, sf_dir):
+    o = views.read(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
+    calls = o.select((F.col("o_orderkey") % 1009).alias("caller"), (F.col("o_custkey") % 1009).alias("callee"))
+    return incremental.dirty_callers(calls, spark.range(7, 8).select(F.col("id").alias("fn")), spark)
+
+
+_SEVERE = """
+rule "a" { severity: critical message: "x|y" find n: Loop where n.text() == "1-URGENT" }
+rule "b" { severity: medium find n: Conditional where n.text() == "1-URGENT" }
+rule "c" { severity: info find n: Block where n.text() == "1-URGENT" }
+"""
+
+
+@_add("sink_sarif_levels", f"WITH RECURSIVE {views.TREE_SQL} SELECT CASE kind WHEN 'Loop' THEN 'error' WHEN 'Conditional' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM nodes WHERE text = '1-URGENT' GROUP BY 1")
+def _(spark, sf_dir):
+    out = sinks.to_sarif(run_rules(views.tree(spark, sf_dir), _SEVERE))
+    return out.groupBy(F.get_json_object("value", "$.level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add("sink_markdown", f"WITH RECURSIVE {views.TREE_SQL} SELECT file, count(*) AS n FROM nodes WHERE text = '1-URGENT' GROUP BY file")
+def _(spark, sf_dir):
+    return sinks.to_markdown(run_rules(views.tree(spark, sf_dir), _SEVERE)).select("file", "n")
+
+
+def queries() -> dict:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+__all__ = ["flagship", "oracle_sql", "queries"]
