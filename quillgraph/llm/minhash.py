@@ -10,12 +10,11 @@ similarity reaches 0.8 is under MISS; survivors are verified on their full sets.
 
 Links only have to be found between components, so pairs are never expanded
 within a bucket.  First each member is compared with the bucket's least node.
-Buckets whose members are then in one component are done; in the others, members
-of different components are compared inside the task, in cells of bounded size
-(a larger bucket becomes pairs of its parts, each a cell), and a node sends its FAN
-most similar survivors: 4, then 32, then all of them.  Components grow between
-rounds, so a hot group of near copies ends after a round or two, and the last
-round leaves no surviving pair of different components unverified.
+Buckets whose members are then in one component are done.  In the others, members
+of different components are compared inside the task, in cells of bounded size (a
+larger bucket becomes pairs of its parts, each a cell): pruned by their signatures,
+verified on their sets, and joined as soon as a link is found, so that a cell sends
+at most one link a member and no pair of different components stays unverified.
 
 Defined results: null, empty and blank texts have empty sets and are linked with
 nothing; rows that share a doc_id are one document with the sets of each; a null
@@ -37,8 +36,7 @@ SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 BATCH, MISS = 32, 1e-6
-CELL = 2048
-FANS = (4, 32, 1 << 30)
+CELL = 1024
 
 _XOR = mix(np.arange(1000, 1000 + SIZE, dtype=np.uint64))
 _MUL = mix(np.arange(5000, 5000 + SIZE, dtype=np.uint64)) | np.uint64(1)
@@ -148,30 +146,48 @@ def _prune(rows):
             yield pa.record_batch([part.column(j).take(pa.array(alive)) for j in (0, 1)], names=["a", "b"])
 
 
-def _cells(fan: int):
-    def run(t):
-        """Survivors between members of different components of one cell."""
-        import pyarrow as pa
-
-        node, comp, own = (t.column(c).to_numpy() for c in ("node", "comp", "own"))
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        order = np.argsort(node, kind="stable")
-        node, comp, own = node[order], comp[order], own[order]
-        sig = _matrix(t.column("sig").combine_chunks())[order]
-        out_a, out_b = [], []
-        for i in range(len(node)):
-            c = np.flatnonzero(comp != comp[i])
-            c = c[(c > i) if x == y else (own[c] != own[i]) & (own[i] == x)]
-            seen = np.zeros(len(c), np.int64)
-            for n, need in NEED:
-                seen += (sig[c, n - BATCH : n] == sig[i, n - BATCH : n]).sum(axis=1)
-                c, seen = c[seen >= need], seen[seen >= need]
-            c = c[np.argsort(-seen, kind="stable")[:fan]]
-            out_a.append(np.minimum(node[i], node[c]))
-            out_b.append(np.maximum(node[i], node[c]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+def _cells(t):
+    """Links that join components within one cell: pairs of members of different components, pruned by
+    batches of their signatures and verified on full sets; what a link joins is one component from then on."""
+    import pyarrow as pa
 
-    return run
+    node, comp, own = (t.column(c).to_numpy() for c in ("node", "comp", "own"))
+    x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+    order = np.argsort(node, kind="stable")
+    node, own = node[order], own[order]
+    label = np.unique(comp[order], return_inverse=True)[1]
+    sig = _matrix(t.column("sig").combine_chunks())[order]
+    items = t.column("items").to_pylist()
+    sets = [np.frombuffer(items[i], np.uint64) for i in order]
+    size = np.array([len(s) for s in sets])
+    first = np.concatenate([[0], np.cumsum(size)])
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(known), bool)
+    out_a, out_b = [], []
+    for i in range(len(node)):
+        if x != y and own[i] != x:
+            continue
+        c = np.flatnonzero(label != label[i])
+        c = c[c > i] if x == y else c[own[c] != own[i]]
+        c = c[100 * np.minimum(size[c], size[i]) >= PERCENT * np.maximum(size[c], size[i])]
+        seen = np.zeros(len(c), np.int64)
+        for n, need in NEED:
+            seen += (sig[c, n - BATCH : n] == sig[i, n - BATCH : n]).sum(axis=1)
+            c, seen = c[seen >= need], seen[seen >= need]
+        if not len(c):
+            continue
+        mine = flat[first[i] : first[i + 1]]
+        mark[mine] = True
+        ends = np.cumsum(size[c])
+        at = np.arange(ends[-1]) + np.repeat(first[c] - (ends - size[c]), size[c])
+        common = np.add.reduceat(mark[flat[at]].astype(np.int64), ends - size[c])
+        mark[mine] = False
+        c = c[100 * common >= PERCENT * (size[c] + size[i] - common)]
+        labels, at = np.unique(label[c], return_index=True)
+        out_a += np.minimum(node[i], node[c[at]]).tolist()
+        out_b += np.maximum(node[i], node[c[at]]).tolist()
+        label[np.isin(label, labels)] = label[i]
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
 def _sets(rows):
@@ -245,40 +261,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         both = both.join(sig.withColumnsRenamed({"node": "b", "sig": "y"}), "b").select("a", "b", "x", "y")
         return both.mapInArrow(_prune, "a long, b long")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        named = named.join(nodes.select("node", "k1"), "node")
+    def sets_of(named: DataFrame) -> DataFrame:
+        named = named.distinct().join(nodes.select("node", "k1"), "node")
         texts = docs.join(named.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
         sets = texts.mapInArrow(_sets, "node long, k1 long, items binary").join(named, ["node", "k1"], "left_semi")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-        both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_verify, "a long, b long")
-
-    tested = members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tested = materialize(spark, pruned(tested), "pairs")
-    links = materialize(spark, verified(tested), "links")
+        return sets.select("node", "items")
+
+    star = members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    star = materialize(spark, pruned(star), "pairs")
+    sets = sets_of(star.select(F.explode(F.array("a", "b")).alias("node")))
+    both = star.join(sets.withColumnsRenamed({"node": "a", "items": "x"}), "a")
+    both = both.join(sets.withColumnsRenamed({"node": "b", "items": "y"}), "b").select("a", "b", "x", "y")
+    links = materialize(spark, both.mapInArrow(_verify, "a long, b long"), "links")
     comps = components(spark, links)
     whole = members.select("bucket", "node").unionByName(members.select("bucket", F.col("pivot").alias("node")).distinct())
-    for fan in FANS:
-        placed = whole.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        open_ = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        open_ = open_.where("lo < hi").select("bucket", F.ceil(F.col("m") / CELL).cast("int").alias("parts"))
-        left = placed.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = whole.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    open_ = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # the star has compared the two members of a bucket of two
+    open_ = open_.where("lo < hi AND m > 2").select("bucket", F.ceil(F.col("m") / CELL).cast("int").alias("parts"))
+    left = placed.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    left = materialize(spark, left, "open")
+    if left.limit(1).count():
         # a part meets every part: the cell of a part with itself, and one for each pair of parts
-        left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        left = left.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).join(sig, "node")
-        left = left.select("bucket", "x", "y", "own", "node", "comp", "sig")
-        more = left.groupBy("bucket", "x", "y").applyInArrow(_cells(fan), "a long, b long").distinct()
-        more = materialize(spark, more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not more.limit(1).count():
-            if fan == FANS[-1]:
-                break
-            continue
-        tested = tested.unionByName(more)
-        found = materialize(spark, verified(more), "links")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            comps = components(spark, links)
+        cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cells = cells.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+        cells = cells.join(sig, "node").join(sets_of(left.select("node")), "node")
+        cells = cells.select("bucket", "x", "y", "own", "node", "comp", "sig", "items")
+        found = cells.groupBy("bucket", "x", "y").applyInArrow(_cells, "a long, b long").distinct()
+        comps = components(spark, links.unionByName(materialize(spark, found, "links")))
     placed = nodes.select("n", "k1", "k2", "node").join(comps, "node", "left")
     placed = placed.select("n", "k1", "k2", F.coalesce("comp", "node").alias("comp"))
     out = sketches.drop("sig").join(placed, ["n", "k1", "k2"], "left")
