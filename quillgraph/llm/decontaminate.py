@@ -106,7 +106,7 @@ class Index:
             which = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             p = np.repeat(p, count)
             found.append(np.stack([item[which], p - (at[which] - self.first[item[which]]), np.searchsorted(first, p, "right") - 1]))
-        if not found:
+        if not sum(x.shape[1] for x in found):
             return (np.zeros(0, np.int64),) * 5
         item, begin, doc = np.unique(np.concatenate(found, axis=1), axis=1)
         out = [self._verify(words, first, item[i : i + 4096], begin[i : i + 4096], doc[i : i + 4096]) for i in range(0, len(item), 4096)]
