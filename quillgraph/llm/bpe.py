@@ -35,7 +35,7 @@ from quillgraph.llm.common import documents, table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MAX_VOCAB_BYTES = 64 << 20
 #: Bounds of the memos of one Python worker, which are emptied when full.
-MAX_TRANSITIONS, MAX_PIECES, LAZY = 400_000, 500_000, 8
+MAX_TRANSITIONS, MAX_CHUNKS, MAX_PIECES, LAZY = 400_000, 400_000, 200_000, 8
 #: A text is encoded in runs of so many pieces, or characters.
 PIECES, RUN = 1 << 14, 1 << 16
 #: Ends of a text that are white space, or white space beside white space.
@@ -298,7 +298,7 @@ class Codec:
         return ids
 
     def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        if len(self.chunks) >= MAX_PIECES:
+        if len(self.chunks) >= MAX_CHUNKS:
             self.chunks.clear()
         ids = tuple(chain.from_iterable(map(self._piece, self.pattern.findall(chunk))))
         out = self.chunks[chunk] = (ids, ",".join(map(str, ids)))
