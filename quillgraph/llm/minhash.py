@@ -17,8 +17,8 @@ verified on their sets, and joined as soon as a link is found, so that a cell se
 at most one link a member and no pair of different components stays unverified.
 
 Defined results: null, empty and blank texts have empty sets and are linked with
-nothing; rows that share a doc_id are one document with the sets of each; a null
-doc_id is a document of its own; extra columns are ignored; an empty table gives
+nothing; rows that share a doc_id are one document, which joins the links of their
+sets; a null doc_id is linked with nothing and kept, its component null; extra columns are ignored; an empty table gives
 no rows.
 """
 
@@ -273,6 +273,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     both = star.join(sets.withColumnsRenamed({"node": "a", "items": "x"}), "a")
     both = both.join(sets.withColumnsRenamed({"node": "b", "items": "y"}), "b").select("a", "b", "x", "y")
     links = materialize(spark, both.mapInArrow(_verify, "a long, b long"), "links")
+    several = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    several = several.where("rows > 1").select("doc_id")
+    if several.limit(1).count():
+        own = sketches.select("doc_id", "n", "k1", "k2").join(several, "doc_id").join(nodes.select("n", "k1", "k2", "node"), ["n", "k1", "k2"])
+        own = own.select(F.least("doc_id", "node").alias("a"), F.greatest("doc_id", "node").alias("b")).where("a < b").distinct()
+        links = links.unionByName(materialize(spark, own, "links"))
     comps = components(spark, links)
     whole = members.select("bucket", "node").unionByName(members.select("bucket", F.col("pivot").alias("node")).distinct())
     placed = whole.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
@@ -292,9 +298,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     placed = nodes.select("n", "k1", "k2", "node").join(comps, "node", "left")
     placed = placed.select("n", "k1", "k2", F.coalesce("comp", "node").alias("comp"))
     out = sketches.drop("sig").join(placed, ["n", "k1", "k2"], "left")
-    component = F.coalesce("comp", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept")
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 

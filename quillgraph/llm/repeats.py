@@ -21,22 +21,24 @@ have their anchors at the same offset with the same surroundings.
 4. The covered places of each document go back to its text.
 
 All positions are kept; nothing is capped or sampled.  Rows with a null doc_id
-are neither earlier than others nor cut; rows that share a doc_id are cut at the
-places found for any of them.
+are neither earlier than others nor cut.  Equal rows are one document, cut alike;
+rows that share a doc_id but differ in text are documents of their own, in order
+of a hash of their texts (their *version*, at most 2**23 a doc_id).
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import batches, documents, materialize, mix
 
 #: Different runs of one key that are compared in one task at most, and bytes of a batch of keys.
 HOT, BATCH_BYTES = 1000, 1 << 20
-#: A place is start * SPAN + number of starts.
+#: A place is version * VERSION + start * SPAN + number of starts.
 SPAN = 256
+VERSION = 1 << 40
 
 
 class Method:
@@ -66,9 +68,9 @@ def _first_runs(method: Method, docs: DataFrame) -> DataFrame:
             if not len(text):
                 continue
             ids = part.column(0).to_numpy(zero_copy_only=False)[text]
-            order = np.lexsort((start, ids, content, key))
-            key, content, ids = key[order], content[order], ids[order]
-            place = start[order].astype(np.int64) * SPAN + count[order]
+            place = part.column(2).to_numpy(zero_copy_only=False)[text] * VERSION + start.astype(np.int64) * SPAN + count
+            order = np.lexsort((place, ids, content, key))
+            key, content, ids, place = key[order], content[order], ids[order], place[order]
             again = np.zeros(len(key), bool)
             again[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
             # what is settled is dealt evenly
@@ -125,20 +127,20 @@ def _stream(rows):
 
 
 def _cut(method: Method):
-    """Cut runs, given with their texts as (doc_id, text, array of (key, place, hot)), out of the texts."""
+    """Cut runs, given with their texts as (doc_id, text, version, array of (key, place, hot)), out of the texts."""
 
     def run(rows):
         import pyarrow as pa
 
         for part, data, off in batches(rows, 1):
-            runs = part.column(2)
+            runs = part.column(3)
             flat = runs.flatten()
             key = flat.field(0).to_numpy(zero_copy_only=False)
             place = flat.field(1).to_numpy(zero_copy_only=False)
             hot = flat.field(2).to_numpy(zero_copy_only=False).astype(bool)
             text = np.repeat(np.arange(part.num_rows), runs.value_lengths().to_numpy(zero_copy_only=False))
             ids = part.column(0).to_numpy()[text]
-            content, window = method.cut(data, off, text, place // SPAN, place % SPAN)
+            content, window = method.cut(data, off, text, place % VERSION // SPAN, place % SPAN)
             cold = np.flatnonzero(~hot)
             for i in range(0, len(cold), 4096):
                 w = cold[i : i + 4096]
@@ -208,11 +210,28 @@ def _compare(method: Method):
     return run
 
 
+def versions(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, version) of all rows, and of each different one with a doc_id once."""
+    docs = documents(docs)
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if not twice.limit(1).count():
+        rows = docs.withColumn("version", F.lit(0).cast("long"))
+        return rows, rows.where("doc_id IS NOT NULL")
+    docs = docs.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    ranks = docs.select("doc_id", "hash").join(twice, "doc_id", "left_semi").distinct()
+    ranks = ranks.withColumn("version", F.row_number().over(Window.partitionBy("doc_id").orderBy("hash")).cast("long") - 1)
+    rows = docs.join(ranks, ["doc_id", "hash"], "left").select("doc_id", "text", F.coalesce("version", F.lit(0)).alias("version"))
+    rows = materialize(spark, rows, "versions")
+    once = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "version").agg(F.any_value("text").alias("text"))
+    return rows, once.select("doc_id", "text", "version")
+
+
 def covered_places(spark: SparkSession, docs: DataFrame, method: Method) -> DataFrame:
-    """(doc_id, place): runs of covered window starts; every covered start is in at least one."""
+    """(doc_id, place): runs of covered window starts; every covered start is in at least one.
+
+    ``docs`` are the different rows of ``versions``."""
     from quillgraph.llm.common import shuffle_partitions
 
-    docs = documents(docs).where("doc_id IS NOT NULL")
     n = shuffle_partitions(spark)
     dealt = _first_runs(method, docs).repartition(n, "key")
     found = dealt.sortWithinPartitions("key", "content", "doc_id", "place").mapInArrow(
@@ -222,8 +241,8 @@ def covered_places(spark: SparkSession, docs: DataFrame, method: Method) -> Data
     open_ = found.where("NOT covered").select("key", "doc_id", "place")
     hot = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
     open_ = open_.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    by_doc = open_.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "hot")).alias("runs"))
-    cut = docs.join(by_doc, "doc_id").select("doc_id", "text", "runs")
+    by_doc = open_.groupBy("doc_id", version()).agg(F.collect_list(F.struct("key", "place", "hot")).alias("runs"))
+    cut = docs.join(by_doc, ["doc_id", "version"]).select("doc_id", "text", "version", "runs")
     cut = cut.mapInArrow(_cut(method), "key long, doc_id long, place long, run binary")
     cut = cut.withColumn("single", F.col("run").isNull())
     cold = cut.where("NOT single").select("key", "doc_id", "place", "run").repartition(n, "key")
@@ -239,10 +258,14 @@ def covered_places(spark: SparkSession, docs: DataFrame, method: Method) -> Data
     return out
 
 
-def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """doc_id, text and places (array, maybe empty) of every document, null doc_ids too."""
-    lists = places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("place").alias("places"))
-    out = documents(docs).join(lists, F.col("doc_id") == F.col("_id"), "left")
+def version():
+    return F.shiftright("place", 40).alias("version")
+
+
+def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, text and places (array, maybe empty) of all ``rows`` of ``versions``, null doc_ids too."""
+    lists = places.groupBy("doc_id", version()).agg(F.collect_list("place").alias("places"))
+    out = rows.join(lists, ["doc_id", "version"], "left")
     return out.select("doc_id", "text", F.coalesce("places", F.array().cast("array<long>")).alias("places"))
 
 
@@ -252,7 +275,7 @@ def marked(part, units: np.ndarray, length: int) -> np.ndarray:
     places = part.column(2)
     place = places.flatten().to_numpy(zero_copy_only=False)
     text = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
-    start = place // SPAN + units[text]
+    start = place % VERSION // SPAN + units[text]
     end = np.minimum(start + place % SPAN - 1 + length, units[text + 1])
     ok = start < end
     n = int(units[-1])

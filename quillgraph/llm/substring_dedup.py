@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import batches, mix, prefix_hash, range_hash, table, word_hashes, word_spans
-from quillgraph.llm.repeats import Method, covered_places, marked, with_places
+from quillgraph.llm.repeats import Method, covered_places, marked, versions, with_places
 
 LENGTH = 20
 ROUNDS = 2
@@ -182,8 +182,8 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 names=["doc_id", "kept", "n_words", "n_removed"],
             )
 
-    places = covered_places(spark, docs, Words())
-    return with_places(docs, places).mapInArrow(run, "doc_id long, kept binary, n_words long, n_removed long")
+    rows, once = versions(spark, docs)
+    return with_places(rows, covered_places(spark, once, Words())).mapInArrow(run, "doc_id long, kept binary, n_words long, n_removed long")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.common import BYTE_CODE, batches, mix, prefix_hash, range_hash, table
-from quillgraph.llm.repeats import Method, covered_places, marked, with_places
+from quillgraph.llm.repeats import Method, covered_places, marked, versions, with_places
 
 LENGTH = 100
 #: Anchor length, and the context that keys a run: 42 bytes before the anchor, or 42 after it.
@@ -174,8 +174,8 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
-    places = covered_places(spark, docs, Bytes())
-    return with_places(docs, places).mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    rows, once = versions(spark, docs)
+    return with_places(rows, covered_places(spark, once, Bytes())).mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def digest(kept: bytes) -> str:

@@ -65,7 +65,7 @@ class BlockMaxIndex:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, block: int = BLOCK):
         # examples alike in their heaviest term share blocks, which keeps the maxima sharp
-        lead = np.where(vectors.any(axis=1), vectors.argmax(axis=1), vectors.shape[1]) if len(ids) else np.zeros(0, int)
+        lead = np.where(vectors.any(axis=1), vectors.argmax(axis=1), vectors.shape[1]) if vectors.size else np.zeros(len(ids), int)
         order = np.lexsort((ids, labels, lead))
         self.ids, self.labels, self.vectors = ids[order], labels[order], vectors[order]
         self.block = block

@@ -85,6 +85,29 @@ def test_substring_dedup_and_hot_keys(spark, rows, docs, monkeypatch):
             assert (got[i]["n_words"], got[i]["n_removed"], bytes(got[i]["kept"]).decode()) == (len(w), sum(gone), kept)
 
 
+def test_repeated_doc_ids(spark):
+    rng = random.Random(8)
+    a, b = (" ".join("w%d" % rng.randrange(500) for _ in range(n)) for n in (150, 70))
+    rows = [(1, a), (1, a), (2, a), (3, b + " " + a[:300]), (3, "short"), (4, None), (None, a), (7, b), (7, "x " + b), (7, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("version", F.lit(3))
+
+    def gone(df, n):
+        return sorted(((r["doc_id"] or 0, r[n], r["n_removed"]) for r in df.collect()))
+
+    size = len(a.encode())
+    got = gone(suffix_dedup.dedup(spark, docs), "n_bytes")
+    assert [x for x in got if x[0] in (0, 1, 2)] == [(0, size, 0), (1, size, 0), (1, size, 0), (2, size, size)]
+    assert [x[2] for x in got if x[0] == 3] == [0, 300] and (4, 0, 0) in got
+    assert [x[2] for x in got if x[0] == 7] == [len(b)] * 3
+    got = gone(substring_dedup.dedup(spark, docs), "n_words")
+    assert [x for x in got if x[0] in (0, 1, 2)] == [(0, 150, 0), (1, 150, 0), (1, 150, 0), (2, 150, 150)]
+    assert [x[2] for x in got if x[0] == 7] == [70] * 3
+    near = spark.createDataFrame([(1, a), (2, a), (2, b), (5, b), (None, b), (None, None)], "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark, near).collect()]
+    assert sorted(x for x in got if x[0]) == [(1, 1, True), (2, 1, False), (2, 1, False), (5, 1, False)]
+    assert [x for x in got if not x[0]] == [(None, None, True)] * 2
+
+
 def test_equal_windows():
     rng = np.random.default_rng(3)
     text = np.concatenate([rng.integers(97, 100, 300), rng.integers(97, 100, 300)]).astype(np.uint8)
@@ -236,6 +259,8 @@ def test_toxicity(spark, docs, empty):
     nothing = toxicity.fit(spark, own, labels.limit(0))
     assert {r["score"] for r in toxicity.score(spark, docs, nothing).collect()} == {0.0}
     assert toxicity.score(spark, empty, model).count() == 0
+    few = toxicity.fit(spark, own, spark.createDataFrame([(1, 0), (3, 1), (None, 1), (4, None), (9999, 1)], "doc_id long, toxic int"))
+    assert {r["score"] for r in toxicity.score(spark, docs, few).collect()} == {few.blank}
 
 
 def test_licenses(spark, docs, empty):
