@@ -269,7 +269,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     star = members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = materialize(spark, pruned(star), "pairs")
-    sets = sets_of(star.select(F.explode(F.array("a", "b")).alias("node")))
+    # all that is left to verify: texts are dealt once, for the pairs of the star and the larger buckets
+    wanted = star.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = wanted.unionByName(members.where("c > 2").select(F.explode(F.array("pivot", "node")).alias("node")))
+    sets = materialize(spark, sets_of(wanted), "sets")
     both = star.join(sets.withColumnsRenamed({"node": "a", "items": "x"}), "a")
     both = both.join(sets.withColumnsRenamed({"node": "b", "items": "y"}), "b").select("a", "b", "x", "y")
     links = materialize(spark, both.mapInArrow(_verify, "a long, b long"), "links")
@@ -291,7 +294,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         # a part meets every part: the cell of a part with itself, and one for each pair of parts
         cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cells = cells.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-        cells = cells.join(sig, "node").join(sets_of(left.select("node")), "node")
+        cells = cells.join(sig, "node").join(sets, "node")
         cells = cells.select("bucket", "x", "y", "own", "node", "comp", "sig", "items")
         found = cells.groupBy("bucket", "x", "y").applyInArrow(_cells, "a long, b long").distinct()
         comps = components(spark, links.unionByName(materialize(spark, found, "links")))
