@@ -5,24 +5,46 @@ registry of functions from a graph to (file, node)).  Flow is bounded
 reachability over data-flow and propagator edges that never enters a sanitizer,
 plus edges from call arguments to calls whose summaries return or write the
 argument.  All sources move together, keyed by (file, seed), so one semi-naive
-loop answers every pair; paths are walked back from least hop counts.
+loop answers every pair; paths are walked back from least hop counts.  Calls into
+other files become edges as well, where the callee returns a parameter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import language as L
+from quillgraph.operators.analyses import resolve_callees
 from quillgraph.operators.closure import durable, reach
 from quillgraph.plans.graph import Graph
 
 Registry = dict[str, Callable[[Graph], DataFrame]]
 
 
-def endpoint(compiler, name: str, registry: Registry | None) -> DataFrame:
+def registry(specs: list[tuple[str, str, list[int]]]) -> Registry:
+    """Named sets from (set, function, argument positions): the arguments at the positions of calls to the
+    function, or the call itself where none are given.  ``pkg.f`` and ``ns::f`` are calls to ``f``."""
+
+    def member(rows: list[tuple[str, list[int]]]):
+        def nodes(graph: Graph) -> DataFrame:
+            # a list that stands in the rule's configuration
+            known = graph.spark.createDataFrame(rows, "function string, args array<long>")
+            calls = graph.nodes.where("kind = 'Call'").select("file", "id", "children", F.regexp_extract("name", r"[^:.]+$", 0).alias("function"))
+            hit = calls.join(F.broadcast(known), "function")
+            whole = hit.where("size(args) = 0").select("file", F.col("id").alias("node"))
+            args = hit.select("file", "children", F.explode("args").alias("i"))
+            args = args.select("file", F.get("children", F.col("i").cast("int")).alias("node")).where("node IS NOT NULL")
+            return whole.unionByName(args).distinct()
+
+        return nodes
+
+    return {name: member([(f, a) for s, f, a in specs if s == name]) for name in {s for s, _, _ in specs}}
+
+
+def endpoint(compiler, name: str, known: Registry | None) -> DataFrame:
     """(file, node) of a named set; a definition of the rule file wins, an unknown name is empty."""
     d = compiler.rules.definitions.get(name)
     out = None
@@ -32,8 +54,8 @@ def endpoint(compiler, name: str, registry: Registry | None) -> DataFrame:
             for var, _ in clause.bindings:
                 part = env.select("file", F.col(f"{var}.id").alias("node"))
                 out = part if out is None else out.unionByName(part)
-    elif registry and name in registry:
-        out = registry[name](compiler.graph).select("file", "node")
+    elif known and name in known:
+        out = known[name](compiler.graph).select("file", "node")
     if out is None:
         out = compiler.graph.nodes.where(F.lit(False)).select("file", F.col("id").alias("node"))
     return out.distinct()
@@ -54,6 +76,36 @@ def summary_edges(graph: Graph) -> DataFrame:
     return calls.join(effects, ["callee", "idx"]).select("file", "src", "dst")
 
 
+def cross_file_edges(graph: Graph) -> DataFrame:
+    """(file, src, dst): from the argument to the call, where the callee, in whichever file, returns that argument.
+
+    Parameters flow inside their own file, past any sanitizer.  Edges that are found lead on from parameters of
+    other functions, so rounds go on until none is new; each is written."""
+    n, spark = graph.nodes, graph.spark
+    calls = graph.table("xcalls").where("call_node IS NOT NULL")
+    target = resolve_callees(calls, n.where("kind = 'MethodDef'").select("file", "id", "name", "qualified_name"))
+    place = F.row_number().over(Window.partitionBy("file", "function_id").orderBy("line", "column", "id")).cast("long") - 1
+    params = n.where("kind = 'ParamDef' AND function_id IS NOT NULL").withColumn("idx", place)
+    params = params.select(F.col("file").alias("target_file"), F.col("function_id").alias("target"), "idx", F.col("id").alias("seed"))
+    params = durable(spark, params.join(target.select("target_file", "target").distinct(), ["target_file", "target"]), "params")
+    returns = n.where("kind = 'Return'").select(F.col("file").alias("target_file"), F.col("function_id").alias("target"), F.col("id").alias("node"))
+    args = n.where("kind = 'Call'").select("file", F.col("id").alias("call_node"), F.posexplode("children").alias("i", "arg"))
+    args = args.join(calls.select("file", "call_node", "arg_positions"), ["file", "call_node"])
+    args = args.withColumn("idx", F.coalesce(F.get("arg_positions", F.col("i")), F.col("i").cast("long")))
+    args = durable(spark, args.join(target, ["file", "call_node"]).select("file", "call_node", "arg", "idx", "target_file", "target"), "args")
+    base = graph.table("dfg_edges").select("file", "src", "dst").unionByName(summary_edges(graph))
+    found = durable(spark, base.limit(0), "crossed")
+    while True:
+        hit = reach(spark, params.select(F.col("target_file").alias("file"), "seed"), base.unionByName(found), ["file"])
+        back = hit.withColumnRenamed("file", "target_file").join(params, ["target_file", "seed"]).join(returns, ["target_file", "target", "node"])
+        back = back.select("target_file", "target", "idx").distinct()
+        more = args.join(back, ["target_file", "target", "idx"]).select("file", F.col("arg").alias("src"), F.col("call_node").alias("dst"))
+        more = durable(spark, more.distinct(), "crossed")
+        if not more.join(found, ["file", "src", "dst"], "left_anti").limit(1).count():
+            return more
+        found = more
+
+
 def propagator_edges(compiler, names: list[str]) -> DataFrame:
     """(file, src, dst) of the rule file's propagators, where both ends are a call's arguments or the call."""
     out = compiler.graph.nodes.where(F.lit(False)).select("file", F.col("id").alias("src"), F.col("id").alias("dst"))
@@ -102,6 +154,8 @@ def run_clause(compiler, rule: L.Rule, clause: L.Taint, registry: Registry | Non
     sources, sinks = (union(compiler, clause.refs.get(k, []), registry) for k in ("sources", "sinks"))
     sanitizers = union(compiler, clause.refs.get("sanitizers", []), registry)
     extra = propagator_edges(compiler, clause.refs.get("propagators", []))
+    if "xcalls" in graph.tables:
+        extra = extra.unionByName(cross_file_edges(graph))
     most = 2 * clause.max_call_depth + 1
     edges = graph.table("dfg_edges").select("file", "src", "dst").unionByName(summary_edges(graph)).unionByName(extra).distinct()
     hit = reach(graph.spark, sources.select("file", F.col("node").alias("seed")), edges, ["file"], sanitizers, most)

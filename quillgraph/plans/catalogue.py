@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import analyses, dfg
+from quillgraph.operators import analyses, dfg, taint
 from quillgraph.plans import views
 from quillgraph.plans.compiler import run_rules
 from quillgraph.sources import sinks
@@ -179,6 +179,28 @@ def _(spark, sf_dir):
 
 
 # analyses
+_CROSS = """
+source given = find n: Call where n.name() == "input"
+sink used = find n: Call where n.name() == "sink"
+rule "crossed" { severity: high taint { sources: [given] sinks: [used] } }
+"""
+
+
+@_add("taint_cross_file", "SELECT c_custkey * 8 + 4 AS a, c_custkey * 8 + 6 AS b, 3::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey % 2 = 0")
+def _(spark, sf_dir):
+    m = F.col("matched_nodes")
+    found = run_rules(views.library(spark, sf_dir), _CROSS)
+    return found.select(F.get(m, F.lit(0)).alias("a"), F.element_at(m, -1).alias("b"), F.size(m).cast("long").alias("n"))
+
+
+@_add("taint_registry", "SELECT c_custkey * 8 + 4 AS a, c_custkey * 8 + 5 AS b FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey % 2 = 0")
+def _(spark, sf_dir):
+    sets = taint.registry([("own.sources", "input", []), ("own.sinks", "sink", [0])])
+    text = 'rule "named" { severity: high taint { sources: ["own.sources"] sinks: ["own.sinks"] } }'
+    m = F.col("matched_nodes")
+    return run_rules(views.library(spark, sf_dir), text, sets).select(F.get(m, F.lit(0)).alias("a"), F.element_at(m, -1).alias("b"))
+
+
 @_add("ana_alias", _D + ", p AS (SELECT DISTINCT src AS x, dst AS t FROM edges WHERE v = 'R') SELECT DISTINCT m.x AS a, n.x AS b FROM p m JOIN p n ON m.t = n.t AND m.x < n.x")
 def _(spark, sf_dir):
     return analyses.may_alias(views.data(spark, sf_dir)).select("a", "b")

@@ -150,3 +150,31 @@ def data(spark: SparkSession, sf_dir: str) -> Graph:
     ):
         nodes = nodes.unionByName(part)
     return Graph(spark, {"nodes": nodes, "dfg_edges": edges})
+
+
+def library(spark: SparkSession, sf_dir: str) -> Graph:
+    """A library file with a function a nation, which returns its parameter in every other region; and files of
+    callers with a customer's chain input > (the nation's function) > sink each."""
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name", "n_regionkey")
+    # nation is a table of fixed size
+    customer = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k")).join(F.broadcast(nation), "k")
+    customer = customer.withColumns({"file": F.concat(F.lit("app"), (F.col("c_custkey") % 64).cast("string")), "c": F.col("c_custkey") * 8})
+    none, no_args = F.lit(None).cast("string"), F.array().cast("array<bigint>")
+
+    def rows(df, file, id_, kind, name, function, children=no_args):
+        return df.select(file.alias("file"), id_.alias("id"), F.lit(kind).alias("kind"), name.alias("name"), function.cast("long").alias("function_id"), children.alias("children"))
+
+    lib, fn, k, c, app = F.lit("lib"), F.col("k") * 8 + 1, F.col("k") * 8, F.col("c"), F.col("file")
+    nodes = rows(nation, lib, fn, "MethodDef", F.col("n_name"), fn)
+    for part in (
+        rows(nation, lib, k + 2, "ParamDef", F.lit("x"), fn),
+        rows(nation, lib, k + 3, "Return", none, fn),
+        rows(customer, app, c + 4, "Call", F.lit("input"), F.lit(None)),
+        rows(customer, app, c + 5, "Call", F.col("n_name"), F.lit(None), F.array(c + 4)),
+        rows(customer, app, c + 6, "Call", F.lit("sink"), F.lit(None), F.array(c + 5)),
+    ):
+        nodes = nodes.unionByName(part)
+    edge = lambda df, file, a, b: df.select(file.alias("file"), a.alias("src"), b.alias("dst"))
+    edges = edge(nation.where("n_regionkey % 2 = 0"), lib, k + 2, k + 3).unionByName(edge(customer, app, c + 5, c + 6))
+    xcalls = customer.select("file", (c + 5).alias("call_node"), F.col("n_name").alias("callee_name"))
+    return Graph(spark, {"nodes": nodes, "dfg_edges": edges, "xcalls": xcalls})

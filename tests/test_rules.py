@@ -3,6 +3,7 @@ import pytest
 from quillgraph.functions import language as L
 from quillgraph.operators.analyses import fold
 from quillgraph.operators.cfg import function_facts
+from quillgraph.operators.taint import registry
 from quillgraph.plans.compiler import run_rules
 from quillgraph.plans.graph import Graph
 
@@ -108,6 +109,44 @@ def test_taint_path(spark):
     assert run_rules(g, text.format("z")).collect() == []
 
 
+def cross_file(spark, used, chained=False):
+    rows = [
+        ("callee.py", 100, "MethodDef", "helper", None, 100, 1, None, []), ("callee.py", 101, "ParamDef", "x", 100, 100, 1, None, []),
+        ("callee.py", 102, "Return", None, 100, 100, 2, None, []),
+        ("caller.py", 1, "Call", "get_input", None, 1, 1, 0, []), ("caller.py", 2, "Call", "helper", None, 1, 2, 1, [1]),
+        ("caller.py", 3, "Call", "execute_sql", None, 1, 3, 1, [2]),
+    ]
+    edges, calls = [("caller.py", 2, 3)], [("caller.py", 2, "helper")]
+    if chained:  # helper hands its parameter to a function of a third file
+        rows += [("callee.py", 103, "Call", "deep", 100, 100, 2, 1, [101]), ("third.py", 7, "MethodDef", "deep", None, 7, 1, None, [])]
+        rows += [("third.py", 8, "ParamDef", "y", 7, 7, 1, None, []), ("third.py", 9, "Return", None, 7, 7, 2, None, [])]
+        edges += [("callee.py", 103, 102), ("third.py", 8, 9)]
+        calls += [("callee.py", 103, "deep")]
+    elif used:
+        edges += [("callee.py", 101, 102)]
+    return graph(
+        spark, rows, dfg_edges=spark.createDataFrame(edges, "file string, src long, dst long"),
+        xcalls=spark.createDataFrame(calls, "file string, call_node long, callee_name string"),
+    )
+
+
+def test_cross_file_taint(spark):
+    text = """source s = find n: Call where n.name() == "get_input"
+    sink k = find n: Call where n.name() == "execute_sql"
+    rule "t" { taint { sources: [s] sinks: [k] } }"""
+    paths = lambda g: [(r["file"], r["matched_nodes"]) for r in run_rules(g, text).collect()]
+    assert paths(cross_file(spark, True)) == [("caller.py", [1, 2, 3])]
+    assert paths(cross_file(spark, False)) == []
+    assert paths(cross_file(spark, False, chained=True)) == [("caller.py", [1, 2, 3])]
+
+
+def test_registry(spark):
+    sets = registry([("in", "get_input", []), ("out", "execute_sql", [0, 4])])
+    g = cross_file(spark, True)
+    assert [tuple(r) for r in sets["in"](g).collect()] == [("caller.py", 1)]
+    assert [tuple(r) for r in sets["out"](g).collect()] == [("caller.py", 2)]
+
+
 def test_fold():
     assert fold("+", [2**63 - 1, 1]) == -(2**63)
     assert fold("/", [-7, 2]) == -3 and fold("%", [-7, 2]) == -1 and fold("/", [1, 0]) is None
