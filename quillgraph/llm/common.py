@@ -19,8 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """doc_id and text only, so that extra columns can't clash with an operator's own."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id and text only, so that extra columns can't clash with an operator's own.
+
+    Columns of the right type stay plain attributes: with aliases, two uses of one exchange can look different."""
+    types = dict(docs.select("doc_id", "text").dtypes)
+    return docs.select(
+        *(F.col(c) if types[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string")))
+    )
 
 
 def words_of(text: Column) -> Column:

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import batches, documents, materialize, mix
+from quillgraph.llm.common import batches, documents, materialize, mix, shuffle_partitions
 
 #: Different runs of one key that are compared in one task at most, and bytes of a batch of keys.
 HOT, BATCH_BYTES = 1000, 1 << 20
@@ -127,13 +127,13 @@ def _stream(rows):
 
 
 def _cut(method: Method):
-    """Cut runs, given with their texts as (doc_id, text, version, array of (key, place, hot)), out of the texts."""
+    """Cut runs, given with their texts as (doc_id, text, array of (key, place, hot)), out of the texts."""
 
     def run(rows):
         import pyarrow as pa
 
         for part, data, off in batches(rows, 1):
-            runs = part.column(3)
+            runs = part.column(2)
             flat = runs.flatten()
             key = flat.field(0).to_numpy(zero_copy_only=False)
             place = flat.field(1).to_numpy(zero_copy_only=False)
@@ -230,8 +230,6 @@ def covered_places(spark: SparkSession, docs: DataFrame, method: Method) -> Data
     """(doc_id, place): runs of covered window starts; every covered start is in at least one.
 
     ``docs`` are the different rows of ``versions``."""
-    from quillgraph.llm.common import shuffle_partitions
-
     n = shuffle_partitions(spark)
     dealt = _first_runs(method, docs).repartition(n, "key")
     found = dealt.sortWithinPartitions("key", "content", "doc_id", "place").mapInArrow(
@@ -241,8 +239,9 @@ def covered_places(spark: SparkSession, docs: DataFrame, method: Method) -> Data
     open_ = found.where("NOT covered").select("key", "doc_id", "place")
     hot = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
     open_ = open_.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    by_doc = open_.groupBy("doc_id", version()).agg(F.collect_list(F.struct("key", "place", "hot")).alias("runs"))
-    cut = docs.join(by_doc, ["doc_id", "version"]).select("doc_id", "text", "version", "runs")
+    by_doc = open_.repartition(n, "doc_id").groupBy("doc_id", version()).agg(F.collect_list(F.struct("key", "place", "hot")).alias("runs"))
+    # dealt by document, as in with_places: the same exchange of texts serves both
+    cut = docs.join(by_doc.hint("merge"), ["doc_id", "version"]).select("doc_id", "text", "runs")
     cut = cut.mapInArrow(_cut(method), "key long, doc_id long, place long, run binary")
     cut = cut.withColumn("single", F.col("run").isNull())
     cold = cut.where("NOT single").select("key", "doc_id", "place", "run").repartition(n, "key")
@@ -264,9 +263,12 @@ def version():
 
 def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
     """doc_id, text and places (array, maybe empty) of all ``rows`` of ``versions``, null doc_ids too."""
+    places = places.repartition(shuffle_partitions(places.sparkSession), "doc_id")
     lists = places.groupBy("doc_id", version()).agg(F.collect_list("place").alias("places"))
-    out = rows.join(lists, ["doc_id", "version"], "left")
-    return out.select("doc_id", "text", F.coalesce("places", F.array().cast("array<long>")).alias("places"))
+    none = F.array().cast("array<long>")
+    out = rows.where("doc_id IS NOT NULL").join(lists.hint("merge"), ["doc_id", "version"], "left")
+    out = out.select("doc_id", "text", F.coalesce("places", none).alias("places"))
+    return out.unionByName(rows.where("doc_id IS NULL").select("doc_id", "text", none.alias("places")))
 
 
 def marked(part, units: np.ndarray, length: int) -> np.ndarray:
