@@ -17,7 +17,8 @@ have their anchors at the same offset with the same surroundings.
 3. Those are cut out of the texts and compared by the method, whole keys at a
    time in bounded batches.  A key with more than HOT different runs would not
    be bounded: its runs are split into single windows dealt by their own
-   content, where the first in order is kept, with the same streaming pass.
+   content, where the first in order is kept: within the slice of texts, then
+   in a streaming pass over what is first in a slice.
 4. The covered places of each document go back to its text.
 
 All positions are kept; nothing is capped or sampled.  Rows with a null doc_id
@@ -126,8 +127,34 @@ def _stream(rows):
         held = (k[-1], c[-1], d[-1], p[-1], bool(many[-1]))
 
 
+#: What a cut row is: a run to compare, a single window that is covered if its key came earlier, or covered windows.
+RUN, SINGLE, SETTLED = 0, 1, 2
+
+
+def _joined(place: np.ndarray, run: np.ndarray, j: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place) of the stretches of covered windows; ``run`` and ``j`` number all windows, run by run."""
+    at = np.flatnonzero(covered)
+    run, j = run[at], j[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (run[1:] != run[:-1]) | (j[1:] != j[:-1] + 1)
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(at)))
+    run = run[begin]
+    return run, (place[run] // SPAN + j[begin]) * SPAN + size
+
+
 def _cut(method: Method):
-    """Cut runs, given with their texts as (doc_id, text, array of (key, place, hot)), out of the texts."""
+    """Cut runs, given with their texts as (doc_id, text, array of (key, place, hot)), out of the texts.
+
+    Runs of hot keys become single windows; those whose content came earlier in the slice are settled here, so
+    a window in a third of all rows sends a row a slice."""
+
+    def rows_of(state, key, ids, place, content):
+        import pyarrow as pa
+
+        state = pa.array(np.full(len(key), state, np.int32))
+        columns = [state, pa.array(key), pa.array(ids), pa.array(place), content]
+        return pa.record_batch(columns, names=["state", "key", "doc_id", "place", "run"])
 
     def run(rows):
         import pyarrow as pa
@@ -144,29 +171,34 @@ def _cut(method: Method):
             cold = np.flatnonzero(~hot)
             for i in range(0, len(cold), 4096):
                 w = cold[i : i + 4096]
-                yield pa.record_batch(
-                    [pa.array(key[w]), pa.array(ids[w]), pa.array(place[w]), pa.array([content[x] for x in w], pa.binary())],
-                    names=["key", "doc_id", "place", "run"],
-                )
+                yield rows_of(RUN, key[w], ids[w], place[w], pa.array([content[x] for x in w], pa.binary()))
             which = np.flatnonzero(hot)
             count = (place % SPAN)[which]
             r = np.repeat(which, count)
             j = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
-            if len(r):
-                own = window(r, j).view(np.int64)
-                order = np.lexsort((place[r] + j * SPAN, ids[r], own))
-                for i in range(0, len(r), 65536):
-                    w = order[i : i + 65536]
-                    yield pa.record_batch(
-                        [pa.array(own[w]), pa.array(ids[r[w]]), pa.array((place[r[w]] // SPAN + j[w]) * SPAN + 1), pa.nulls(len(w), pa.binary())],
-                        names=["key", "doc_id", "place", "run"],
-                    )
+            if not len(r):
+                continue
+            own = window(r, j).view(np.int64)
+            at = (place[r] // SPAN + j) * SPAN + 1
+            order = np.lexsort((at, ids[r], own))
+            again = np.zeros(len(r), bool)
+            again[order[1:]] = own[order[1:]] == own[order[:-1]]
+            first = np.flatnonzero(~again)
+            for i in range(0, len(first), 65536):
+                w = first[i : i + 65536]
+                yield rows_of(SINGLE, own[w], ids[r[w]], at[w], pa.nulls(len(w), pa.binary()))
+            if again.any():
+                run, places = _joined(place, r, j, again)
+                ids = ids[run]
+                # what is settled is dealt evenly
+                dealt = mix(ids.astype(np.uint64) * np.uint64(31) + places.astype(np.uint64)).view(np.int64)
+                yield rows_of(SETTLED, dealt, ids, places, pa.nulls(len(run), pa.binary()))
 
     return run
 
 
 def _compare(method: Method):
-    """Step 3 over cut runs sorted by key, document and place."""
+    """Step 3 over cut rows sorted by state, key, document and place."""
 
     def settle(keys, ids, places, runs):
         import pyarrow as pa
@@ -175,24 +207,32 @@ def _compare(method: Method):
         ids, places = ids[order], places[order]
         count = places % SPAN
         covered = method.compare([runs[i] for i in order], count)
-        # back to runs of consecutive covered starts
-        at = np.flatnonzero(covered)
-        run = np.repeat(np.arange(len(count)), count)[at]
-        j = at - (np.cumsum(count) - count)[run]
-        new = np.ones(len(at), bool)
-        new[1:] = (run[1:] != run[:-1]) | (j[1:] != j[:-1] + 1)
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(at)))
-        r = run[begin]
-        return pa.record_batch(
-            [pa.array(ids[r]), pa.array((places[r] // SPAN + j[begin]) * SPAN + size)], names=["doc_id", "place"]
-        )
+        run = np.repeat(np.arange(len(count)), count)
+        j = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        run, covered = _joined(places, run, j, covered)
+        return pa.record_batch([pa.array(ids[run]), pa.array(covered)], names=["doc_id", "place"])
 
     def run(rows):
+        import pyarrow as pa
+
         keys, ids, places, runs, size = [], [], [], [], 0
+        single = None  # the key of the last single window
         for batch in rows:
-            key, doc, place = (batch.column(i).to_numpy() for i in range(3))
-            body = batch.column(3).to_pylist()
+            state = batch.column(0).to_numpy()
+            if (state != RUN).any():
+                key, doc, place = (batch.column(i).to_numpy() for i in range(1, 4))
+                covered = state == SETTLED
+                one = np.flatnonzero(state == SINGLE)
+                if len(one):
+                    covered[one[1:]] = key[one[1:]] == key[one[:-1]]
+                    covered[one[0]] = single is not None and key[one[0]] == single
+                    single = key[one[-1]]
+                yield pa.record_batch([pa.array(doc[covered]), pa.array(place[covered])], names=["doc_id", "place"])
+                batch = batch.filter(pa.array(state == RUN))
+            if not batch.num_rows:
+                continue
+            key, doc, place = (batch.column(i).to_numpy() for i in range(1, 4))
+            body = batch.column(4).to_pylist()
             last = 0
             for cut in [*(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]:
                 if size >= BATCH_BYTES and key[last] != keys[-1][-1]:
@@ -242,19 +282,9 @@ def covered_places(spark: SparkSession, docs: DataFrame, method: Method) -> Data
     by_doc = open_.repartition(n, "doc_id").groupBy("doc_id", version()).agg(F.collect_list(F.struct("key", "place", "hot")).alias("runs"))
     # dealt by document, as in with_places: the same exchange of texts serves both
     cut = docs.join(by_doc.hint("merge"), ["doc_id", "version"]).select("doc_id", "text", "runs")
-    cut = cut.mapInArrow(_cut(method), "key long, doc_id long, place long, run binary")
-    cut = cut.withColumn("single", F.col("run").isNull())
-    cold = cut.where("NOT single").select("key", "doc_id", "place", "run").repartition(n, "key")
-    cold = cold.sortWithinPartitions("key", "doc_id", "place").mapInArrow(_compare(method), "doc_id long, place long")
-    out = found.where("covered").select("doc_id", "place").unionByName(cold)
-    if hot.limit(1).count():
-        # single windows: all but the first of each content are covered
-        single = cut.where("single").select("key", F.struct("doc_id", "place").alias("at"))
-        single = materialize(spark, single, "repeats-single")
-        least = single.groupBy("key").agg(F.min("at").alias("least"))
-        later = single.join(least, "key").where("at > least").select("at.doc_id", "at.place")
-        out = out.unionByName(later)
-    return out
+    cut = cut.mapInArrow(_cut(method), "state int, key long, doc_id long, place long, run binary").repartition(n, "key")
+    cut = cut.sortWithinPartitions("state", "key", "doc_id", "place").mapInArrow(_compare(method), "doc_id long, place long")
+    return found.where("covered").select("doc_id", "place").unionByName(cut)
 
 
 def version():
