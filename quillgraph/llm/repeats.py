@@ -37,6 +37,7 @@ from quillgraph.llm.common import batches, documents, materialize, mix, shuffle_
 
 #: Different runs of one key that are compared in one task at most, and bytes of a batch of keys.
 HOT, BATCH_BYTES = 1000, 1 << 20
+SALTS = 64
 #: A place is version * VERSION + start * SPAN + number of starts.
 SPAN = 256
 VERSION = 1 << 40
@@ -278,7 +279,10 @@ def covered_places(spark: SparkSession, docs: DataFrame, method: Method) -> Data
     found = materialize(spark, found, "repeats-found")
     open_ = found.where("NOT covered").select("key", "doc_id", "place")
     hot = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
-    open_ = open_.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # a hot key's rows meet it in SALTS tasks
+    hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    open_ = open_.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    open_ = open_.join(hot, ["key", "salt"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     by_doc = open_.repartition(n, "doc_id").groupBy("doc_id", version()).agg(F.collect_list(F.struct("key", "place", "hot")).alias("runs"))
     # dealt by document, as in with_places: the same exchange of texts serves both
     cut = docs.join(by_doc.hint("merge"), ["doc_id", "version"]).select("doc_id", "text", "runs")
