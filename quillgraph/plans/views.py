@@ -78,10 +78,10 @@ nodes AS (
 
 
 def flow(spark: SparkSession, sf_dir: str) -> Graph:
-    """Control flow: a user's first eight events are a function; event types are blocks numbered by first
+    """Control flow: a user's whole history is a function; event types are blocks numbered by first
     occurrence, consecutive types are edges, those into ``error`` exceptional."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts").withColumn("k", F.row_number().over(order)).where("k <= 8")
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts").withColumn("k", F.row_number().over(order))
     e = e.withColumns({"file": F.lit("events"), "function": F.col("user_id"), "next": F.lead("event_type").over(order)})
     first = e.groupBy("file", "function", "event_type").agg(F.min("k").alias("at"))
     ranks = Window.partitionBy("file", "function").orderBy("at")
