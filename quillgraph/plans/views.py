@@ -123,9 +123,8 @@ edges AS (SELECT DISTINCT s AS src, p AS dst, v FROM d UNION SELECT p, o, v FROM
 
 
 def data(spark: SparkSession, sf_dir: str) -> Graph:
-    """Data flow: supplier to part to order to customer through lines of large quantity; the variable is
-    the line's flag."""
-    line = read(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    """Data flow: supplier to part to order to customer through every line; the variable is the line's flag."""
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
     line = line.join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     line = line.select(
         (F.col("l_suppkey") * 8 + 5).alias("s"), (F.col("l_partkey") * 8 + 6).alias("p"), (F.col("l_orderkey") * 8 + 3).alias("o"),

@@ -52,3 +52,52 @@ def test_flow_queries(spark, events_dir):
         assert [r[3:] for r in run(name)] == sorted(want), name
     exc = [u * 100 + i for (u, i), b in at.items() if ("exc", b, b) in facts[u]]
     assert [r[3] for r in run("cfg_exception_path")] == sorted(exc)
+
+
+# (order, part, supplier, quantity, flag)
+LINES = [(1, 1, 1, 3.0, "A"), (1, 2, 1, 50.0, "N"), (2, 2, 2, 7.0, "R"), (2, 1, 2, 1.0, "R"), (3, 3, 1, 48.0, "R"), (4, 2, 3, 10.0, "N"), (4, 3, 3, 49.0, "A")]
+ORDERS = {1: 1, 2: 1, 3: 2, 4: 3}
+
+
+@pytest.fixture(scope="module")
+def lines_dir(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("lines")
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{at}/{name}.parquet")
+    put("lineitem", LINES, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string")
+    put("orders", [(o, c, "O", "1-URGENT") for o, c in ORDERS.items()], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    put("supplier", [(s, f"s{s}", -1.0 if s < 3 else 1.0) for s in (1, 2, 3)], "s_suppkey long, s_name string, s_acctbal double")
+    put("part", [(p, "b", "t", 10 * p) for p in (1, 2, 3)], "p_partkey long, p_brand string, p_type string, p_size int")
+    put("customer", [(c, f"c{c}", "BUILDING") for c in (1, 2, 3)], "c_custkey long, c_name string, c_mktsegment string")
+    return str(at)
+
+
+def test_data_flow_queries(spark, lines_dir):
+    edges = set()
+    for o, p, s, _, v in LINES:
+        edges |= {(s * 8 + 5, p * 8 + 6, v), (p * 8 + 6, o * 8 + 3, v), (o * 8 + 3, ORDERS[o] * 8 + 2, v)}
+
+    def closed(start, arcs):
+        seen, todo = {start}, [start]
+        while todo:
+            x = todo.pop()
+            more = {b for a, b, _ in arcs if a == x} - seen
+            seen |= more
+            todo += more
+        return seen
+
+    assert {tuple(r) for r in views.data(spark, lines_dir).table("dfg_edges").select("src", "dst", "variable").collect()} == edges
+    debt, wall = (13, 21), {30}
+    kept = {e for e in edges if e[1] not in wall}
+    target = {c * 8 + 2 for c in ORDERS.values()}
+    points = {(a, b) for a, b, v in edges if v == "R"}
+    run = lambda name: {tuple(r) for r in catalogue.queries()[name](spark, lines_dir).collect()}
+    assert run("dfg_flows_to") == {(a, b) for a, b, v in edges if v == "A"}
+    assert run("dfg_reaches") == {(s, x) for s in debt for x in closed(s, edges)}
+    assert run("dfg_barrier") == {(s, x) for s in debt for x in closed(s, kept)}
+    assert run("dfg_def_use") == {(a,) for a, _, v in edges if v == "R" and a in {b for _, b, w in edges if w == "N"}}
+    for name, arcs in (("taint_basic", edges), ("taint_sanitized", kept)):
+        assert {r[3:] for r in run(name)} == {(s, x) for s in debt for x in closed(s, arcs) & target}
+    assert {r[:3] for r in run("taint_path")} == {(s, x, 4) for s in debt for x in closed(s, edges) & target}
+    assert run("ana_alias") == {(x, y) for x, t in points for y, u in points if t == u and x < y}
+    null = {e for e in edges if e[2] != "R"}
+    assert run("ana_nullability") == {(x, 13) for x in closed(13, null)}
