@@ -101,3 +101,19 @@ def test_data_flow_queries(spark, lines_dir):
     assert run("ana_alias") == {(x, y) for x, t in points for y, u in points if t == u and x < y}
     null = {e for e in edges if e[2] != "R"}
     assert run("ana_nullability") == {(x, 13) for x in closed(13, null)}
+
+
+def test_changes_of_all_events(spark, tmp_path):
+    # (event, user, day): users 7 and 104 are equal modulo 97; events of multiples of 5 and user 7 count too
+    rows = [(5, 7, 3), (10, 7, 20), (11, 104, 2), (12, 1, 18), (13, 2, 4), (14, 2, 29), (14, 3, 1), (14, 3, 16)]
+    rows = [(i, datetime.datetime(2024, 1, d), u, "view", 1.0, None) for i, u, d in rows]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in catalogue.queries()["set_changes"](spark, str(tmp_path)).collect())
+    assert got == [("view1", "added"), ("view104", "removed"), ("view2", "changed"), ("view7", "changed")]
+
+
+def test_dirty_callers_of_all_orders(spark, tmp_path):
+    orders = {1: 7, 2: 1, 3: 2, 2018: 3, 5000: 2018, 6: 9, 12: 6, 1016: 8}
+    spark.createDataFrame(list(orders.items()), "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(r["fn"] for r in catalogue.queries()["incr_dirty_callers"](spark, str(tmp_path)).collect())
+    assert got == [1, 2, 3, 7, 2018, 5000]
