@@ -1,24 +1,25 @@
 """Toxicity (7): votes of the nearest labelled examples by exact TF-IDF cosine.
 
 Learned from labels: at most SAMPLE labelled rows (those whose document hashes
-lowest; the bound is a parameter) give the examples and, by a chi-square of at
-least CHI_SQUARE between label and presence, the terms of the space (at most
-TERMS).  Document frequencies are counted over all documents.  Weights are
-(1 + ln tf) * ln((N + 1) / (df + 1/2)), vectors have length 1.
-
-Search: the examples' inverted index is cut into blocks of BLOCK examples
-holding, for each term, the largest weight in the block.  A query's blocks are
-opened in order of their upper bounds until no bound exceeds the K-th best
-cosine found, so the neighbours are exact; ties go to the smaller doc_id.  The
-score is the distance-weighted vote, shrunk towards the rate of the label:
-(sum cos * label + PRIOR * rate) / (sum cos + PRIOR); evidence lists the nearest
-examples.  An example is never its own neighbour.
-
-Only the index (SAMPLE rows by TERMS terms at most) is broadcast; documents are
-read twice and never shuffled.
-
-Defined results: a text without any term of the space (null and empty texts
-too) gets the rate among such examples, so without labels 0; repeated doc_ids
+lowest; the bound is a parameter) give the examples, and all their words are the
+terms of the space.  Document frequencies are counted over all documents.  A
+term's weight is (1 + ln tf) * ln((N + 1) / (df + 1/2)) * (chi + 1) / (n + 1),
+chi being the chi-square between label and presence among the n examples: a
+weight above 0 for every term, no selection.  Vectors have length 1.
+
+Search: a term's posting list of (example, weight) is cut by blocks of BLOCK
+examples, with the largest weight in each.  The FIRST blocks of highest upper
+bound are opened, then all whose bound reaches the K-th best cosine found, so the
+neighbours are exact; ties go to the smaller doc_id.  The score is the
+distance-weighted vote, shrunk towards the rate of the label: (sum cos * label +
+PRIOR * rate) / (sum cos + PRIOR); evidence lists the nearest examples.  An
+example is never its own neighbour.
+
+Only the index (the words of SAMPLE rows, each once a row) is collected and
+broadcast; documents are read twice and never shuffled.
+
+Defined results: words that no example has are left out of a document's vector; a
+text without any term of the space (null and empty texts too) gets the rate among such examples, so without labels 0; repeated doc_ids
 are scored one by one; a doc_id with several labels counts as toxic if one is;
 null labels are ignored; extra columns are ignored.
 """
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import batches, documents, materialize, table
 from quillgraph.llm.decontaminate import tokens
 
-SAMPLE, TERMS, CHI_SQUARE, LEAST_DOCS = 8000, 512, 30.0, 5
-K, BLOCK, PRIOR = 16, 64, 0.5
+SAMPLE = 8000
+K, BLOCK, FIRST, PRIOR = 16, 64, 4, 0.5
 
 
 def term_counts(data: np.ndarray, off: np.ndarray, terms: np.ndarray | None = None):
@@ -60,47 +61,95 @@ def term_counts(data: np.ndarray, off: np.ndarray, terms: np.ndarray | None = No
     return doc[start], words[start], np.diff(np.append(start, len(doc)))
 
 
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each start and size, one after another."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
 class BlockMaxIndex:
-    """Unit vectors of examples over few terms, searched exactly by block maxima."""
+    """Unit vectors of examples as posting lists, searched exactly by block maxima.
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, block: int = BLOCK):
+    vectors: an array of examples by terms, or (example, term, weight, number of terms) of what isn't 0."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors, block: int = BLOCK):
+        if not isinstance(vectors, tuple):
+            row, term = np.nonzero(vectors)
+            vectors = row, term, vectors[row, term], vectors.shape[1]
+        row, term, weight, self.size = vectors
         # examples alike in their heaviest term share blocks, which keeps the maxima sharp
-        lead = np.where(vectors.any(axis=1), vectors.argmax(axis=1), vectors.shape[1]) if vectors.size else np.zeros(len(ids), int)
+        lead = np.full(len(ids), self.size)
+        heavy = np.lexsort((term, -weight, row))
+        heavy = heavy[np.unique(row[heavy], return_index=True)[1]]
+        lead[row[heavy]] = term[heavy]
         order = np.lexsort((ids, labels, lead))
-        self.ids, self.labels, self.vectors = ids[order], labels[order], vectors[order]
-        self.block = block
-        cuts = np.arange(0, len(ids), block)
-        self.maxima = (
-            np.maximum.reduceat(self.vectors, cuts, axis=0) if len(ids) else np.zeros((0, vectors.shape[1]))
-        )
+        self.ids, self.labels, self.block = ids[order], labels[order], block
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        row = place[row]
+        order = np.lexsort((row, term))
+        self.example, self.weight, term = row[order].astype(np.int32), weight[order], term[order]
+        part = self.example // block
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (part[1:] != part[:-1])
+        cuts = np.flatnonzero(new)
+        self.start, self.part = np.append(cuts, len(term)).astype(np.int32), part[cuts]
+        self.maxima = np.maximum.reduceat(self.weight, cuts) if len(cuts) else np.zeros(0)
+        self.first = np.searchsorted(term[cuts], np.arange(self.size + 1)).astype(np.int32)
+
+    @property
+    def filled(self) -> np.ndarray:
+        """Whether an example has any term."""
+        return np.bincount(self.example, minlength=len(self.ids)) > 0
+
+    @property
+    def vectors(self) -> np.ndarray:
+        """The array of examples, in the order of ids, by terms; for small indexes."""
+        out = np.zeros((len(self.ids), self.size))
+        term = np.repeat(np.repeat(np.arange(self.size), np.diff(self.first)), np.diff(self.start))
+        out[self.example, term] = self.weight
+        return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K, without: int | None = None):
         """(places, cosines) of the k nearest examples of positive cosine, ties by smaller id."""
-        bound = self.maxima[:, terms] @ weights
-        order = np.argsort(-bound, kind="stable")
-        place, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order:
-            if bound[b] <= 0 or (len(place) >= k and bound[b] < least - 1e-9):
-                break
-            at = slice(b * self.block, (b + 1) * self.block)
-            c = np.round(self.vectors[at][:, terms] @ weights, 9)
-            own = np.flatnonzero(c > 0) + b * self.block
+        count = self.first[terms + 1] - self.first[terms]
+        list_ = spans(self.first[terms], count)
+        part, own = self.part[list_], np.repeat(weights, count)
+        bound = np.bincount(part, own * self.maxima[list_], minlength=-(-len(self.ids) // self.block))
+        start, size = self.start[list_], self.start[list_ + 1] - self.start[list_]
+
+        def best(opened: np.ndarray):
+            lists = opened[part]
+            at = spans(start[lists], size[lists])
+            c = np.bincount(self.example[at], np.repeat(own[lists], size[lists]) * self.weight[at], minlength=len(self.ids))
+            c = np.round(c, 9)
+            place = np.flatnonzero(c > 0)
             if without is not None:
-                own = own[self.ids[own] != without]
-            place, cosine = np.append(place, own), np.append(cosine, c[own - b * self.block])
-            best = np.lexsort((self.ids[place], -cosine))[:k]
-            place, cosine = place[best], cosine[best]
-            if len(place) >= k:
-                least = cosine[-1]
-        return place, cosine
+                place = place[self.ids[place] != without]
+            if len(place) > k:
+                place = place[c[place] >= np.partition(c[place], -k)[-k]]
+            place = place[np.lexsort((self.ids[place], -c[place]))[:k]]
+            return place, c[place]
+
+        if len(bound) > FIRST:
+            opened = np.zeros(len(bound), bool)
+            opened[np.argpartition(-bound, FIRST)[:FIRST]] = True
+            cosine = best(opened)[1]
+            # less than what rounding may add to a cosine
+            opened |= bound >= (cosine[-1] - 2e-9 if len(cosine) >= k else 0)
+        else:
+            opened = np.ones(len(bound), bool)
+        return best(opened)
 
 
 class Model:
+    """idf: a term's weight but for its count."""
+
     def __init__(self, terms: np.ndarray, idf: np.ndarray, index: BlockMaxIndex):
         self.terms, self.idf, self.index = terms, idf, index
         y = index.labels
         self.rate = float(y.mean()) if len(y) else 0.0
-        blank = ~index.vectors.any(axis=1)
+        blank = ~index.filled
         self.blank = float((y[blank].sum() + self.rate) / (blank.sum() + 1)) if len(y) else 0.0
 
     def score(self, terms: np.ndarray, tf: np.ndarray, doc_id: int | None) -> tuple[float, str]:
@@ -134,15 +183,20 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     # at most ``sample`` rows of two numbers
     texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
     found = materialize(spark, texts.mapInArrow(count, "doc_id long, toxic long, term long, tf long"), "toxic-terms")
+    # at most ``sample`` rows, and a row for each of their words
     examples = texts.select("doc_id", "toxic").orderBy("doc_id").collect()
-    n1 = sum(r["toxic"] for r in examples)
-    n0 = len(examples) - n1
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n1 + n0 - a - b) * float(max(n1 * n0, 1)) + 1e-9)
-    terms = found.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    terms = terms.where(F.col("a") + F.col("b") >= LEAST_DOCS).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
-    kept = [r["term"] for r in terms.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
-    words = np.sort(np.array(kept, np.int64).view(np.uint64))
+    ids, labels = (np.array([r[c] for r in examples], np.int64) for c in ("doc_id", "toxic"))
+    rows = found.select("doc_id", "term", "tf").toArrow()
+    doc_id, term, tf = (rows.column(c).to_numpy() for c in range(3))
+    del rows
+    row = np.searchsorted(ids, doc_id)
+    words, term = np.unique(term.view(np.uint64), return_inverse=True)
+    n1, n = float(labels.sum()), len(ids)
+    n0 = n - n1
+    every = np.bincount(term, minlength=len(words)).astype(float)
+    a = np.bincount(term, labels[row], minlength=len(words))
+    b = every - a
+    chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (every * (n - every) * max(n1 * n0, 1) + 1e-9)
 
     known = spark.sparkContext.broadcast(words)
 
@@ -154,22 +208,17 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
             n += part.num_rows
             _, at, _ = term_counts(data, off, known.value)
             total += np.bincount(at, minlength=len(total))
-        yield pa.record_batch([pa.array(np.arange(-1, len(total))), pa.array(np.append(n, total))], names=["at", "n"])
-
-    counts = dict(docs.mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n")).collect())
-    df = np.array([counts.get(i, 0) for i in range(len(words))], float)
-    idf = np.log((counts.get(-1, 0) + 1) / (df + 0.5))
-    ids = np.array([r["doc_id"] for r in examples], np.int64)
-    vectors = np.zeros((len(ids), len(words)))
-    if kept:
-        place = {int(w): i for i, w in enumerate(words.view(np.int64))}
-        rows = found.where(F.col("term").isin(kept)).select("doc_id", "term", "tf").collect()
-        at = {int(d): i for i, d in enumerate(ids)}
-        for d, t, tf in rows:
-            vectors[at[d], place[t]] = (1 + np.log(tf)) * idf[place[t]]
-    length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors /= np.where(length > 0, length, 1)
-    return Model(words, idf, BlockMaxIndex(ids, np.array([r["toxic"] for r in examples], float), vectors))
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(np.append(-1, some)), pa.array(np.append(n, total[some]))], names=["at", "n"])
+
+    counts = docs.mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n")).toArrow()
+    df = np.zeros(len(words) + 1)
+    df[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+    idf = np.log((df[-1] + 1) / (df[:-1] + 0.5)) * (chi + 1) / (n + 1)
+    weight = (1 + np.log(tf)) * idf[term]
+    length = np.sqrt(np.bincount(row, weight**2, minlength=n))
+    vectors = (row, term, weight / np.where(length > 0, length, 1)[row], len(words))
+    return Model(words, idf, BlockMaxIndex(ids, labels.astype(float), vectors))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

@@ -263,6 +263,21 @@ def test_toxicity(spark, docs, empty):
     assert {r["score"] for r in toxicity.score(spark, docs, few).collect()} == {few.blank}
 
 
+def test_toxicity_uses_all_terms(spark):
+    # 20 labelled rows, so no chi-square reaches 30; the telling words are in two rows each
+    calm = [(i, f"calm day tree sun w{i}", 0) for i in range(10)]
+    foul = [(10 + i, f"calm day tree sun vile{i // 2} w{i}", 1) for i in range(10)]
+    asked = [(100 + i, f"calm day tree vile{i}") for i in range(5)] + [(200, "calm day tree sun w3"), (300, "unknown"), (400, None)]
+    texts = spark.createDataFrame([(i, t) for i, t, _ in calm + foul] + asked, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in calm + foul], "doc_id long, toxic int")
+    model = toxicity.fit(spark, texts, labels)
+    assert len(model.terms) == len({w for _, t, _ in calm + foul for w in t.split()}) and model.idf.min() > 0
+    got = by_id(toxicity.score(spark, texts, model))
+    assert all(int(got[100 + i]["evidence"].split(":")[0]) in (10 + 2 * i, 11 + 2 * i) for i in range(5))
+    assert got[300]["score"] == got[400]["score"] == model.blank and got[300]["evidence"] == ""
+    assert len({got[i]["score"] for i in (100, 200)}) == 2
+
+
 def test_licenses(spark, docs, empty):
     mit = dict(licenses.KNOWN)["ISC"]
     extra = spark.createDataFrame(
