@@ -4,11 +4,13 @@ Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased.  Each
 mask of MASKS looks at four words of a span and ignores those between; together
 they hit every stretch of STRETCH words that differs from a benchmark item in at
 most STRETCH - LEAST words (tests/llm checks this for every placing of the
-differences).  Seed hashes of the benchmark are joined with those of all
+differences).  An item under STRETCH words is also cut into one run of words more
+than may differ, so one run of it stands unchanged in every match; its runs are
+seeds too.  Seed hashes of the benchmark are joined with those of all
 training positions; each hit names a diagonal, along which item and document
 are compared word by word.  A pair is reported if some stretch of STRETCH words
 (or the whole item, if shorter; then all but one in five words) agrees in at
-least LEAST.  Substituted words are tolerated; nothing is capped or sampled.
+least LEAST; an item under five words must agree in all.  Substituted words are tolerated; nothing is capped or sampled.
 
 The benchmark is a stated query set: it is read in blocks of at most
 BLOCK_WORDS words, each of which is broadcast (a few MB at most) and joined with
@@ -32,14 +34,15 @@ from quillgraph.llm.common import BYTE_CODE, batches, documents, mix, prefix_has
 MASKS = ("111011", "110100101", "111000101")
 STRETCH, LEAST = 13, 10
 BLOCK_WORDS = 500_000
-MIN_ITEM = 6
+#: Runs of an item under STRETCH words: masks of so many words, after MASKS.
+RUNS = ("1", "11", "111", "1111", "11111")
 
 _KIND = np.zeros(256, bool)
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = _KIND[128:] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SALT = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-_OFFSETS = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
+_OFFSETS = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS + RUNS]
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,22 +85,38 @@ class Index:
         item = np.repeat(np.arange(len(ids)), size)
         ends = np.repeat(self.first[1:], size)
         self.tables = []
-        for k in range(len(MASKS)):
+        runs = self._runs(size)
+        for k in range(len(_OFFSETS)):
             h, at = seeds(self.words, ends, k)
+            if k >= len(MASKS):
+                own = np.isin(at, runs[k - len(MASKS)])
+                h, at = h[own], at[own]
             order = np.argsort(h, kind="stable")
             h, at = h[order], at[order]
-            seen = np.zeros(1 << 22, bool)
+            seen = np.zeros(1 << 22 if len(h) else 0, bool)
             seen[(h >> np.uint64(42)).astype(np.int64)] = True
             self.tables.append((h, at, item[at] if len(at) else at, seen))
 
+    def _runs(self, size: np.ndarray) -> list[np.ndarray]:
+        """Where the runs of each length start in the items under STRETCH words."""
+        out = [[np.zeros(0, np.int64)] for _ in RUNS]
+        for n in range(1, STRETCH):
+            first, begin = self.first[:-1][size == n], 0
+            for part in np.array_split(np.arange(n), n // 5 + 1):
+                out[len(part) - 1].append(first + begin)
+                begin += len(part)
+        return [np.concatenate(x) for x in out]
+
     def hits(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, item, start, matches, compared): the best stretch of each text and item that pass."""
         words, first = tokens(data, off)
         ends = np.repeat(first[1:], np.diff(first))
         found = []
         for k, (h, at, item, seen) in enumerate(self.tables):
+            if not len(h):
+                continue
             own, pos = seeds(words, ends, k)
-            if not len(own) or not len(h):
+            if not len(own):
                 continue
             near = np.flatnonzero(seen[(own >> np.uint64(42)).astype(np.int64)])
             lo, hi = np.searchsorted(h, own[near], "left"), np.searchsorted(h, own[near], "right")
@@ -137,7 +156,7 @@ class Index:
         best = agree.argmax(axis=1)
         match = agree[np.arange(len(item)), best]
         need = np.where(size >= STRETCH, LEAST, size - size // 5)
-        ok = (match >= need) & (size >= MIN_ITEM)
+        ok = match >= need
         start = np.maximum(begin + best, first[doc]) - first[doc]
         return doc[ok], item[ok], start[ok], match[ok], span[ok]
 

@@ -263,6 +263,21 @@ def test_toxicity(spark, docs, empty):
     assert {r["score"] for r in toxicity.score(spark, docs, few).collect()} == {few.blank}
 
 
+def test_short_items():
+    # every placing of the words that may differ, in items of every length under the stretch
+    for n in range(1, decontaminate.STRETCH):
+        item = [f"i{n}x{j}" for j in range(n)]
+        index, texts = decontaminate.Index([7], [" ".join(item)]), []
+        for m in range(n // 5 + 2):
+            for gone in itertools.combinations(range(n), m):
+                texts.append((m, " ".join(["left", *("other" if j in gone else w for j, w in enumerate(item)), "right"])))
+        data = [t.encode() for _, t in texts]
+        off = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
+        doc, ids, start, match, span = index.hits(np.frombuffer(b"".join(data), np.uint8), off)
+        want = [(i, 7, 1, n - m, n) for i, (m, _) in enumerate(texts) if m <= n // 5]
+        assert list(zip(*(x.tolist() for x in (doc, ids, start, match, span)), strict=True)) == want
+
+
 def test_toxicity_uses_all_terms(spark):
     # 20 labelled rows, so no chi-square reaches 30; the telling words are in two rows each
     calm = [(i, f"calm day tree sun w{i}", 0) for i in range(10)]
