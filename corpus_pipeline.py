@@ -1,11 +1,14 @@
 """Documents from raw to token digests: five stages, each written and read again before the next.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.  Rows that
-share a doc_id are one document.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.  Each row is a
+document of its own, also where doc_ids repeat or are null: a stage numbers the rows in order of doc_id,
+null last, then of hashes of text and source, and judges them by their numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,41 +22,52 @@ from quillgraph.llm.suffix_dedup import dedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not in ``gone`` (doc_id), with the columns of documents."""
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(COLUMNS)
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents, with the row's number instead of doc_id, which becomes _own."""
+    rows = docs.select(F.col("doc_id").alias("_own"), *COLUMNS[1:])
+    rows = rows.orderBy(F.col("_own").asc_nulls_last(), F.xxhash64("text", "source"))
+    return materialize(spark, rows.withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+
+
+def _without(spark: SparkSession, docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that are not in ``find`` (doc_id) of the numbered rows, with the columns of documents."""
+    rows = _numbered(spark, docs)
+    gone = find(rows.drop("_own")).select(F.col("doc_id").alias("_gone")).distinct()
+    rows = rows.join(gone, rows["doc_id"] == gone["_gone"], "left_anti")
+    return rows.select(F.col("_own").alias("doc_id"), *COLUMNS[1:])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _without(docs, quality_rules(spark, docs).where("NOT kept"))
+    return _without(spark, docs, lambda rows: quality_rules(spark, rows).where("NOT kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest doc_id."""
-    return _without(docs, near_duplicates(spark, docs).where("NOT kept"))
+    return _without(spark, docs, lambda rows: near_duplicates(spark, rows).where("NOT kept"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes or more that came earlier are cut out; a character of which a part is
     left goes with it, and n_chars is counted anew."""
-    cut = dedup(spark, docs).where("n_removed > 0").groupBy("doc_id").agg(F.any_value("kept").alias("kept"))
+    rows = _numbered(spark, docs)
+    cut = dedup(spark, rows.drop("_own")).where("n_removed > 0")
     cut = cut.select(F.col("doc_id").alias("_id"), whole_characters(F.col("kept")).alias("_text"))
-    out = docs.join(cut, docs["doc_id"] == cut["_id"], "left")
+    out = rows.join(cut, rows["doc_id"] == cut["_id"], "left")
     text = F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.col("_text"))
     n_chars = F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long"))
-    return out.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    return out.select(F.col("_own").alias("doc_id"), text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
+@F.udf("string", useArrow=True)
 def whole_characters(body):
     """Text of UTF-8 bytes without the bytes that belong to no whole character."""
-    return F.replace(F.make_valid_utf8(body.cast("string")), F.lit("�"), F.lit(""))
+    return None if body is None else bytes(body).decode("utf-8", "ignore")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    return _without(docs, overlaps(spark, docs, table(spark, sf_dir, "benchmark")))
+    return _without(spark, docs, lambda rows: overlaps(spark, rows, table(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -362,3 +362,31 @@ def test_pipeline(spark, tmp_path, rows):
     got = corpus_pipeline.run(spark, str(tmp_path)).count()
     assert got == docs.count() and 0 < got < len(rows)
     assert docs.where(F.length("text") != F.col("n_chars")).count() == 0
+
+
+def test_pipeline_rows_of_their_own(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    say = lambda n: " ".join("w%d" % rng.randrange(900) for _ in range(n))
+    a, b, item = say(60), say(50), " ".join(f"q{i}" for i in range(15))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def after(stage, rows):
+        docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        return sorted(((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in stage(spark, docs, str(tmp_path)).collect()))
+
+    tell = lambda *rows: sorted((i or 0, t, len(t)) for i, t in rows)
+    # texts of one doc_id are cut each by itself, and a replacement character that the text has stays
+    got = after(corpus_pipeline.suffix_dedup, [(1, a), (3, "\ufffdx " + a + " end"), (3, "short"), (None, "y " + a)])
+    texts = {(i, t) for i, t, _ in got}
+    assert (1, a) in texts and (3, "short") in texts and all(n == len(t) for _, t, n in got)
+    assert [t for i, t in texts if i == 3 and t.startswith("\ufffdx") and a not in t] and [t for i, t in texts if i == 0 and a not in t]
+    # a clean row stays beside one with a passage of the benchmark, and a null doc_id doesn't save one
+    got = after(corpus_pipeline.decontaminate, [(1, a), (1, a + " " + item), (None, item + " " + b), (None, b)])
+    assert got == tell((1, a), (None, b))
+    got = after(corpus_pipeline.near_dedup, [(1, a), (2, a), (2, b), (5, b), (None, b)])
+    assert got == tell((1, a), (2, b))
+    # a row that the quality rules reject, by null doc_id and beside a good one
+    got = after(corpus_pipeline.quality, [(1, a), (1, "### ###"), (2, b), (3, a + b), (None, "### ###")])
+    assert got == tell((1, a), (2, b), (3, a + b))
