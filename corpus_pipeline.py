@@ -19,6 +19,8 @@ from quillgraph.llm.minhash import near_duplicates
 from quillgraph.llm.quality import quality_rules
 from quillgraph.llm.suffix_dedup import dedup
 
+#: Words of the near-dedup stage's shingles; op2 has its own.
+SHINGLE = 5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -44,7 +46,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest doc_id."""
-    return _without(spark, docs, lambda rows: near_duplicates(spark, rows).where("NOT kept"))
+    return _without(spark, docs, lambda rows: near_duplicates(spark, rows, SHINGLE).where("NOT kept"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

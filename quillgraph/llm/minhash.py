@@ -94,11 +94,11 @@ def signatures(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(rows):
+def _sketch(rows, shingle: int):
     import pyarrow as pa
 
     for part, data, off in batches(rows, 1):
-        sets, first = shingle_sets(data, off)
+        sets, first = shingle_sets(data, off, shingle)
         sig = signatures(sets, first)
         body = sig.tobytes()
         width = SIZE * 4
@@ -190,11 +190,11 @@ def _cells(t):
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def _sets(rows):
+def _sets(rows, shingle: int):
     import pyarrow as pa
 
     for part, data, off in batches(rows, 1):
-        sets, first = shingle_sets(data, off)
+        sets, first = shingle_sets(data, off, shingle)
         key = _sums(mix(sets), first).view(np.int64)
         body = sets.tobytes()
         out = [body[8 * i : 8 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
@@ -239,10 +239,10 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row a document."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row a document; sets are of ``shingle`` words."""
     docs = documents(docs)
-    sketches = materialize(spark, docs.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, sig binary"), "sketches")
+    sketches = materialize(spark, docs.mapInArrow(lambda rows: _sketch(rows, shingle), "doc_id long, n long, k1 long, k2 long, sig binary"), "sketches")
     keyed = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k1", "k2")
     nodes = keyed.agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig"))
     nodes = materialize(spark, nodes, "nodes")
@@ -264,7 +264,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def sets_of(named: DataFrame) -> DataFrame:
         named = named.distinct().join(nodes.select("node", "k1"), "node")
         texts = docs.join(named.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_sets, "node long, k1 long, items binary").join(named, ["node", "k1"], "left_semi")
+        sets = texts.mapInArrow(lambda rows: _sets(rows, shingle), "node long, k1 long, items binary").join(named, ["node", "k1"], "left_semi")
         return sets.select("node", "items")
 
     star = members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()

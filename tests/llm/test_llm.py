@@ -390,3 +390,15 @@ def test_pipeline_rows_of_their_own(spark, tmp_path):
     # a row that the quality rules reject, by null doc_id and beside a good one
     got = after(corpus_pipeline.quality, [(1, a), (1, "### ###"), (2, b), (3, a + b), (None, "### ###")])
     assert got == tell((1, a), (2, b), (3, a + b))
+
+
+def test_pipeline_shingles_of_five(spark, tmp_path):
+    import corpus_pipeline
+
+    # one word of 43 differs: 36 of 44 sets of four words agree, 34 of 44 of five
+    words = [f"w{i}" for i in range(43)]
+    a, b = " ".join(words), " ".join([*words[:20], "other", *words[21:]])
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in ((1, a), (2, b))], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["kept"] for r in minhash.near_duplicates(spark, docs).orderBy("doc_id").collect()] == [True, False]
+    assert [r["kept"] for r in minhash.near_duplicates(spark, docs, 5).orderBy("doc_id").collect()] == [True, True]
+    assert corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).count() == 2
