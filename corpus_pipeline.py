@@ -61,10 +61,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.select(F.col("_own").alias("doc_id"), text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
-@F.udf("string", useArrow=True)
 def whole_characters(body):
     """Text of UTF-8 bytes without the bytes that belong to no whole character."""
-    return None if body is None else bytes(body).decode("utf-8", "ignore")
+    # replacement characters of the text itself are written as other ones meanwhile
+    mark, own, other = F.lit("\x01"), F.lit("\x01a"), F.lit("\x01b")
+    text = F.replace(F.replace(body.cast("string"), mark, own), F.lit("�"), other)
+    text = F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
+    return F.replace(F.replace(text, other, F.lit("�")), own, mark)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

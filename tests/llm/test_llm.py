@@ -402,3 +402,12 @@ def test_pipeline_shingles_of_five(spark, tmp_path):
     assert [r["kept"] for r in minhash.near_duplicates(spark, docs).orderBy("doc_id").collect()] == [True, False]
     assert [r["kept"] for r in minhash.near_duplicates(spark, docs, 5).orderBy("doc_id").collect()] == [True, True]
     assert corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).count() == 2
+
+
+def test_whole_characters(spark):
+    import corpus_pipeline
+
+    raw = ["a�b".encode(), "é".encode()[:1] + b"x", b"x" + "日".encode()[:2], "日".encode()[1:] + "�".encode(), b"\x01b \x01a\x01", "�".encode()[:2] + "�\x01".encode(), b"", None]
+    docs = spark.createDataFrame([(i, b) for i, b in enumerate(raw)], "i long, b binary").orderBy("i")
+    got = [r[0] for r in docs.select(corpus_pipeline.whole_characters(F.col("b"))).collect()]
+    assert got == [None if b is None else b.decode("utf-8", "ignore") for b in raw]
