@@ -45,7 +45,7 @@ def _add(name: str, sql: str | None = None):
 def _rule(name: str, find: str, where_sql: str, extra: str = "", view=views.tree, prefix: str = views.TREE_SQL, a: str = "n.id", b: str = "NULL::BIGINT", table: str = "nodes n", **options):
     """A query that runs one rule, and its SQL over the same view."""
     text = f'{extra} rule "{name}" {{ severity: low {find} }}'
-    sql = f"WITH RECURSIVE {prefix} SELECT '{name}' AS rule_id, 'low' AS severity, n.file AS file, {a} AS a, {b} AS b FROM {table} WHERE {where_sql}"
+    sql = f"WITH{'' if prefix is views.TREE_SQL else ' RECURSIVE'} {prefix} SELECT '{name}' AS rule_id, 'low' AS severity, n.file AS file, {a} AS a, {b} AS b FROM {table} WHERE {where_sql}"
     _add(name, sql)(lambda spark, sf_dir: _flat(run_rules(view(spark, sf_dir, **options), text)))
 
 
@@ -85,7 +85,7 @@ _add(
     "SELECT depth::BIGINT AS depth, count(*) AS n FROM c GROUP BY depth",
 )(lambda spark, sf_dir: views.tree(spark, sf_dir).ancestry.groupBy("depth").agg(F.count(F.lit(1)).alias("n")))
 # joins and quantifiers
-_add("join_ancestor", f"WITH RECURSIVE {views.TREE_SQL} SELECT 'big-open' AS rule_id, 'high' AS severity, n.file, o.id AS a, n.id AS b FROM nodes n JOIN nodes o ON n.parent_id = o.id WHERE o.kind = 'Conditional' AND n.argument_count >= 1")(flagship)
+_add("join_ancestor", f"WITH {views.TREE_SQL} SELECT 'big-open' AS rule_id, 'high' AS severity, n.file, o.id AS a, n.id AS b FROM nodes n JOIN nodes o ON n.parent_id = o.id WHERE o.kind = 'Conditional' AND n.argument_count >= 1")(flagship)
 _rule("join_same_function", 'find n: Conditional, l: Loop where n.same_function(l) and n.text() == "1-URGENT" and l.text() == "5-LOW"', "n.kind = 'Conditional' AND l.kind = 'Loop' AND n.text = '1-URGENT' AND l.text = '5-LOW'", b="l.id", table="nodes n JOIN nodes l ON n.function_id = l.function_id")
 _rule("join_identity", "find n: Loop, m: Stmt where n.id() == m.id() and m.line() == 1", "n.kind = 'Loop'", b="n.id")
 _rule("quant_exists", 'find n: MethodDef where exists(l: Loop | l.same_function(n) and l.text() == "5-LOW")', "n.kind = 'MethodDef' AND EXISTS (SELECT 1 FROM nodes l WHERE l.function_id = n.id AND l.kind = 'Loop' AND l.text = '5-LOW')")
@@ -230,7 +230,7 @@ def _(spark, sf_dir):
     return analyses.class_closure(Graph(spark, {"supertypes": t})).select("child", "ancestor", "hops")
 
 
-@_add("ana_prune", f"WITH RECURSIVE {views.TREE_SQL}, x AS (SELECT n.id AS src, p.parent_id AS dst FROM nodes n JOIN nodes p ON n.parent_id = p.id WHERE n.kind = 'Call'), m AS (SELECT CASE WHEN s.kind = 'Call' THEN s.parent_id ELSE s.id END AS src, CASE WHEN d.kind = 'Call' THEN d.parent_id ELSE d.id END AS dst FROM x JOIN nodes s ON x.src = s.id JOIN nodes d ON x.dst = d.id) SELECT DISTINCT src, dst FROM m WHERE src <> dst")
+@_add("ana_prune", f"WITH {views.TREE_SQL}, x AS (SELECT n.id AS src, p.parent_id AS dst FROM nodes n JOIN nodes p ON n.parent_id = p.id WHERE n.kind = 'Call'), m AS (SELECT CASE WHEN s.kind = 'Call' THEN s.parent_id ELSE s.id END AS src, CASE WHEN d.kind = 'Call' THEN d.parent_id ELSE d.id END AS dst FROM x JOIN nodes s ON x.src = s.id JOIN nodes d ON x.dst = d.id) SELECT DISTINCT src, dst FROM m WHERE src <> dst")
 def _(spark, sf_dir):
     g = views.tree(spark, sf_dir)
     n = g.nodes.where("kind = 'Call'").select("file", F.col("id").alias("src"), F.col("parent_id").alias("id"))
@@ -238,18 +238,18 @@ def _(spark, sf_dir):
     return analyses.prune(g, edges, "Call").select("src", "dst")
 
 
-@_add("ana_anonymize", f"WITH RECURSIVE {views.TREE_SQL}, f AS (SELECT file, name, row_number() OVER (PARTITION BY file ORDER BY min(id), name) AS k FROM nodes WHERE name IS NOT NULL GROUP BY file, name) SELECT n.id AS id, 'var' || k AS name FROM nodes n JOIN f ON n.file = f.file AND n.name = f.name")
+@_add("ana_anonymize", f"WITH {views.TREE_SQL}, f AS (SELECT file, name, row_number() OVER (PARTITION BY file ORDER BY min(id), name) AS k FROM nodes WHERE name IS NOT NULL GROUP BY file, name) SELECT n.id AS id, 'var' || k AS name FROM nodes n JOIN f ON n.file = f.file AND n.name = f.name")
 def _(spark, sf_dir):
     return analyses.anonymize(views.tree(spark, sf_dir)).select("id", "name")
 
 
 # aggregates, set operations, sinks, maintenance
-@_add("agg_nodes_by_kind", f"WITH RECURSIVE {views.TREE_SQL} SELECT file, kind, count(*) AS n, count(DISTINCT name) AS names FROM nodes GROUP BY file, kind")
+@_add("agg_nodes_by_kind", f"WITH {views.TREE_SQL} SELECT file, kind, count(*) AS n, count(DISTINCT name) AS names FROM nodes GROUP BY file, kind")
 def _(spark, sf_dir):
     return views.tree(spark, sf_dir).nodes.groupBy("file", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"))
 
 
-@_add("agg_size_estimate", f"WITH RECURSIVE {views.TREE_SQL} SELECT file, count(*) AS total_nodes, (256 * count(*))::BIGINT AS bytes FROM nodes GROUP BY file")
+@_add("agg_size_estimate", f"WITH {views.TREE_SQL} SELECT file, count(*) AS total_nodes, (256 * count(*))::BIGINT AS bytes FROM nodes GROUP BY file")
 def _(spark, sf_dir):
     return analyses.size_estimate(views.tree(spark, sf_dir))
 
@@ -260,7 +260,7 @@ def _(spark, sf_dir):
     return analyses.histogram(e, ["event_type"], "v", ["ts", "event_id"])
 
 
-@_add("set_changes", "WITH a AS (SELECT event_type || (user_id % 97) AS p, bit_xor(event_id) AS h FROM events WHERE event_id % 5 <> 0 GROUP BY 1), b AS (SELECT event_type || (user_id % 97) AS p, bit_xor(event_id) AS h FROM events WHERE user_id % 7 <> 0 GROUP BY 1) SELECT coalesce(a.p, b.p) AS path, CASE WHEN a.p IS NULL THEN 'added' WHEN b.p IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.p = b.p WHERE a.h IS DISTINCT FROM b.h")
+@_add("set_changes", "WITH e AS (SELECT event_type || user_id AS p, event_id, day(ts) <= 15 AS early FROM events), a AS (SELECT p, bit_xor(event_id) AS h FROM e WHERE early GROUP BY p), b AS (SELECT p, bit_xor(event_id) AS h FROM e WHERE NOT early GROUP BY p) SELECT coalesce(a.p, b.p) AS path, CASE WHEN a.p IS NULL THEN 'added' WHEN b.p IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.p = b.p WHERE a.h IS DISTINCT FROM b.h")
 def _(spark, sf_dir):
     # every event is in one of the states: those of the month's first half, and the later ones
     e = views.read(spark, sf_dir, "events").select(F.concat("event_type", F.col("user_id").cast("string")).alias("path"), "event_id", (F.dayofmonth("ts") <= 15).alias("early"))
@@ -274,7 +274,7 @@ def _(spark, sf_dir):
     return incremental.latest(e).select("path", "event_type")
 
 
-@_add("incr_dirty_callers", "WITH RECURSIVE e AS (SELECT o_orderkey % 1009 AS x, o_custkey % 1009 AS y FROM orders WHERE o_orderkey % 4 = 0), r AS (SELECT 7::BIGINT AS fn UNION SELECT e.x FROM r JOIN e ON r.fn = e.y) SELECT fn FROM r")
+@_add("incr_dirty_callers", "WITH RECURSIVE e AS (SELECT o_orderkey AS x, o_custkey AS y FROM orders), r AS (SELECT 7::BIGINT AS fn UNION SELECT e.x FROM r JOIN e ON r.fn = e.y) SELECT fn FROM r")
 def _(spark, sf_dir):
     # an order calls its customer; the function of an order's number is the customer of that number as well
     calls = views.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("caller"), F.col("o_custkey").alias("callee"))
@@ -288,13 +288,13 @@ rule "c" { severity: info find n: Block where n.text() == "1-URGENT" }
 """
 
 
-@_add("sink_sarif_levels", f"WITH RECURSIVE {views.TREE_SQL} SELECT CASE kind WHEN 'Loop' THEN 'error' WHEN 'Conditional' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM nodes WHERE text = '1-URGENT' GROUP BY 1")
+@_add("sink_sarif_levels", f"WITH {views.TREE_SQL} SELECT CASE kind WHEN 'Loop' THEN 'error' WHEN 'Conditional' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM nodes WHERE text = '1-URGENT' GROUP BY 1")
 def _(spark, sf_dir):
     out = sinks.to_sarif(run_rules(views.tree(spark, sf_dir), _SEVERE))
     return out.groupBy(F.get_json_object("value", "$.level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_add("sink_markdown", f"WITH RECURSIVE {views.TREE_SQL} SELECT file, count(*) AS n FROM nodes WHERE text = '1-URGENT' GROUP BY file")
+@_add("sink_markdown", f"WITH {views.TREE_SQL} SELECT file, count(*) AS n FROM nodes WHERE text = '1-URGENT' GROUP BY file")
 def _(spark, sf_dir):
     return sinks.to_markdown(run_rules(views.tree(spark, sf_dir), _SEVERE)).select("file", "n")
 

@@ -61,7 +61,7 @@ def tree(spark: SparkSession, sf_dir: str, children: bool = False) -> Graph:
 
 TREE_SQL = """
 li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY """ + ", ".join(LINE_ORDER) + """) AS k FROM lineitem),
-nodes AS (
+nodes AS MATERIALIZED (
   SELECT 'r' || r_regionkey AS file, r_regionkey::BIGINT * 8 AS id, 'File' AS kind, r_name AS name, NULL::VARCHAR AS text,
          NULL::BIGINT AS parent_id, NULL::BIGINT AS function_id, 1::BIGINT AS line, NULL::BIGINT AS argument_count FROM region
   UNION ALL SELECT 'r' || n_regionkey, n_nationkey::BIGINT * 8 + 1, 'Namespace', n_name, NULL, n_regionkey::BIGINT * 8, NULL, 1, NULL FROM nation
@@ -101,10 +101,10 @@ def flow(spark: SparkSession, sf_dir: str) -> Graph:
 
 FLOW_SQL = """
 e AS (SELECT * FROM (SELECT event_id, user_id AS fn, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
-                            lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE k <= 8),
+                            lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events)),
 blocks AS (SELECT fn, t, row_number() OVER (PARTITION BY fn ORDER BY min(k)) - 1 AS o FROM e GROUP BY fn, t),
 alledges AS (SELECT DISTINCT a.fn, a.o AS src, b.o AS dst, b.t = 'error' AS exc FROM e JOIN blocks a ON e.fn = a.fn AND e.t = a.t
-          JOIN blocks b ON e.fn = b.fn AND e.nx = b.t WHERE e.k < 8),
+          JOIN blocks b ON e.fn = b.fn AND e.nx = b.t),
 edges AS (SELECT fn, src, dst FROM alledges WHERE NOT exc),
 reach AS (SELECT fn, o AS a, o AS b FROM blocks UNION SELECT r.fn, r.a, x.dst FROM reach r JOIN edges x ON r.fn = x.fn AND r.b = x.src),
 live AS (SELECT fn, b FROM reach WHERE a = 0),
@@ -118,7 +118,7 @@ dom AS (SELECT fn, o AS a, o AS b FROM blocks UNION
 #: Ids of suppliers, parts, orders and customers in the data-flow graph.
 DATA_SQL = """
 d AS (SELECT l_suppkey * 8 + 5 AS s, l_partkey * 8 + 6 AS p, l_orderkey * 8 + 3 AS o, o_custkey * 8 + 2 AS c, l_returnflag AS v
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49),
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 edges AS (SELECT DISTINCT s AS src, p AS dst, v FROM d UNION SELECT p, o, v FROM d UNION SELECT o, c, v FROM d)"""
 
 
