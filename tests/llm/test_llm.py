@@ -170,6 +170,9 @@ def test_codec_equals_tiktoken(rows):
     rng = random.Random(2)
     texts = [t or "" for _, t in rows] + ["<|endoftext|>", " 's", "x  y", "\n\na b "]
     texts += ["".join(rng.choice("abcdeé日🙂 \n'#1\t") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    # pieces beyond the determinised width, texts of many runs with and without spare white space, repeated texts
+    letters = "".join(rng.choice("abcdeéß日") for _ in range(3000))
+    texts += ["x" * 500, letters, f"{letters} {letters}", "0" * 200, "w é%d " % 5 * 30000 + "end", "w  x\n" * 40000, *texts[:9]]
     for t in texts:
         ids = own.encode(t)
         assert ids == theirs.encode_ordinary(t) and own.decode(ids) == t
@@ -178,6 +181,44 @@ def test_codec_equals_tiktoken(rows):
         assert own.transducer.follows(last, token) == (bpe.merge(ranks, pair[0] + pair[1]) == list(pair))
 
 
+def test_codec_of_other_patterns_and_bounds(monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
+    raw = open(P.path(bpe.VOCABULARY), "rb").read()
+    pattern = r"\S+\s\S+|\s+|\S+"  # pieces hold single spaces
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(raw), special_tokens={})
+    texts = ["one two three", "a b", " lead", "x" * 90 + " y", "", "tail "]
+    own = bpe.Codec(raw, pattern)
+    assert [x.tolist() for x in own.encode_texts(texts)] == [theirs.encode_ordinary(t) for t in texts]
+    # transitions that are dropped again and again, and tiny batches, change nothing
+    monkeypatch.setattr(bpe, "MAX_TRANSITIONS", 50)
+    monkeypatch.setattr(bpe, "BATCH", 10)
+    monkeypatch.setattr(bpe, "RUN", 8)
+    monkeypatch.setattr(bpe, "WIDTH", 3)
+    own = bpe.Codec(raw, P.PATTERN)
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(raw), special_tokens={})
+    texts += ["many words in a longer text of several runs" * 5, "a  b" * 20]
+    assert [x.tolist() for x in own.encode_texts(texts)] == [theirs.encode_ordinary(t) for t in texts]
+
+
+def test_codec_decodes_any_ids():
+    import public_tokenizers as P
+
+    own = bpe.Codec(open(P.path(bpe.VOCABULARY), "rb").read(), P.PATTERN)
+    rng = random.Random(8)
+    single = [own.transducer.ranks[bytes([b])] for b in range(256)]
+    for _ in range(300):
+        ids = [rng.choice(single) for _ in range(rng.randint(0, 12))]
+        data = b"".join(own.transducer.token[i] for i in ids)
+        whole = own.decode_runs(np.array(ids, np.int64), np.array([0, len(ids)]))[2][0]
+        try:
+            assert own.decode(ids) == data.decode() and whole
+        except UnicodeDecodeError:
+            text, held = bpe.Utf8Machine.step(b"", data)
+            assert own.decode(ids) == text + "\ufffd" * len(held) and not whole
+
+
 def test_utf8_machine():
     text = "aé日🙂"
     pending, out = b"", ""
