@@ -91,6 +91,7 @@ BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64))
 class Powers:
     """Powers of the hash base and of its inverse, kept as long as the longest text seen."""
 
+    base, inverse = BASE, BASE_INV
     up = np.ones(1, np.uint64)
     down = np.ones(1, np.uint64)
 
@@ -98,24 +99,32 @@ class Powers:
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
             size = 1 << (n - 1).bit_length()
-            for name, base in (("up", BASE), ("down", BASE_INV)):
+            for name, base in (("up", cls.base), ("down", cls.inverse)):
                 p = np.full(size, base, np.uint64)
                 p[0] = 1
                 setattr(cls, name, np.multiply.accumulate(p))
         return cls.up, cls.down
 
 
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """H with H[j] - H[i] a polynomial hash of codes[i:j], to be scaled by BASE**-i."""
-    up, _ = Powers.get(len(codes) + 1)
+class OtherPowers(Powers):
+    """Another base, for a second hash."""
+
+    base, inverse = np.uint64(0xDA942042E4DD58B5), np.uint64(pow(0xDA942042E4DD58B5, -1, 1 << 64))
+    up = np.ones(1, np.uint64)
+    down = np.ones(1, np.uint64)
+
+
+def prefix_hash(codes: np.ndarray, powers: type[Powers] = Powers) -> np.ndarray:
+    """H with H[j] - H[i] a polynomial hash of codes[i:j], to be scaled by base**-i."""
+    up, _ = powers.get(len(codes) + 1)
     out = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * up[: len(codes)], out=out[1:])
     return out
 
 
-def range_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def range_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, powers: type[Powers] = Powers) -> np.ndarray:
     """64-bit hashes of the ranges [start, end) under ``prefix_hash``; equal content, equal hash."""
-    _, down = Powers.get(len(h))
+    _, down = powers.get(len(h))
     return mix((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64) * _GOLD)
 
 

@@ -18,7 +18,9 @@ have their anchors at the same offset with the same surroundings.
    time in bounded batches.  A key with more than HOT different runs would not
    be bounded: its runs are split into single windows dealt by their own
    content, where the first in order is kept: within the slice of texts, then
-   in a streaming pass over what is first in a slice.
+   in a streaming pass over what is first in a slice.  The content of a single
+   window stands for itself by 128 bits, of two hashes with bases of their own;
+   that of a run by the 128 bits of its key and its own hash.
 4. The covered places of each document go back to its text.
 
 All positions are kept; nothing is capped or sampled.  Rows with a null doc_id
@@ -53,7 +55,7 @@ class Method:
         raise NotImplementedError
 
     def cut(self, data: np.ndarray, off: np.ndarray, text: np.ndarray, start: np.ndarray, count: np.ndarray):
-        """(list of the runs' content as bytes, function (run, i) -> 64-bit content of its i-th window)."""
+        """(list of the runs' content as bytes, function (run, i) -> two 64-bit hashes of its i-th window)."""
         raise NotImplementedError
 
     def compare(self, content: list[bytes], count: np.ndarray) -> np.ndarray:
@@ -179,15 +181,17 @@ def _cut(method: Method):
             j = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
             if not len(r):
                 continue
-            own = window(r, j).view(np.int64)
+            own, other = (h.view(np.int64) for h in window(r, j))
             at = (place[r] // SPAN + j) * SPAN + 1
-            order = np.lexsort((at, ids[r], own))
+            order = np.lexsort((at, ids[r], other, own))
             again = np.zeros(len(r), bool)
-            again[order[1:]] = own[order[1:]] == own[order[:-1]]
+            again[order[1:]] = (own[order[1:]] == own[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
             first = np.flatnonzero(~again)
             for i in range(0, len(first), 65536):
                 w = first[i : i + 65536]
-                yield rows_of(SINGLE, own[w], ids[r[w]], at[w], pa.nulls(len(w), pa.binary()))
+                eights = np.arange(0, 8 * len(w) + 1, 8, dtype=np.int32)
+                more = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(eights), pa.py_buffer(other[w].tobytes())])
+                yield rows_of(SINGLE, own[w], ids[r[w]], at[w], more)
             if again.any():
                 run, places = _joined(place, r, j, again)
                 ids = ids[run]
@@ -199,7 +203,7 @@ def _cut(method: Method):
 
 
 def _compare(method: Method):
-    """Step 3 over cut rows sorted by state, key, document and place."""
+    """Step 3 over cut rows sorted by state, key, content, document and place."""
 
     def settle(keys, ids, places, runs):
         import pyarrow as pa
@@ -217,7 +221,7 @@ def _compare(method: Method):
         import pyarrow as pa
 
         keys, ids, places, runs, size = [], [], [], [], 0
-        single = None  # the key of the last single window
+        single = None  # both hashes of the last single window
         for batch in rows:
             state = batch.column(0).to_numpy()
             if (state != RUN).any():
@@ -225,9 +229,10 @@ def _compare(method: Method):
                 covered = state == SETTLED
                 one = np.flatnonzero(state == SINGLE)
                 if len(one):
-                    covered[one[1:]] = key[one[1:]] == key[one[:-1]]
-                    covered[one[0]] = single is not None and key[one[0]] == single
-                    single = key[one[-1]]
+                    both = np.stack([key[one], np.frombuffer(b"".join(batch.column(4).take(pa.array(one)).to_pylist()), np.int64)])
+                    covered[one[1:]] = (both[:, 1:] == both[:, :-1]).all(0)
+                    covered[one[0]] = single is not None and (both[:, 0] == single).all()
+                    single = both[:, -1]
                 yield pa.record_batch([pa.array(doc[covered]), pa.array(place[covered])], names=["doc_id", "place"])
                 batch = batch.filter(pa.array(state == RUN))
             if not batch.num_rows:
@@ -287,7 +292,7 @@ def covered_places(spark: SparkSession, docs: DataFrame, method: Method) -> Data
     # dealt by document, as in with_places: the same exchange of texts serves both
     cut = docs.join(by_doc.hint("merge"), ["doc_id", "version"]).select("doc_id", "text", "runs")
     cut = cut.mapInArrow(_cut(method), "state int, key long, doc_id long, place long, run binary").repartition(n, "key")
-    cut = cut.sortWithinPartitions("state", "key", "doc_id", "place").mapInArrow(_compare(method), "doc_id long, place long")
+    cut = cut.sortWithinPartitions("state", "key", "run", "doc_id", "place").mapInArrow(_compare(method), "doc_id long, place long")
     return found.where("covered").select("doc_id", "place").unionByName(cut)
 
 

@@ -11,7 +11,7 @@ one (single words at worst); see ``repeats`` for how anchors are joined over
 the corpus, and for the work that this saves.  Candidates are then verified word
 by word.
 
-Words are compared by 64-bit hashes of their bytes.
+Words are compared by 64-bit hashes of their bytes, windows by all their words.
 
 Defined results: null, empty and blank texts have no words; texts under 20 words
 keep them all; equal texts lose all but the first copy; see ``repeats`` for
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import batches, mix, prefix_hash, range_hash, table, word_hashes, word_spans
+from quillgraph.llm.common import OtherPowers, batches, mix, prefix_hash, range_hash, table, word_hashes, word_spans
 from quillgraph.llm.repeats import Method, covered_places, marked, versions, with_places
 
 LENGTH = 20
@@ -129,10 +129,11 @@ class Words(Method):
         begin = first[text] + start
         end = begin + count - 1 + LENGTH
         whole = words.tobytes()
-        table_ = prefix_hash(words)
+        table_, other = prefix_hash(words), prefix_hash(mix(words), OtherPowers)
 
         def window(run, i):
-            return range_hash(table_, begin[run] + i, begin[run] + i + LENGTH)
+            at = begin[run] + i
+            return range_hash(table_, at, at + LENGTH), range_hash(other, at, at + LENGTH, OtherPowers)
 
         return [whole[8 * a : 8 * b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], window
 
@@ -140,15 +141,17 @@ class Words(Method):
         words = np.frombuffer(b"".join(content), np.uint64)
         size = np.array([len(c) // 8 for c in content])
         at = np.arange(count.sum()) + np.repeat(np.cumsum(size) - size - (np.cumsum(count) - count), count)
-        own = range_hash(prefix_hash(words), at, at + LENGTH)
+        # numbers of the words, of two of them, of four and so on up to a window: equal content, equal number
+        own, have = np.unique(words, return_inverse=True)[1], 1
+        while have < LENGTH:
+            step = min(have, LENGTH - have)
+            n = len(own) - step
+            _, own = np.unique(own[:n] * np.int64(len(words) + 1) + own[step:], return_inverse=True)
+            have += step
+        own = own[at]
         order = np.argsort(own, kind="stable")  # runs are in order of place
         later = np.zeros(len(own), bool)
-        close = own[order[1:]] == own[order[:-1]]
-        a, b = at[order[1:][close]], at[order[:-1][close]]
-        for i in range(LENGTH):
-            if (words[a + i] != words[b + i]).any():
-                raise ArithmeticError("two different windows have one hash")
-        later[order[1:]] = close
+        later[order[1:]] = own[order[1:]] == own[order[:-1]]
         return later
 
 

@@ -4,7 +4,8 @@ A byte is removed if a 100-byte string of its document that covers it also
 starts earlier in the corpus.  Candidates come from content-determined anchors
 (see ``repeats``; here the 16-byte string of least hash in each 100 bytes).
 Runs that share an anchor but differ are joined into a text whose transform is
-expanded breadth first: the interval of every string w of length l is extended
+expanded breadth first (the order of its suffixes looks at the next power of two of
+bytes, so it doesn't tell which agree in 100): the interval of every string w of length l is extended
 backwards by each byte c before it to the interval of cw, and a border that no
 shorter string has set gets the common prefix l.  Values come in increasing
 order, so expansion stops at 100: the borders never set are those of suffixes
@@ -23,7 +24,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm.common import BYTE_CODE, batches, mix, prefix_hash, range_hash, table
+from quillgraph.llm.common import BYTE_CODE, OtherPowers, batches, mix, prefix_hash, range_hash, table
 from quillgraph.llm.repeats import Method, covered_places, marked, versions, with_places
 
 LENGTH = 100
@@ -57,12 +58,12 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 def equal_windows(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Class numbers of the strings of ``length`` bytes at all positions of the circular text."""
     n = len(text)
-    # suffix order by the first ``length`` bytes, which is all that expansion to that length looks at
-    rank, have = text.astype(np.int64), 1
+    # the transform by doubling: an order of the suffixes by at least ``length`` bytes is all that expansion to
+    # that length looks at. It has no borders of its own at that length: the expansion finds them
+    rank, have = np.unique(_eights(np.resize(text, n + 7)).byteswap(), return_inverse=True)[1], 8
     while have < length:
-        step = min(have, length - have)
-        _, rank = np.unique(rank * np.int64(n + 256) + np.roll(rank, -step), return_inverse=True)
-        have += step
+        _, rank = np.unique(rank * np.int64(n + 1) + np.roll(rank, -have), return_inverse=True)
+        have *= 2
     order = np.argsort(rank, kind="stable")
     before = text[order - 1]
     last_to_first = np.empty(n, np.int64)
@@ -131,10 +132,11 @@ class Bytes(Method):
         begin = off[text] + start
         end = begin + count - 1 + LENGTH
         whole = data.tobytes()
-        table_ = prefix_hash(BYTE_CODE[data])
+        table_, other = prefix_hash(BYTE_CODE[data]), prefix_hash(mix(BYTE_CODE[data]), OtherPowers)
 
         def window(run, i):
-            return range_hash(table_, begin[run] + i, begin[run] + i + LENGTH)
+            at = begin[run] + i
+            return range_hash(table_, at, at + LENGTH), range_hash(other, at, at + LENGTH, OtherPowers)
 
         return [whole[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], window
 

@@ -53,7 +53,9 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
-def test_suffix_dedup(spark, rows, docs, empty):
+@pytest.mark.parametrize("hot", [1000, 0])
+def test_suffix_dedup(spark, rows, docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     got, seen = by_id(suffix_dedup.dedup(spark, docs)), set()
     for i, t in sorted(rows, key=lambda r: r[0]):
         b = (t or "").encode()
