@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.kinds import NULLABLE_CALLS
-from quillgraph.operators.closure import reach
+from quillgraph.operators.closure import nearest_seed
 from quillgraph.plans.graph import Graph
 
 #: Edge types that carry a null value.
@@ -37,17 +37,34 @@ def nullability(graph: Graph, calls: list[str] = NULLABLE_CALLS) -> DataFrame:
         ((F.col("kind") == "Literal") & (F.col("lit_kind") == "Null")) | ((F.col("kind") == "Call") & short.isin(calls))
     )
     edges = graph.table("dfg_edges").where(F.col("edge_type").isin(NULL_EDGES))
-    hit = reach(graph.spark, seeds.select("file", F.col("id").alias("seed")), edges, ["file"])
-    return hit.groupBy("file", "node").agg(F.min(F.struct("hops", "seed")).getField("seed").alias("source"))
+    return nearest_seed(graph.spark, seeds.select("file", F.col("id").alias("seed")), edges, ["file"]).select("file", "node", F.col("seed").alias("source"))
+
+
+def arguments(graph: Graph) -> DataFrame:
+    """(file, call, args): the children of a node's first argument list, else its own children."""
+    n = graph.nodes
+    lists = n.where(F.col("node_type").isin("argument_list", "arguments")).groupBy("file", F.col("parent_id").alias("call"))
+    lists = lists.agg(F.min_by("children", "id").alias("inner"))
+    out = n.select("file", F.col("id").alias("call"), "children").join(lists, ["file", "call"], "left")
+    return out.select("file", "call", F.coalesce("inner", "children", F.array().cast("array<bigint>")).alias("args"))
 
 
 def sizes(graph: Graph) -> DataFrame:
-    """(file, node, size_int, size_expr): known sizes of declarations, literals and heap calls, by priority."""
+    """(file, node, size_int, size_expr): known sizes of declarations, literals and heap calls, by priority; a heap
+    call's is its folded argument, calloc's the product of two, or their text."""
     n = graph.nodes
-    first = F.get("children", F.lit(0))
-    arg = n.select("file", F.col("id").alias("_a"), F.col("text").alias("_t"))
-    calls = n.where(F.col("name").isin("malloc", "alloca", "valloc")).select("file", "id", first.alias("_a"))
-    heap = calls.join(arg, ["file", "_a"]).select("file", "id", F.col("_t").try_cast("bigint").alias("heap"), F.col("_t").alias("heap_expr"))
+    calls = n.where((F.col("kind") == "Call") & F.col("name").isin("malloc", "alloca", "valloc", "calloc")).select("file", F.col("id").alias("call"), "name")
+    calls = calls.join(arguments(graph), ["file", "call"])
+    value = graph.constants.select("file", F.col("node").alias("arg"), "value")
+    word = n.select("file", F.col("id").alias("arg"), F.col("text").alias("word"))
+    for i in range(2):
+        calls = calls.withColumn("arg", F.get("args", F.lit(i))).join(value, ["file", "arg"], "left").join(word, ["file", "arg"], "left")
+        calls = calls.withColumnsRenamed({"value": f"v{i}", "word": f"t{i}"}).drop("arg")
+    product = F.col("name") == "calloc"
+    calls = calls.select(
+        "file", F.col("call").alias("id"), F.when(product, F.col("v0") * F.col("v1")).otherwise(F.col("v0")).alias("heap"),
+        F.when(product, F.concat("t0", F.lit(" * "), "t1")).otherwise(F.col("t0")).alias("heap_expr"),
+    )
     size = F.coalesce(
         "array_size",
         F.col("array_size_expr").try_cast("bigint"),
@@ -55,13 +72,71 @@ def sizes(graph: Graph) -> DataFrame:
         F.when(F.col("kind") == "CollectionExpr", F.size("children").cast("long")),
         "heap",
     )
-    out = n.join(heap, ["file", "id"], "left").select(
+    out = n.join(calls, ["file", "id"], "left").select(
         "file", F.col("id").alias("node"), size.alias("size_int"),
         F.when(size.isNull(), F.coalesce("array_size_expr", "heap_expr")).alias("size_expr"),
     )
     return out.where("size_int IS NOT NULL OR size_expr IS NOT NULL")
 
 
+def parameters(graph: Graph) -> DataFrame:
+    """(file, fn, params): ids of a function's parameters in order, taken from its own children, from a list among
+    them, or from the list of its declarator; the nameless ``void`` of C is none."""
+    n = graph.nodes
+    void = n.where("node_type = 'primitive_type' AND text = 'void'").select("file", F.col("parent_id").alias("id"))
+    own = n.where("kind = 'ParamDef'").select("file", "id", "node_type", "name", F.col("parent_id").alias("up"), F.size("children").alias("size"))
+    nameless = F.col("node_type").eqNullSafe("parameter_declaration") & F.col("name").isNull() & (F.col("size") == 1)
+    own = own.where(~nameless).drop("size").unionByName(own.where(nameless).drop("size").join(void, ["file", "id"], "left_anti"))
+    at = F.posexplode("children").alias("at", "id")
+    place = n.where("kind = 'MethodDef' OR node_type IN ('parameter_list', 'formal_parameters', 'parameters', 'function_declarator')").select("file", at)
+    outer = n.select("file", F.col("id").alias("up"), F.col("kind").alias("k"), F.col("node_type").alias("t"), F.col("parent_id").alias("next"))
+    step = own.join(place, ["file", "id"]).join(outer, ["file", "up"])
+    lists = ["parameter_list", "formal_parameters", "parameters"]
+    found = step.where("k = 'MethodDef'").select("file", F.col("up").alias("fn"), F.array(F.col("at").cast("long")).alias("order"), "id")
+    inner = step.where(F.col("t").isin(lists) & (F.col("k") != "MethodDef")).select("file", "id", F.array(F.col("at").cast("long")).alias("order"), F.col("up").alias("box"), F.col("next").alias("up"))
+    spot = place.select("file", F.col("id").alias("box"), F.col("at").alias("box_at"))
+    step = inner.join(outer, ["file", "up"]).join(spot, ["file", "box"], "left")
+    order = F.concat(F.array(F.coalesce("box_at", F.lit(0)).cast("long")), "order")
+    found = found.unionByName(step.where("k = 'MethodDef'").select("file", F.col("up").alias("fn"), order.alias("order"), "id"))
+    inner = step.where("t = 'function_declarator' AND k <> 'MethodDef'").select("file", "id", order.alias("order"), F.col("up").alias("box"), F.col("next").alias("up"))
+    step = inner.join(outer, ["file", "up"]).join(spot, ["file", "box"], "left")
+    found = found.unionByName(step.where("k = 'MethodDef'").select("file", F.col("up").alias("fn"), order.alias("order"), "id"))
+    rows = found.groupBy("file", "fn").agg(F.array_sort(F.collect_list(F.struct("order", "id"))).alias("p"))
+    return rows.select("file", "fn", F.transform("p", lambda x: x["id"]).alias("params"))
+
+
+def conditions(graph: Graph, kinds: list[str] | None = None) -> DataFrame:
+    """(file, id, condition) of nodes of the kinds (of all without): the child of the field ``condition``, else the first child."""
+    at = F.array_position(F.coalesce("field_names", F.array().cast("array<string>")), "condition").cast("int")
+    named = F.when(at > 0, F.get("children", at - 1))
+    nodes = graph.nodes if kinds is None else graph.nodes.where(F.col("kind").isin(kinds))
+    return nodes.select("file", "id", F.coalesce(named, F.get("children", F.lit(0))).alias("condition"))
+
+
+def block_conditions(graph: Graph) -> DataFrame:
+    """(file, function, src, value): blocks of two or more normal successors that hold a constant condition."""
+    normal = graph.table("cfg_edges").where("kind IS NULL OR kind <> 'exception'")
+    forks = normal.groupBy("file", "function", "src").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    known = conditions(graph, ["Conditional", "Loop", "Switch"]).where("condition IS NOT NULL")
+    known = known.join(graph.constants.withColumnRenamed("node", "condition"), ["file", "condition"])
+    places = graph.table("block_nodes").select("file", "function", F.col("block_ord").alias("src"), F.col("node_id").alias("condition"))
+    known = known.join(places, ["file", "condition"]).join(forks.select("file", "function", "src"), ["file", "function", "src"])
+    return known.groupBy("file", "function", "src").agg(F.max_by("value", "condition").alias("value"))
+
+
+def feasible_edges(graph: Graph) -> DataFrame:
+    """Control-flow edges without the dead arm of blocks with two successors and a constant condition: a true one
+    follows the first edge (in order of ``arm``, then of target), a false one the second."""
+    edges = graph.table("cfg_edges")
+    fork = Window.partitionBy("file", "function", "src")
+    normal = edges.where("kind IS NULL OR kind <> 'exception'").withColumns(
+        {"way": F.row_number().over(fork.orderBy("arm", "dst")), "ways": F.count(F.lit(1)).over(fork)}
+    )
+    normal = normal.join(block_conditions(graph), ["file", "function", "src"], "left")
+    dead = F.coalesce((F.col("ways") == 2) & (F.col("way") == F.when(F.col("value") != 0, 2).when(F.col("value") == 0, 1)), F.lit(False))
+    return normal.where(~dead).select(*edges.columns).unionByName(edges.where("kind = 'exception'"))
+
+
 _BINARY = {
     "+": operator.add, "-": operator.sub, "*": operator.mul, "&": operator.and_, "|": operator.or_, "^": operator.xor,
     "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "==": operator.eq, "!=": operator.ne,
@@ -109,7 +184,9 @@ def constants(graph: Graph) -> DataFrame:
 
         def own(i: int) -> int | None:
             r = rows[i]
-            values = [known.get(c) for c in r["children"] or [] if c in rows]
+            below = r["children"] or []
+            # of a binary operator the outer children count, of what has one operand the last
+            values = [known.get(c) for c in (below if len(below) < 2 else [below[0], below[-1]] if r["kind"] == "BinaryOp" else below[-1:])]
             if r["kind"] == "Literal":
                 if r["lit_kind"] == "Null":
                     return 0

@@ -73,3 +73,19 @@ def reach(
             break
         seen = seen.unionByName(front)
     return seen
+
+
+def nearest_seed(spark: SparkSession, seeds: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., node, seed): each node that some seed reaches, once, with the nearest seed, the least of equally
+    near ones.  A round carries one row a node, however many seeds reach it."""
+    edges = edges.select(*keys, "src", "dst").where(F.col("src") != F.col("dst")).distinct()
+    edges = durable(spark, edges, "edges")
+    front = seeds.select(*keys, F.col("seed").alias("node"), "seed").distinct()
+    seen = front = durable(spark, front, "front")
+    while True:
+        step = front.withColumnRenamed("node", "src").join(edges, [*keys, "src"])
+        step = step.groupBy(*keys, F.col("dst").alias("node")).agg(F.min("seed").alias("seed"))
+        front = durable(spark, step.join(seen, [*keys, "node"], "left_anti"), "front")
+        if not front.limit(1).count():
+            return seen
+        seen = seen.unionByName(front)

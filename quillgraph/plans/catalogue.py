@@ -243,6 +243,65 @@ def _(spark, sf_dir):
     return analyses.anonymize(views.tree(spark, sf_dir)).select("id", "name")
 
 
+# scalar methods over source-like functions, one a part (views.code)
+def _code(name: str, find: str, *cases: tuple[str, str] | tuple[str, str, str], extra: str = ""):
+    """cases: (SQL of the first binding's number, where, maybe the second's number)."""
+    text = f'{extra} rule "{name}" {{ severity: low {find} }}'
+    parts = [f"SELECT '{name}' AS rule_id, 'low' AS severity, p_brand AS file, p_partkey * 64 + {c[0]} AS a, {f'p_partkey * 64 + {c[2]}' if len(c) > 2 else 'NULL::BIGINT'} AS b FROM part WHERE {c[1]}" for c in cases]
+    _add(name, " UNION ALL ".join(parts))(lambda spark, sf_dir: _flat(run_rules(views.code(spark, sf_dir), text)))
+
+
+def _each(where: str, *numbers: int) -> list[tuple[str, str]]:
+    return [(str(n), where) for n in numbers]
+
+
+_ODD, _EVEN = "p_partkey % 2 = 1", "p_partkey % 2 = 0"
+_code("node_texts", 'find n: MethodDef where n.namespace() == "Brand#12" and n.class_context() != null and n.visibility() == "private" and n.operator() == null', ("1", "p_brand = 'Brand#12' AND p_size <= 25"))
+_code("node_operator", 'find n: Expr where n.operator() in ["!", "<"]', ("7", "true"), ("14", "true"), ("31", _ODD))
+_code("node_file", 'find n: LocalDef where n.file() in /2$/', ("5", "p_brand LIKE '%2'"))
+_code("node_is_some", "find n: LocalDef where n.is_some() and not n.is_none() and not n.child(0).is_some()", ("5", "true"))
+_code("node_return_type", "find n: MethodDef where n.return_type() in /[A-M]/ and n.return_value().line() == n.id().line()", ("1", "regexp_matches(p_type, '[A-M]')"))
+_code("node_flags", "find n: MethodDef where n.is_constructor() or n.is_destructor() or n.is_virtual()", ("1", "p_size = 1 OR p_size = 2 OR p_size > 40"))
+_code("node_base_classes", 'find n: MethodDef where n.base_classes() in /^[A-M]/ and n.implements() == n.return_type()', ("1", "regexp_matches(p_type, '^[A-M]')"))
+_code("lit_values", 'find n: Literal where n.lit_kind() == "Int" and n.int_value() > 30 or n.string_value() == "true"', *_each("p_size > 30", 8, 12, 37, 41), ("15", "p_size > 40"))
+_code("tree_children", "find n: Node where n.children().lit_kind() == \"Int\" and n.receiver().int_value() == 7", *_each("p_size = 7", 7, 11, 40))
+_code("tree_descendant", 'find n: Conditional where n.descendant("call").name() == "malloc" and n.descendant("literal").int_value() > 40', ("6", "p_size > 40"))
+_code("tree_has_arg", "find n: Call, m: Literal where n.has_arg(m) and m.int_value() == 4 and n.same_function(m)", ("11", "p_size = 4", "12"), ("40", "p_size = 4", "41"), ("40", "true", "42"))
+_code("call_site_names", 'find n: Call where n.callee_name() == "malloc" and n.qualified_callee() == "std::malloc"', ("11", "p_size > 25"))
+_code("call_site_kind", 'find n: Call where n.callee_kind() == "unknown" and n.arg_count() == 1', *_each("true", 25, 39), ("33", _ODD))
+_code("name_refers_to", 'find n: Identifier where n.refers_to().name() == "buf" or n.refers_to().name() == "a" and n.parent().kind() == "Loop"', *_each("true", 16, 17))
+_code("call_refers_to", "find n: Call where n.refers_to().kind() == \"MethodDef\"", ("11", "p_size > 25"))
+_code("param_count", "find n: MethodDef where n.param_count() == 2", ("1", "p_size > 25"))
+_code("param_nth", 'find n: MethodDef where n.param(1).name() == "b" or n.param(0).name() == "b"', ("1", "p_size > 25"))
+_code("eval_int", "find n: Expr where n.eval_int() > 40 and n.lit_kind() != null", *_each("p_size > 40", 8, 12, 37, 41))
+_code("eval_bool", 'find n: Expr where n.eval_bool() == true and n.operator() != null', ("7", "p_size < 25"), ("14", "p_size <= 40"))
+_code("is_const_expr", 'find n: Expr where not n.is_const_expr() and n.operator() != null', ("21", "true"), ("31", "true"), ("32", _ODD))
+_code("alloc_size", "find n: Node where n.alloc_size() == 28", *_each("p_size = 28", 5, 11), ("40", "p_size = 7"))
+_code("has_known_size", "find n: Call where n.has_known_size() and n.alloc_size() <= 12", ("11", "p_size <= 12"), ("40", "p_size <= 3"))
+_code("may_be_null", "find n: Node where n.may_be_null()", *_each("true", 11, 40), ("5", _EVEN))
+_code("null_source", 'find n: LocalDef where n.null_source().name() == "malloc"', ("5", _EVEN))
+_code("is_pointer", 'find n: Call where n.is_pointer() and n.points_to().name() == "buf" and n.alias_target().kind() == "LocalDef"', ("11", _ODD))
+_code("basic_block", "find n: Node where n.basic_block() >= 3", *_each("true", 14, 16, 40))
+_code("branch_condition", "find n: Call where n.branch_condition().eval_int() == 1", ("11", "p_size < 25"))
+_code("loop_condition", 'find n: Identifier where n.loop_condition().operator() == "!"', *_each("true", 16, 17))
+_code("guard_evals_true", "find n: Expr where n.guard_evals_true() and n.kind() in [\"Call\", \"Identifier\"]", ("11", "p_size < 25"), *_each("p_size <= 40", 16, 17))
+_code("guard_evals_false", "find n: Call where n.guard_evals_false()", ("11", "p_size >= 25"))
+_code("in_dead_branch", "find n: Node where n.in_dead_branch()", ("11", "p_size >= 25"), ("22", "p_size < 25"), ("16", "p_size > 40"), ("40", "p_size <= 40"))
+_code("cfg_reaches_feasible", 'find n: BinaryOp, m: Call where n.cfg_reaches_feasible(m) and m.name() == "calloc"', ("7", "p_size > 40", "40"))
+_code("loop_const_no_exit", "find n: Identifier where n.loop_has_no_exit()", ("16", "p_size <= 40"))
+_code("excludes_zero", 'find g: Conditional, v: ParamDef, t: Call where g.same_function(v) and g.same_function(t) and t.name() == "use" and v.name() == "a" and g.excludes_zero(v, t)', ("20", _ODD, "3"), ("20", _EVEN, "3"))
+_code("bounds_value", 'find g: Conditional, v: ParamDef, t: Call where g.same_function(v) and g.same_function(t) and t.has_ancestor(g.id()) and v.name() == "a" and g.bounds_value(v, t, 20)', ("30", f"{_ODD} AND p_size <= 21", "3"))
+_code("bounds_declared", 'find g: Conditional, v: ParamDef, t: Call, d: LocalDef where g.same_function(v) and g.same_function(t) and g.same_function(d) and t.has_ancestor(g.id()) and v.name() == "a" and g.bounds_value(v, t, d)', ("30", _ODD, "3"))
+_code("meta_cpp", "find n: MethodDef where n.cpp_meta.is_virtual and n.cpp_meta().base_classes == n.return_type()", ("1", "p_size > 25"))
+_code("meta_go", "find n: MethodDef where n.go_meta.is_exported == false and n.go_meta.package_name == n.name()", ("1", "p_size <= 25"))
+_code("meta_python", "find n: MethodDef where n.python_meta.is_async and n.python_meta.decorators == n.name()", ("1", "p_size < 5"))
+_code("meta_java", "find n: Node where n.java_meta.is_final and n.java_meta.annotations == null and n.java_meta.package_name == null", ("1", "p_size > 30"))
+_code("meta_js", "find n: MethodDef where n.js_meta.is_arrow or n.js_meta.module_kind == \"none\"", ("1", "p_size = 7"))
+_code("meta_ts", "find n: MethodDef where n.ts_meta.enum_is_const and n.ts_meta.access_modifier != null", ("1", "p_size = 8"))
+_code("meta_rust", "find n: Node where n.rust_meta.is_unsafe == false and n.rust_meta.lifetimes == n.return_type()", ("1", "p_size >= 9"))
+_code("pred_in_let", "find n: MethodDef where let p = n.param(0) in first(p) and n matches MethodDef { name: n.name() }", ("1", "true"), extra='pred first(p: ParamDef) = p.name() == "a"')
+
+
 # aggregates, set operations, sinks, maintenance
 @_add("agg_nodes_by_kind", f"WITH {views.TREE_SQL} SELECT file, kind, count(*) AS n, count(DISTINCT name) AS names FROM nodes GROUP BY file, kind")
 def _(spark, sf_dir):

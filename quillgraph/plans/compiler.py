@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from quillgraph.functions import language as L
 from quillgraph.functions.kinds import kinds_of
 from quillgraph.functions.language import RuleError
-from quillgraph.operators import cfg, dfg
-from quillgraph.plans.graph import SCHEMAS, Graph
+from quillgraph.operators import analyses, cfg, dfg, guards
+from quillgraph.plans.graph import META, SCHEMAS, Graph
 
 #: Node methods that read a column: type, column, value where it is null.
 COLUMNS = {
@@ -32,19 +32,24 @@ COLUMNS = {
     "is_constructor": ("bool", "is_constructor", False), "is_destructor": ("bool", "is_destructor", False),
     "is_virtual": ("bool", "is_virtual", False),
 }
-PAIR_FACTS = {"dominates": "dom", "post_dominates": "postdom", "cfg_reaches": "reach"}
+PAIR_FACTS = {"dominates": "dom", "post_dominates": "postdom", "cfg_reaches": "reach", "cfg_reaches_feasible": "reach"}
 SELF_FACTS = {"in_loop": "loop", "loop_has_no_exit": "noexit", "in_exception_path": "exc"}
-RELATIONS = {*PAIR_FACTS, *SELF_FACTS, "same_block", "same_function", "dfg_flows_to", "dfg_reaches", "dfg_def", "dfg_use", "cfg_reaches_without"}
+RELATIONS = {*PAIR_FACTS, *SELF_FACTS, "in_dead_branch", "same_block", "same_function", "dfg_flows_to", "dfg_reaches", "dfg_def", "dfg_use", "cfg_reaches_without"}
 NODE_FIELDS = [f.name for f in SCHEMAS["nodes"]]
 
 
-class Value:
-    """What an expression stands for: a node (its struct column), a scalar, or a constant."""
+#: Kinds whose conditions guard what stands below them.
+GUARDS = ["Conditional", "Loop", "Switch"]
+#: Predicate calls that one clause may stand for.
+MAX_CALLS = 10_000
 
-    def __init__(self, kind: str, column: Column | None = None, constant=None):
-        self.kind, self.column, self.constant = kind, column, constant
 
+class Value:
+    """What an expression stands for: a node (its struct column), a scalar, or a constant; a size is an integer,
+    or else the text of an expression (``text``); ``meta`` names a node's side table."""
 
+    def __init__(self, kind: str, column: Column | None = None, constant=None, text: Column | None = None, meta: str | None = None):
+        self.kind, self.column, self.constant, self.text, self.meta = kind, column, constant, text, meta
 
 
 def variables(e) -> set[str]:
@@ -91,12 +96,30 @@ def rename(e, names: dict[str, object]):
     return e
 
 
+def negated(e, no: bool = True):
+    """The negation of an expression (or, with ``no`` false, itself) with ``not`` moved inwards to where it
+    meets a leaf, so that the parts of a negated disjunction can become join keys."""
+    if isinstance(e, L.Logic):
+        if e.op == "not":
+            return negated(e.parts[0], not no)
+        op = {"and": "or", "or": "and"}[e.op] if no else e.op
+        parts = []
+        for part in (negated(x, no) for x in e.parts):
+            parts += part.parts if isinstance(part, L.Logic) and part.op == op else [part]
+        return L.Logic(op, tuple(parts))
+    if no and isinstance(e, L.Compare) and e.op in ("==", "!="):
+        return L.Compare("!=" if e.op == "==" else "==", e.left, e.right)
+    if no and isinstance(e, L.Quantified):
+        return L.Quantified(not e.every, e.var, e.type, negated(e.body))
+    return L.Logic("not", (e,)) if no else e
+
+
 class Compiler:
     """Compiles clauses of one rule set over one graph."""
 
     def __init__(self, graph: Graph, rules: L.RuleSet, depth: int = 64):
         self.graph, self.rules, self.depth = graph, rules, depth
-        self._fresh = count()
+        self._fresh, self._calls = count(), 0
 
     # environments
 
@@ -161,23 +184,32 @@ class Compiler:
         env, ok = self.truth(env, test, bound)
         return env.where(ok).select(*columns)
 
-    def inline(self, e, depth: int = 0):
-        """Predicates replaced by their bodies; an unknown one is false, and so is recursion past the bound."""
+    def inline(self, e, within: tuple = ()):
+        """Predicates replaced by their bodies, wherever they stand; an unknown one is false.  A call that comes
+        back to itself with the same arguments adds nothing to a least fixpoint and is false as well, and so is
+        recursion past the bound."""
         if isinstance(e, L.Apply):
             d = self.rules.definitions.get(e.name)
-            if d is None or d.role != "pred" or depth > self.depth or len(d.params) != len(e.args):
+            if d is None or d.role != "pred" or len(within) > self.depth or len(d.params) != len(e.args) or e in within:
                 return L.Lit(False)
+            self._calls += 1
+            if self._calls > MAX_CALLS:
+                raise RuleError(f"predicate {e.name!r} unfolds to more than {MAX_CALLS} calls")
             names = dict(zip([v for v, _ in d.params], e.args, strict=True))
-            return self.inline(rename(d.body, names), depth + 1)
-        r = lambda x: self.inline(x, depth)
+            return self.inline(rename(d.body, names), (*within, e))
+        r = lambda x: self.inline(x, within)
         if isinstance(e, L.Logic):
             return L.Logic(e.op, tuple(map(r, e.parts)))
         if isinstance(e, L.Quantified):
             return L.Quantified(e.every, e.var, e.type, r(e.body))
         if isinstance(e, L.Let):
-            return L.Let(e.var, e.value, r(e.body))
+            return L.Let(e.var, r(e.value), r(e.body))
         if isinstance(e, L.Compare):
             return L.Compare(e.op, r(e.left), r(e.right))
+        if isinstance(e, L.Method):
+            return L.Method(r(e.of), e.name, tuple(map(r, e.args)))
+        if isinstance(e, L.Matches):
+            return L.Matches(r(e.of), e.type, tuple((k, r(v)) for k, v in e.fields))
         return e
 
     # truth
@@ -194,7 +226,7 @@ class Compiler:
         if isinstance(e, L.Var):
             return env, F.col(f"{e.name}.id").isNotNull()
         if isinstance(e, L.Quantified):
-            body = L.Logic("not", (e.body,)) if e.every else e.body
+            body = negated(e.body, e.every)
             env, some = self.exists(env, e.var, e.type, body, bound)
             return env, ~some if e.every else some
         if isinstance(e, L.Let):
@@ -217,10 +249,14 @@ class Compiler:
 
     def compare(self, op: str, a: Value, b: Value) -> Column:
         ident = lambda v: v.column["id"] if v.kind == "node" else v.column
+        # a size that is a text is compared with texts
+        a, b = (Value("str", x.text) if x.text is not None and y.kind == "str" else x for x, y in ((a, b), (b, a)))
         if op in ("==", "!="):
             if "null" in (a.kind, b.kind):
                 other = a if b.kind == "null" else b
                 same = F.lit(True) if other.kind == "null" else ident(other).isNull()
+                if other.text is not None:
+                    same = same & other.text.isNull()
             elif a.kind == b.kind:
                 same = ident(a).eqNullSafe(ident(b))
             else:
@@ -310,9 +346,13 @@ class Compiler:
             if e.name in RELATIONS:
                 return self.relation(env, e, bound)
             env, of = self.value(env, e.of, bound)
+            if of.meta is not None:
+                return self.side_table(env, of, e.name)
             if of.kind != "node":
                 return env, Value("null", F.lit(None).cast("string"))
             return self.method(env, of.column, e, bound)
+        if isinstance(e, (L.Pattern, L.Many, L.Apply)):
+            raise RuleError("a pattern or a list stands only after 'in'")
         env, c = self.truth(env, e, bound)
         return env, Value("bool", c)
 
@@ -366,6 +406,39 @@ class Compiler:
             return env, Value("bool", F.array_contains(node["children"], other.column["id"]))
         if name == "refers_to":
             return self.declaration(env, node)
+        if name.endswith("_meta") and name[:-5] in META:
+            return env, Value("node", node, meta=name[:-5])
+        if name in ("eval_int", "eval_bool", "is_const_expr"):
+            env, v = self.look(env, self.graph.constants, [(node["id"], "node")], "value")
+            return env, Value("int", v) if name == "eval_int" else Value("bool", v != 0 if name == "eval_bool" else v.isNotNull())
+        if name in ("alloc_size", "has_known_size"):
+            sizes = self.graph.sizes.withColumn("size", F.struct("size_int", "size_expr"))
+            env, v = self.look(env, sizes, [(node["id"], "node")], "size")
+            return env, Value("bool", v["size_int"].isNotNull()) if name == "has_known_size" else Value("int", v["size_int"], text=v["size_expr"])
+        if name in ("may_be_null", "null_source"):
+            env, source = self.look(env, self.graph.nullability, [(node["id"], "node")], "source")
+            return (env, Value("bool", source.isNotNull())) if name == "may_be_null" else self.step(env, node, source)
+        if name in ("points_to", "alias_target", "is_pointer"):
+            targets = analyses.points_to(self.graph).groupBy("file", "pointer").agg(F.min("target").alias("target"))
+            env, target = self.look(env, targets, [(node["id"], "pointer")], "target")
+            return (env, Value("bool", target.isNotNull())) if name == "is_pointer" else self.step(env, node, target)
+        if name in ("param", "param_count"):
+            env, own = self.look(env, analyses.parameters(self.graph), [(node["id"], "fn")], "params")
+            if name == "param":
+                return self.step(env, node, F.get(own, F.lit(at)))
+            return env, Value("int", F.when(node["id"].isNotNull(), F.coalesce(F.size(own), F.lit(0)).cast("long")))
+        if name == "basic_block":
+            env, place = self.look(env, self.placed(), [(node["id"], "node")], "place")
+            return env, Value("int", place["block"])
+        if name in ("branch_condition", "loop_condition", "guard_evals_true", "guard_evals_false"):
+            kinds = {"branch_condition": ["Conditional", "Switch"], "loop_condition": ["Loop"]}.get(name, GUARDS)
+            env, condition = self.look(env, self.guarding(kinds), [(node["id"], "desc")], "condition")
+            if name.endswith("condition"):
+                return self.step(env, node, condition)
+            env, v = self.look(env, self.graph.constants, [(condition, "node")], "value")
+            return env, Value("bool", F.coalesce(v != 0 if name == "guard_evals_true" else v == 0, F.lit(False)))
+        if name in ("excludes_zero", "bounds_value"):
+            return self.guard(env, node, e, bound)
         raise RuleError(f"unknown method {name!r}")
 
     def mark(self, env: DataFrame, right: DataFrame, on: list[tuple[Column, str]]) -> tuple[DataFrame, Value]:
@@ -384,6 +457,53 @@ class Compiler:
         keyed = [F.col("file") == F.col(names[0]), *[c == F.col(n) for (c, _), n in zip(on, names[1:], strict=True)]]
         return env.join(right, keyed, "left").drop(*names), F.col(tag)
 
+    def side_table(self, env, of: Value, field: str):
+        """A field of a language's side table; of a list its first entry; null where the node has no row."""
+        name = f"meta_{of.meta}"
+        if field not in SCHEMAS[name].fieldNames():
+            return env, Value("null", F.lit(None).cast("string"))
+        rows = self.graph.table(name).select("file", "id", field, F.lit(True).alias("here"))
+        rows = rows.groupBy("file", "id").agg(F.max(F.struct("here", field)).alias("row"))
+        env, row = self.look(env, rows, [(of.column["id"], "id")], "row")
+        type_ = SCHEMAS[name][field].dataType.simpleString()
+        if type_ == "boolean":
+            return env, Value("bool", F.when(row["here"], F.coalesce(row[field], F.lit(False))))
+        return env, Value("str", F.get(row[field], F.lit(0)) if type_.startswith("array") else row[field])
+
+    def guarding(self, kinds: list[str]) -> DataFrame:
+        """(file, desc, condition) of the nearest node of the kinds at or above each node."""
+        own = analyses.conditions(self.graph, kinds)
+        above = self.graph.ancestry.join(own.withColumnRenamed("id", "anc"), ["file", "anc"]).select("file", "desc", "depth", "condition")
+        near = above.unionByName(own.select("file", F.col("id").alias("desc"), F.lit(0).cast("long").alias("depth"), "condition"))
+        return near.groupBy("file", "desc").agg(F.min_by("condition", "depth").alias("condition"))
+
+    def guard(self, env, node, e, bound):
+        """excludes_zero(value, target) and bounds_value(value, target, capacity) of the guard ``node``."""
+        columns = []
+        for x in e.args[:2]:
+            env, v = self.value(env, x, bound)
+            columns.append(v)
+        if len(columns) < 2 or any(v.kind != "node" for v in columns):
+            return env, Value("bool", F.lit(False))
+        capacity = F.lit(None).cast("long")
+        if e.name == "bounds_value" and len(e.args) > 2:
+            env, v = self.value(env, e.args[2], bound)
+            if v.kind == "int":
+                capacity = v.column.cast("long")
+            elif v.kind == "node":
+                # a node's own size, or that of the declaration it refers to
+                env, own = self.look(env, self.graph.sizes, [(v.column["id"], "node")], "size_int")
+                env, other = self.declaration(env, v.column)
+                env, theirs = self.look(env, self.graph.sizes, [(other.column["id"], "node")], "size_int")
+                capacity = F.coalesce(own, theirs)
+        tag = f"_g{next(self._fresh)}"
+        asked = [node["id"], columns[0].column["id"], columns[1].column["id"]]
+        env = env.withColumn(f"{tag}c", F.coalesce(capacity, F.lit(guards.UNKNOWN)))
+        seeds = env.select("file", *[c.alias(n) for c, n in zip(asked, ("guard", "value", "target"), strict=True)], F.col(f"{tag}c").alias("capacity"))
+        held = (guards.excludes_zero if e.name == "excludes_zero" else guards.upper_bounds)(self.graph, seeds.distinct())
+        env, ok = self.mark(env, held, [*zip(asked, ("guard", "value", "target"), strict=True), (F.col(f"{tag}c"), "capacity")])
+        return env, ok
+
     def call_site(self, env, node, name):
         sites = self.graph.table("call_sites").groupBy("file", "call_id").agg(
             F.max_by(F.struct("callee", "qualified_callee", "callee_kind"), F.struct("caller_fn", "callee")).alias("s")
@@ -442,8 +562,9 @@ class Compiler:
     # relations between bound nodes
 
     def placed(self) -> DataFrame:
-        """(file, function, block, node)."""
-        return self.graph.table("block_nodes").select("file", "function", F.col("block_ord").alias("block"), F.col("node_id").alias("node"))
+        """(file, node, place): the function and block of each node that has one."""
+        own = self.graph.table("block_nodes").groupBy("file", F.col("node_id").alias("node"))
+        return own.agg(F.max(F.struct("function", F.col("block_ord").alias("block"))).alias("place"))
 
     def relation(self, env: DataFrame, e: L.Method, bound: set[str]) -> tuple[DataFrame, Value]:
         names = [e.of, *[a for a in e.args if not (e.name in ("dfg_def", "dfg_use"))]]
@@ -461,23 +582,45 @@ class Compiler:
         if e.name == "dfg_reaches":
             seeds = env.select("file", ids[0].alias("a")).distinct()
             return self.mark(env, dfg.reaches(self.graph, seeds), [(ids[0], "a"), (ids[1], "b")])
-        at = self.placed()
-        one, two = (at.withColumnsRenamed({"block": x, "node": f"{x}n"}) for x in ("a", "b"))
-        if e.name in SELF_FACTS:
-            facts = self.graph.flow_facts.where(F.col("fact") == SELF_FACTS[e.name]).select("file", "function", "a")
-            return self.mark(env, one.join(facts, ["file", "function", "a"]), [(ids[0], "an")])
+        # nodes stand for their blocks, and facts are asked by block
+        places = []
+        for i in ids:
+            env, place = self.look(env, self.placed(), [(i, "node")], "place")
+            name = f"_b{next(self._fresh)}"
+            env = env.withColumn(name, place)
+            places.append(F.col(name))
+        one = places[0]
+        together = F.lit(True)
+        for other in places[1:]:
+            together = together & F.coalesce(other["function"] == one["function"], F.lit(False))
         if e.name == "same_block":
-            pairs = one.join(two.withColumnRenamed("b", "a"), ["file", "function", "a"])
-        elif e.name == "cfg_reaches_without":
-            wall = at.withColumnsRenamed({"block": "barrier", "node": "wn"})
-            where = one.join(wall, ["file", "function"])
+            return env, Value("bool", together & F.coalesce(places[1]["block"] == one["block"], F.lit(False)))
+        function = (one["function"], "function")
+        if e.name == "cfg_reaches_without":
+            # a barrier without a block of this function bars nothing
+            barrier = f"_w{next(self._fresh)}"
+            env = env.withColumn(barrier, F.when(places[2]["function"] == one["function"], places[2]["block"]).otherwise(F.lit(-1).cast("long")))
+            where = env.where(one.isNotNull()).select("file", function[0].alias("function"), one["block"].alias("a"), F.col(barrier).alias("barrier"))
             hit = cfg.reach_without(self.graph.spark, self.graph.table("cfg_edges"), where)
-            pairs = hit.join(one, ["file", "function", "a"]).join(wall, ["file", "function", "barrier"]).join(two, ["file", "function", "b"])
-            return self.mark(env, pairs, [(ids[0], "an"), (ids[1], "bn"), (ids[2], "wn")])
-        else:
-            facts = self.graph.flow_facts.where(F.col("fact") == PAIR_FACTS[e.name]).select("file", "function", "a", "b")
-            pairs = facts.join(one, ["file", "function", "a"]).join(two, ["file", "function", "b"])
-        return self.mark(env, pairs, [(ids[0], "an"), (ids[1], "bn")])
+            env, ok = self.mark(env, hit, [function, (one["block"], "a"), (F.col(barrier), "barrier"), (places[1]["block"], "b")])
+            return env, Value("bool", ok.column & F.coalesce(places[1]["function"] == one["function"], F.lit(False)))
+        if e.name == "in_dead_branch":
+            entry = self.graph.table("blocks").groupBy("file", "function").agg(F.min("block_ord").alias("a"))
+            live = self.graph.feasible_facts.where("fact = 'reach'").join(entry, ["file", "function", "a"]).select("file", "function", "b")
+            env, ok = self.mark(env, live, [function, (one["block"], "b")])
+            return env, Value("bool", one.isNotNull() & ~ok.column)
+        if e.name in SELF_FACTS:
+            facts = self.graph.flow_facts.where(F.col("fact") == SELF_FACTS[e.name]).select("file", "function", "a")
+            if e.name == "loop_has_no_exit":
+                # a constant true condition in the header closes the exit as well
+                closed = analyses.block_conditions(self.graph).where("value <> 0").select("file", "function", F.col("src").alias("b"))
+                loops = self.graph.flow_facts.where("fact = 'loop'").select("file", "function", "a", "b")
+                facts = facts.unionByName(loops.join(closed, ["file", "function", "b"], "left_semi").drop("b"))
+            return self.mark(env, facts, [function, (one["block"], "a")])
+        facts = self.graph.feasible_facts if e.name == "cfg_reaches_feasible" else self.graph.flow_facts
+        facts = facts.where(F.col("fact") == PAIR_FACTS[e.name]).select("file", "function", "a", "b")
+        env, ok = self.mark(env, facts, [function, (one["block"], "a"), (places[1]["block"], "b")])
+        return env, Value("bool", ok.column & together)
 
 
 def finding(rule: L.Rule, env: DataFrame, names: list[str]) -> DataFrame:

@@ -177,3 +177,80 @@ def library(spark: SparkSession, sf_dir: str) -> Graph:
     edges = edge(nation.where("n_regionkey % 2 = 0"), lib, k + 2, k + 3).unionByName(edge(customer, app, c + 5, c + 6))
     xcalls = customer.select("file", (c + 5).alias("call_node"), F.col("n_name").alias("callee_name"))
     return Graph(spark, {"nodes": nodes, "dfg_edges": edges, "xcalls": xcalls})
+
+
+def code(spark: SparkSession, sf_dir: str) -> Graph:
+    """Source-like functions, one a part of number k and size z, in one file a brand:
+
+    name(a[, b]) { buf[z]; if (z < 25) { malloc(z) } while (!flag) { buf; a } if (a != 0 | a == 0) { use(a) }
+    if (len(a) + 1 < z | a > z) { use(a) } calloc(z, 4) }
+
+    b is there from size 26 on, flag is true from size 41 on; of alternatives odd k have the first.  Node i of part k
+    has the id 64 * k + i; ids, kinds and children are listed below.  Data flows from a to its uses (variable a), from
+    malloc to buf (POINTS_TO in odd k, else REACHING_DEF).  Blocks: entry 0 (condition z < 25) to then 1 or else 2, both
+    to loop 3 (condition !flag), to body 4 or end 5, body back to 3, an exception from 1 to 5."""
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.col("p_size").alias("z"))
+    i = lambda n: F.col("p_partkey") * 64 + n
+    big, high, odd = F.col("z") > 25, F.col("z") > 40, F.col("p_partkey") % 2 == 1
+    text = lambda c: c.cast("string")
+    ids = lambda *ns: F.array(*[i(n) for n in ns])
+
+    def node(n, kind, parent, children=(), fields=(), **more):
+        out = {"id": i(n), "kind": F.lit(kind), "parent_id": F.lit(None) if parent is None else i(parent), "function_id": i(1)}
+        out |= {"node_type": F.lit(kind.lower()), "children": ids(*children) if children else F.array().cast("array<bigint>")}
+        out["field_names"] = F.array(*[F.lit(f) for f in fields]).cast("array<string>")
+        return out | {k: v if not isinstance(v, (str, int)) else F.lit(v) for k, v in more.items()}
+
+    names = "id kind parent_id function_id node_type children field_names name text operator lit_kind array_size argument_count namespace class_context visibility signature qualified_name base_classes is_constructor is_destructor is_virtual".split()
+    types = {"array_size": "bigint", "argument_count": "bigint", "base_classes": "array<string>", "id": "bigint", "parent_id": "bigint", "function_id": "bigint", "children": "array<bigint>", "field_names": "array<string>"} | dict.fromkeys(("is_constructor", "is_destructor", "is_virtual"), "boolean")
+    top = (2, 5, 6, 13, 20, 30, 40)
+    rows = [
+        node(1, "MethodDef", None, top, name=F.col("p_name"), namespace=F.col("p_brand"), class_context=F.col("p_type"), visibility=F.when(big, "public").otherwise("private"),
+             signature=F.col("p_type"), qualified_name=F.concat_ws(".", "p_brand", "p_name"), base_classes=F.array("p_type", "p_brand"), is_constructor=F.col("z") == 1, is_destructor=F.when(F.col("z") == 2, True), is_virtual=high),
+        node(2, "Node", 1, (3, 4), node_type="parameter_list") | {"children": F.when(big, ids(3, 4)).otherwise(ids(3))},
+        node(3, "ParamDef", 2, name="a"), node(4, "ParamDef", 2, name="b"),
+        node(5, "LocalDef", 1, name="buf", array_size=F.col("z").cast("bigint")),
+        node(6, "Conditional", 1, (7, 10), ("condition", "consequence")),
+        node(7, "BinaryOp", 6, (8, 9), operator="<"), node(8, "Literal", 7, lit_kind="Int", text=text(F.col("z"))), node(9, "Literal", 7, lit_kind="Int", text="25"),
+        node(10, "Block", 6, (11,)), node(11, "Call", 10, (12,), name="malloc", argument_count=1), node(12, "Literal", 11, lit_kind="Int", text=text(F.col("z"))),
+        node(13, "Loop", 1, (14, 16, 17), ("condition", "body")), node(14, "UnaryOp", 13, (15,), operator="!"), node(15, "Literal", 14, lit_kind="Bool", text=F.when(high, "true").otherwise("false")),
+        node(16, "Identifier", 13, text="buf"), node(17, "Identifier", 13, text="a"),
+        node(20, "Conditional", 1, (21, 24), ("condition", "consequence")), node(21, "BinaryOp", 20, (22, 23), operator=F.when(odd, "!=").otherwise("==")),
+        node(22, "Identifier", 21, text="a"), node(23, "Literal", 21, lit_kind="Int", text="0"), node(24, "Block", 20, (25,)), node(25, "Call", 24, (26,), name="use", argument_count=1), node(26, "Identifier", 25, text="a"),
+        node(30, "Conditional", 1, (31, 38), ("condition", "consequence")), node(31, "BinaryOp", 30, (32, 37), operator=F.when(odd, "<").otherwise(">")) | {"children": F.when(odd, ids(32, 37)).otherwise(ids(36, 37))},
+        node(32, "BinaryOp", 31, (33, 35), operator="+"), node(33, "Call", 32, (34,), name="strlen", argument_count=1), node(34, "Identifier", 33, text="a"), node(35, "Literal", 32, lit_kind="Int", text="1"),
+        node(36, "Identifier", 31, text="a"), node(37, "Literal", 31, lit_kind="Int", text=text(F.col("z"))), node(38, "Block", 30, (39,)), node(39, "Call", 38, (43,), name="use", argument_count=1), node(43, "Identifier", 39, text="a"),
+        node(40, "Call", 1, (41, 42), name="calloc", argument_count=2), node(41, "Literal", 40, lit_kind="Int", text=text(F.col("z"))), node(42, "Literal", 40, lit_kind="Int", text="4"),
+    ]
+    there = {4: big, 32: odd, 33: odd, 34: odd, 35: odd, 36: ~odd}
+    entries = []
+    for r, n in zip(rows, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, 21, 22, 23, 24, 25, 26, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39, 43, 40, 41, 42], strict=True):
+        cell = F.struct(*[r.get(c, F.lit(None)).cast(types.get(c, "string")).alias(c) for c in names])
+        entries.append(F.when(there[n], cell) if n in there else cell)
+    nodes = p.select(F.col("p_brand").alias("file"), F.explode(F.array_compact(F.array(*entries))).alias("n")).select("file", F.lit("c").alias("lang"), F.col("n.id").alias("line"), "n.*")
+    edge = lambda a, b, v, t="REACHING_DEF": F.struct(i(a).alias("src"), i(b).alias("dst"), F.lit(v).alias("variable"), (F.lit(t) if isinstance(t, str) else t).alias("edge_type"))
+    flows = [edge(3, n, "a") for n in (17, 22, 26, 43)] + [F.when(odd, edge(3, 34, "a")), F.when(~odd, edge(3, 36, "a"))]
+    flows.append(edge(11, 5, "buf", F.when(odd, "POINTS_TO").otherwise("REACHING_DEF")))
+    edges = p.select(F.col("p_brand").alias("file"), F.explode(F.array_compact(F.array(*flows))).alias("e")).select("file", "e.*")
+    sites = p.select(
+        F.col("p_brand").alias("file"), i(1).alias("caller_fn"), i(11).alias("call_id"), F.lit("malloc").alias("callee"),
+        F.when(big, i(1)).alias("callee_id"), F.when(big, "std::malloc").alias("qualified_callee"), F.lit("library").alias("callee_kind"),
+    )
+    at = lambda *pairs: F.explode(F.array(*[F.struct(*[F.lit(x).cast("long" if not isinstance(x, str) else "string").alias(c) for c, x in zip("xyzw", q, strict=False)]) for q in pairs])).alias("r")
+    base = [F.col("p_brand").alias("file"), i(1).alias("function")]
+    blocks = p.select(*base, at(*[(n,) for n in range(6)])).select("file", "function", F.col("r.x").alias("block_ord"), F.col("r.x").cast("string").alias("block_key"))
+    arms = ((0, 1, 0, "normal"), (0, 2, 1, "normal"), (1, 3, 0, "normal"), (2, 3, 0, "normal"), (3, 4, 0, "normal"), (3, 5, 1, "normal"), (4, 3, 0, "normal"), (1, 5, 0, "exception"))
+    arcs = p.select(*base, at(*arms)).select("file", "function", F.col("r.x").alias("src"), F.col("r.y").alias("dst"), F.col("r.z").alias("arm"), F.col("r.w").alias("kind"))
+    spots = ((0, 3), (0, 7), (1, 11), (2, 22), (3, 14), (4, 16), (5, 40))
+    places = p.select(*base, "p_partkey", at(*spots)).select("file", "function", F.col("r.x").alias("block_ord"), (F.col("p_partkey") * 64 + F.col("r.y")).alias("node_id"))
+    meta = p.select(F.col("p_brand").alias("file"), i(1).alias("id"), "z", "p_name", "p_type")
+    side = {
+        "meta_cpp": meta.select("file", "id", (F.col("z") > 25).alias("is_virtual"), F.array("p_type", "p_name").alias("base_classes")),
+        "meta_go": meta.select("file", "id", F.when(F.col("z") > 25, True).alias("is_exported"), F.col("p_name").alias("package_name")),
+        "meta_python": meta.select("file", "id", F.array("p_name").alias("decorators"), (F.col("z") < 5).alias("is_async")),
+        "meta_java": meta.where("z > 30").select("file", "id", F.lit(True).alias("is_final"), F.array().cast("array<string>").alias("annotations")),
+        "meta_js": meta.select("file", "id", F.col("p_type").alias("module_kind"), (F.col("z") == 7).alias("is_arrow")),
+        "meta_ts": meta.select("file", "id", F.col("p_type").alias("access_modifier"), (F.col("z") == 8).alias("enum_is_const")),
+        "meta_rust": meta.select("file", "id", (F.col("z") < 9).alias("is_unsafe"), F.array("p_type").alias("lifetimes")),
+    }
+    return Graph(spark, {"nodes": nodes, "dfg_edges": edges, "call_sites": sites, "blocks": blocks, "cfg_edges": arcs, "block_nodes": places, **side})
