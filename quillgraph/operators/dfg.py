@@ -37,6 +37,23 @@ def reaches(graph: Graph, seeds: DataFrame, blocked: DataFrame | None = None) ->
     return out.unionByName(seeds.select("file", "a", F.col("a").alias("b"))).distinct()
 
 
+def reached_from(graph: Graph, seeds: DataFrame) -> DataFrame:
+    """(file, a, b) for the a of ``seeds`` (file, a): every node b that a flow leads from to a, a itself included."""
+    edges = graph.table("dfg_edges").select("file", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    hit = reach(graph.spark, seeds.select("file", F.col("a").alias("seed")), edges, ["file"])
+    return hit.select("file", F.col("seed").alias("a"), F.col("node").alias("b"))
+
+
+def successors(graph: Graph) -> DataFrame:
+    """(file, a, b): a single edge leads from a to b."""
+    return graph.table("dfg_edges").select("file", F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+
+
+def predecessors(graph: Graph) -> DataFrame:
+    """(file, a, b): a single edge leads from b to a."""
+    return graph.table("dfg_edges").select("file", F.col("dst").alias("a"), F.col("src").alias("b")).distinct()
+
+
 def labelled(graph: Graph, end: str, variable: str) -> DataFrame:
     """(file, a): nodes that are, or hold below them, an edge's ``src`` or ``dst`` for the variable."""
     ends = graph.table("dfg_edges").where(F.col("variable") == variable).select("file", F.col(end).alias("node")).distinct()

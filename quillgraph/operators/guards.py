@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.analyses import arguments, conditions
-from quillgraph.operators.closure import reach
+from quillgraph.operators.closure import durable, reach
 from quillgraph.operators.dfg import subtree
 from quillgraph.plans.graph import Graph
 
@@ -51,11 +51,13 @@ def _roots(graph: Graph, asked: DataFrame) -> DataFrame:
     its consequence."""
     n = graph.nodes
     tested = conditions(graph).select("file", F.col("id").alias("guard"), F.coalesce("condition", "id").alias("root"))
+    asked = durable(graph.spark, asked, "guards")
     rows = asked.join(tested, ["file", "guard"])
     at = F.array_position(F.coalesce("field_names", F.array().cast("array<string>")), "consequence").cast("int")
     then = n.select("file", F.col("id").alias("guard"), F.when(at > 0, F.get("children", at - 1)).alias("top")).where("top IS NOT NULL")
     inside = then.join(subtree(graph), ["file", "top"]).select("file", "guard", F.col("node").alias("target"), F.lit(True).alias("then"))
-    return rows.join(inside.distinct(), ["file", "guard", "target"], "left").withColumn("then", F.coalesce("then", F.lit(False)))
+    rows = rows.join(inside.distinct(), ["file", "guard", "target"], "left").withColumn("then", F.coalesce("then", F.lit(False)))
+    return durable(graph.spark, rows, "guards")
 
 
 def _occurrence(graph: Graph, rows: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def _occurrence(graph: Graph, rows: DataFrame) -> DataFrame:
     both = both.unionByName(plain.select("file", "guard", "value", "node", "place", F.lit(0).alias("rank")))
     known = occurrences(graph, rows, both.select("file", "value", "place"))
     best = both.join(known, ["file", "value", "place"], "left_semi").groupBy("file", "guard", "value").agg(F.max_by("node", F.struct("rank", "node")).alias("found"))
-    return rows.join(best, ["file", "guard", "value"], "left")
+    return durable(graph.spark, rows.join(best, ["file", "guard", "value"], "left"), "guards")
 
 
 def _comparison(graph: Graph, rows: DataFrame) -> DataFrame:
@@ -94,7 +96,8 @@ def _comparison(graph: Graph, rows: DataFrame) -> DataFrame:
     on_left = F.coalesce(F.col("c.in_left"), F.lit(False))
     op = F.when(on_left, F.col("c.operator")).otherwise(flipped(F.col("c.operator")))
     out = rows.join(near, ["file", "guard", "found"], "left").withColumn("op", F.when(F.col("then"), op).otherwise(opposite(op)))
-    return out.withColumns({"side": F.when(on_left, F.col("c.left")).otherwise(F.col("c.right")), "bound": F.when(on_left, F.col("c.right")).otherwise(F.col("c.left"))}).drop("c")
+    return out.withColumns({"side": F.when(on_left, F.col("c.left")).otherwise(F.col("c.right")), "bound": F.when(on_left, F.col("c.right")).otherwise(F.col("c.left"))})
+    return durable(graph.spark, out.drop("c"), "guards")
 
 
 def _valued(graph: Graph, rows: DataFrame, node: str, out: str) -> DataFrame:
@@ -123,7 +126,7 @@ def excludes_zero(graph: Graph, asked: DataFrame) -> DataFrame:
     rows = bare(rows, "root")
     negation = (F.col("root_kind") == "UnaryOp") & (F.col("root_operator") == "!")
     rows = rows.withColumn("inner", F.when(negation, F.col("root_first")).otherwise(F.col("root")))
-    rows = bare(rows, "inner").withColumn("no", F.coalesce(negation, F.lit(False)))
+    rows = durable(graph.spark, bare(rows, "inner").withColumn("no", F.coalesce(negation, F.lit(False))), "guards")
     places = rows.where("inner_kind = 'Identifier'").select("file", "value", F.col("inner").alias("place"))
     known = occurrences(graph, rows, places).select("file", "value", F.col("place").alias("inner"), F.lit(True).alias("stands"))
     rows = rows.join(known, ["file", "value", "inner"], "left")

@@ -29,7 +29,7 @@ def _flat(findings: DataFrame) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(run_rules(views.tree(spark, sf_dir), FLAGSHIP))
+    return _flat(run_rules(views.tree(spark, sf_dir, written=True), FLAGSHIP))
 
 
 def _add(name: str, sql: str | None = None):
@@ -66,32 +66,32 @@ _rule(
     'pred flagged(c: Call) { c.text() == "N" } pred early(c: Call) = c.line() < 4',
 )
 _rule("pred_undefined_false", "find n: Loop where nothing(n) or n.text() == \"5-LOW\"", "kind = 'Loop' AND text = '5-LOW'")
-_rule("pred_language", "find n: Loop", "kind = 'Loop' AND file IN ('r0', 'r2', 'r4')", view=lambda s, d: (lambda g: g.only(nodes=g.nodes.where("lang = 'c'")))(views.tree(s, d)))
+_rule("pred_language", 'languages: ["c", "go"] find n: Loop', "kind = 'Loop' AND file IN ('r0', 'r2', 'r4')")
 # trees
 _P = "JOIN nodes p ON n.parent_id = p.id"
-_rule("tree_parent", 'find n: Call where n.parent().kind() == "Loop" and n.parent().parent().kind() == "MethodDef"', "n.kind = 'Call' AND p.kind = 'Loop'", table=f"nodes n {_P}")
-_rule("tree_let", 'find n: Call where let p = n.parent() in p.text() == "2-HIGH" and p.kind() == "Block"', "n.kind = 'Call' AND p.text = '2-HIGH' AND p.kind = 'Block'", table=f"nodes n {_P}")
-_rule("tree_function", 'find n: Call where n.function_id().name() in /7$/', "n.kind = 'Call' AND f.name LIKE '%7'", table="nodes n JOIN nodes f ON n.function_id = f.id")
-_rule("tree_child", 'find n: Stmt where n.child(1).text() == "A"', "n.kind IN ('Loop', 'Conditional', 'Block') AND c.line = 2 AND c.text = 'A'", table="nodes n JOIN nodes c ON c.parent_id = n.id", children=True)
-_rule("tree_arg", 'find n: Stmt where n.arg(0).arg_count() == 7', "n.kind IN ('Loop', 'Conditional', 'Block') AND c.line = 1 AND c.argument_count = 7", table="nodes n JOIN nodes c ON c.parent_id = n.id", children=True)
-_rule("tree_ancestor", 'find n: Call where n.ancestor("namespace").name() == "NATION_03" or n.ancestor("MethodDef").name() in /5$/', "n.kind = 'Call' AND (s.name = 'NATION_03' OR f.name LIKE '%5')", table="nodes n JOIN nodes f ON n.function_id = f.id JOIN nodes s ON f.parent_id = s.id")
-_rule("tree_has_ancestor", 'find n: Call where n.has_ancestor("conditional")', "n.kind = 'Call' AND p.kind = 'Conditional'", table=f"nodes n {_P}")
-_rule("tree_has_descendant", 'find n: MethodDef where not n.has_descendant("loop")', "n.kind = 'MethodDef' AND NOT EXISTS (SELECT 1 FROM nodes p WHERE p.parent_id = n.id AND p.kind = 'Loop')")
+_rule("tree_parent", 'find n: Call where n.parent().kind() == "Loop" and n.parent().parent().kind() == "MethodDef"', "n.kind = 'Call' AND p.kind = 'Loop'", table=f"nodes n {_P}", written=True)
+_rule("tree_let", 'find n: Call where let p = n.parent() in p.text() == "2-HIGH" and p.kind() == "Block"', "n.kind = 'Call' AND p.text = '2-HIGH' AND p.kind = 'Block'", table=f"nodes n {_P}", written=True)
+_rule("tree_function", 'find n: Call where n.function_id().name() in /7$/', "n.kind = 'Call' AND f.name LIKE '%7'", table="nodes n JOIN nodes f ON n.function_id = f.id", written=True)
+_rule("tree_child", 'find n: Stmt where n.child(1).text() == "A"', "n.kind IN ('Loop', 'Conditional', 'Block') AND c.line = 2 AND c.text = 'A'", table="nodes n JOIN nodes c ON c.parent_id = n.id", children=True, written=True)
+_rule("tree_arg", 'find n: Stmt where n.arg(0).arg_count() == 7', "n.kind IN ('Loop', 'Conditional', 'Block') AND c.line = 1 AND c.argument_count = 7", table="nodes n JOIN nodes c ON c.parent_id = n.id", children=True, written=True)
+_rule("tree_ancestor", 'find n: Call where n.ancestor("namespace").name() == "NATION_03" or n.ancestor("MethodDef").name() in /5$/', "n.kind = 'Call' AND (s.name = 'NATION_03' OR f.name LIKE '%5')", table="nodes n JOIN nodes f ON n.function_id = f.id JOIN nodes s ON f.parent_id = s.id", written=True)
+_rule("tree_has_ancestor", 'find n: Call where n.has_ancestor("conditional")', "n.kind = 'Call' AND p.kind = 'Conditional'", table=f"nodes n {_P}", written=True)
+_rule("tree_has_descendant", 'find n: MethodDef where not n.has_descendant("loop")', "n.kind = 'MethodDef' AND NOT EXISTS (SELECT 1 FROM nodes p WHERE p.parent_id = n.id AND p.kind = 'Loop')", written=True)
 _rule("tree_no_parent", "find n: Node where n.parent() == null", "parent_id IS NULL")
 _add(
     "tree_depth",
     f"WITH RECURSIVE {views.TREE_SQL}, c AS (SELECT id, parent_id AS anc, 1 AS depth FROM nodes WHERE parent_id IS NOT NULL UNION ALL "
     "SELECT c.id, n.parent_id, depth + 1 FROM c JOIN nodes n ON c.anc = n.id WHERE n.parent_id IS NOT NULL) "
     "SELECT depth::BIGINT AS depth, count(*) AS n FROM c GROUP BY depth",
-)(lambda spark, sf_dir: views.tree(spark, sf_dir).ancestry.groupBy("depth").agg(F.count(F.lit(1)).alias("n")))
+)(lambda spark, sf_dir: views.tree(spark, sf_dir, written=True).ancestry.groupBy("depth").agg(F.count(F.lit(1)).alias("n")))
 # joins and quantifiers
 _add("join_ancestor", f"WITH {views.TREE_SQL} SELECT 'big-open' AS rule_id, 'high' AS severity, n.file, o.id AS a, n.id AS b FROM nodes n JOIN nodes o ON n.parent_id = o.id WHERE o.kind = 'Conditional' AND n.argument_count >= 1")(flagship)
 _rule("join_same_function", 'find n: Conditional, l: Loop where n.same_function(l) and n.text() == "1-URGENT" and l.text() == "5-LOW"', "n.kind = 'Conditional' AND l.kind = 'Loop' AND n.text = '1-URGENT' AND l.text = '5-LOW'", b="l.id", table="nodes n JOIN nodes l ON n.function_id = l.function_id")
 _rule("join_identity", "find n: Loop, m: Stmt where n.id() == m.id() and m.line() == 1", "n.kind = 'Loop'", b="n.id")
 _rule("quant_exists", 'find n: MethodDef where exists(l: Loop | l.same_function(n) and l.text() == "5-LOW")', "n.kind = 'MethodDef' AND EXISTS (SELECT 1 FROM nodes l WHERE l.function_id = n.id AND l.kind = 'Loop' AND l.text = '5-LOW')")
-_rule("quant_forall", 'find n: MethodDef where not exists(l: Conditional | l.same_function(n) and l.text() == "5-LOW")', "n.kind = 'MethodDef' AND NOT EXISTS (SELECT 1 FROM nodes l WHERE l.function_id = n.id AND l.kind = 'Conditional' AND l.text = '5-LOW')")
-_rule("quant_or", 'find n: Loop where n.text() == "1-URGENT" or exists(c: Call | c.has_ancestor(n.id()) and c.arg_count() == 7)', "n.kind = 'Loop' AND (n.text = '1-URGENT' OR EXISTS (SELECT 1 FROM nodes c WHERE c.parent_id = n.id AND c.argument_count = 7))")
-_rule("quant_nested", 'find n: MethodDef where exists(l: Loop | l.same_function(n) and exists(c: Call | c.has_ancestor(l.id()) and c.same_function(n) and c.text() == "R"))', "n.kind = 'MethodDef' AND EXISTS (SELECT 1 FROM nodes l JOIN nodes c ON c.parent_id = l.id WHERE l.function_id = n.id AND l.kind = 'Loop' AND c.text = 'R')")
+_rule("quant_forall", 'find n: MethodDef where forall(l: Conditional | not l.same_function(n) or l.text() != "5-LOW")', "n.kind = 'MethodDef' AND NOT EXISTS (SELECT 1 FROM nodes l WHERE l.function_id = n.id AND l.kind = 'Conditional' AND l.text = '5-LOW')")
+_rule("quant_or", 'find n: Loop where n.text() == "1-URGENT" or exists(c: Call | c.has_ancestor(n.id()) and c.arg_count() == 7)', "n.kind = 'Loop' AND (n.text = '1-URGENT' OR EXISTS (SELECT 1 FROM nodes c WHERE c.parent_id = n.id AND c.argument_count = 7))", written=True)
+_rule("quant_nested", 'find n: MethodDef where exists(l: Loop | l.same_function(n) and exists(c: Call | c.has_ancestor(l.id()) and c.same_function(n) and c.text() == "R"))', "n.kind = 'MethodDef' AND EXISTS (SELECT 1 FROM nodes l JOIN nodes c ON c.parent_id = l.id WHERE l.function_id = n.id AND l.kind = 'Loop' AND c.text = 'R')", written=True)
 # control flow
 _FLOW_NODES = views.FLOW_SQL + ", nodes AS (SELECT 'events' AS file, e.event_id AS id, e.t AS name, e.fn, e.k, b.o FROM e JOIN blocks b ON e.fn = b.fn AND e.t = b.t)"
 _PAIR = "nodes n JOIN nodes m ON n.fn = m.fn"
@@ -138,6 +138,31 @@ def _(spark, sf_dir):
     return dfg.reaches(g, g.nodes.where("kind = 'Call' AND text = 'debt'").select("file", F.col("id").alias("a"))).select("a", "b")
 
 
+@_add("dfg_backward", _D + ", r AS (SELECT c_custkey * 8 + 2 AS a, c_custkey * 8 + 2 AS b FROM customer WHERE c_acctbal < 0 UNION SELECT r.a, e.src FROM r JOIN edges e ON r.b = e.dst) SELECT a, b FROM r")
+def _(spark, sf_dir):
+    g = views.data(spark, sf_dir)
+    broke = views.read(spark, sf_dir, "customer").where("c_acctbal < 0")
+    return dfg.reached_from(g, broke.select(F.lit("d").alias("file"), (F.col("c_custkey") * 8 + 2).alias("a"))).select("a", "b")
+
+
+@_add("dfg_neighbours", _D + ", n AS (SELECT src AS a, dst AS b, 'successor' AS side FROM edges UNION SELECT dst, src, 'predecessor' FROM edges) SELECT a, side, count(*) AS n, min(b) AS least FROM n GROUP BY a, side")
+def _(spark, sf_dir):
+    g = views.data(spark, sf_dir)
+    out = dfg.successors(g).withColumn("side", F.lit("successor")).unionByName(dfg.predecessors(g).withColumn("side", F.lit("predecessor")))
+    return out.groupBy("a", "side").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("least"))
+
+
+# subtrees: the condition a != 0 or a == 0 holds a use below it
+@_add("dfg_flows_into_trees", "SELECT p_partkey * 64 + 3 AS a, p_partkey * 64 + t AS b FROM part, (VALUES (17), (13), (22), (21), (20), (26), (25), (24), (43), (39), (38), (30), (31)) x(t) UNION ALL SELECT p_partkey * 64 + 2, p_partkey * 64 + t FROM part, (VALUES (17), (13), (22), (21), (20), (26), (25), (24), (43), (39), (38), (30), (31)) x(t) UNION ALL SELECT p_partkey * 64 + a, p_partkey * 64 + t FROM part, (VALUES (3, 32), (3, 33), (3, 34), (2, 32), (2, 33), (2, 34)) x(a, t) WHERE p_partkey % 2 = 1 UNION ALL SELECT p_partkey * 64 + a, p_partkey * 64 + 36 FROM part, (VALUES (3), (2)) x(a) WHERE p_partkey % 2 = 0")
+def _(spark, sf_dir):
+    g = views.code(spark, sf_dir)
+    out = dfg.flows_to(g.only(dfg_edges=g.table("dfg_edges").where("variable = 'a'")))
+    # all but the function itself, which holds every flow
+    inner = g.nodes.where("kind <> 'MethodDef'").select("file", "id")
+    out = out.join(inner.withColumnRenamed("id", "a"), ["file", "a"]).join(inner.withColumnRenamed("id", "b"), ["file", "b"])
+    return out.select("a", "b")
+
+
 @_add("dfg_barrier", _D + _R.format(" WHERE e.dst NOT IN (SELECT p_partkey * 8 + 6 FROM part WHERE p_size > 25)") + " SELECT a, b FROM r")
 def _(spark, sf_dir):
     g = views.data(spark, sf_dir)
@@ -168,7 +193,9 @@ def _ends(findings: DataFrame) -> DataFrame:
 
 _add("taint_basic", _TAINT_SQL.format("true"))(lambda s, d: _ends(run_rules(views.data(s, d), _TAINT.format("", 10))))
 _add("taint_sanitized", _TAINT_SQL.format("e.dst NOT IN (SELECT p_partkey * 8 + 6 FROM part WHERE p_size > 25)"))(lambda s, d: _ends(run_rules(views.data(s, d), _TAINT.format("large", 10))))
-_add("taint_bounded", _TAINT_SQL.format("false"))(lambda s, d: _ends(run_rules(views.data(s, d), _TAINT.format("", 0))))
+# one hop reaches parts but no customers
+_BOUNDED = _TAINT.replace("sinks: [buyer]", "sinks: [buyer, stock]").replace("rule", "sink stock = find p: Assign where p.line() > 40 rule", 1)
+_add("taint_bounded", _D + " SELECT DISTINCT 'flow' AS rule_id, 'critical' AS severity, 'd' AS file, src AS a, dst AS b FROM edges JOIN supplier ON src = s_suppkey * 8 + 5 JOIN part ON dst = p_partkey * 8 + 6 WHERE s_acctbal < 0 AND p_size > 40")(lambda s, d: _ends(run_rules(views.data(s, d), _BOUNDED.format("", 0))))
 
 
 @_add("taint_path", _D + ", t AS (SELECT e1.src AS a, e3.dst AS b, min(e2.dst) AS m FROM edges e1 JOIN edges e2 ON e1.dst = e2.src JOIN edges e3 ON e2.dst = e3.src JOIN supplier ON e1.src = s_suppkey * 8 + 5 JOIN customer ON e3.dst = c_custkey * 8 + 2 WHERE s_acctbal < 0 AND c_mktsegment = 'BUILDING' GROUP BY 1, 2) SELECT a, b, 4::BIGINT AS n, m AS before_last FROM t")
@@ -308,9 +335,9 @@ def _(spark, sf_dir):
     return views.tree(spark, sf_dir).nodes.groupBy("file", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"))
 
 
-@_add("agg_size_estimate", f"WITH {views.TREE_SQL} SELECT file, count(*) AS total_nodes, (256 * count(*))::BIGINT AS bytes FROM nodes GROUP BY file")
+@_add("agg_size_estimate", "SELECT p_brand AS file, sum(n)::BIGINT AS total_nodes, sum(256 * n + 128 * 6 + 32 * 6)::BIGINT AS bytes FROM (SELECT p_brand, 32 + (p_size > 25)::INT + CASE WHEN p_partkey % 2 = 1 THEN 4 ELSE 1 END AS n FROM part) GROUP BY p_brand")
 def _(spark, sf_dir):
-    return analyses.size_estimate(views.tree(spark, sf_dir))
+    return analyses.size_estimate(views.code(spark, sf_dir))
 
 
 @_add("agg_histogram", "WITH s AS (SELECT event_type, (value * 100)::BIGINT AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL), l AS (SELECT event_type, list_sort(list(v)) AS a FROM s WHERE k <= 2000 GROUP BY event_type) SELECT s.event_type, count(*) AS n, min(v) AS min, max(v) AS max, floor(sum(v) / count(*))::BIGINT AS mean, any_value(a[floor((len(a) - 1) * 50 / 100 + 0.5)::INT + 1]) AS p50, any_value(a[floor((len(a) - 1) * 95 / 100 + 0.5)::INT + 1]) AS p95, any_value(a[floor((len(a) - 1) * 99 / 100 + 0.5)::INT + 1]) AS p99 FROM s JOIN l USING (event_type) GROUP BY s.event_type")
@@ -353,9 +380,27 @@ def _(spark, sf_dir):
     return out.groupBy(F.get_json_object("value", "$.level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_add("sink_markdown", f"WITH {views.TREE_SQL} SELECT file, count(*) AS n FROM nodes WHERE text = '1-URGENT' GROUP BY file")
+_FOUND = f"WITH {views.TREE_SQL}, f AS (SELECT file, line, id, CASE kind WHEN 'Loop' THEN 'a' WHEN 'Conditional' THEN 'b' ELSE 'c' END AS rule, CASE kind WHEN 'Loop' THEN 'critical' WHEN 'Conditional' THEN 'medium' ELSE 'info' END AS severity, CASE kind WHEN 'Loop' THEN 'x|y' ELSE '' END AS message, CASE kind WHEN 'Loop' THEN 'error' WHEN 'Conditional' THEN 'warning' ELSE 'note' END AS level FROM nodes WHERE text = '1-URGENT' AND kind IN ('Loop', 'Conditional', 'Block'))"
+
+
+@_add("sink_sarif_results", _FOUND + " SELECT rule, level, message, file AS uri, line::VARCHAR AS start_line, count(*) AS n FROM f GROUP BY ALL")
+def _(spark, sf_dir):
+    out = sinks.to_sarif(run_rules(views.tree(spark, sf_dir), _SEVERE))
+    place = "$.locations[0].physicalLocation"
+    paths = {"rule": "$.ruleId", "level": "$.level", "message": "$.message.text", "uri": f"{place}.artifactLocation.uri", "start_line": f"{place}.region.startLine"}
+    return out.groupBy(*[F.get_json_object("value", path).alias(name) for name, path in paths.items()]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add("sink_json", _FOUND + " SELECT rule AS rule_id, severity, message, file, id AS node FROM f")
+def _(spark, sf_dir):
+    out = sinks.to_json(run_rules(views.tree(spark, sf_dir), _SEVERE))
+    fields = [F.get_json_object("value", f"$.{c}").alias(c) for c in ("rule_id", "severity", "message", "file")]
+    return out.select(*fields, F.get_json_object("value", "$.matched_nodes[0]").cast("long").alias("node"))
+
+
+@_add("sink_markdown", _FOUND + " SELECT file, count(*) AS n, '## ' || file || chr(10) || chr(10) || '| Line | Severity | Rule | Message |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || line || ' | ' || severity || ' | ' || rule || ' | ' || replace(message, '|', chr(92) || '|') || ' |', chr(10) ORDER BY line, rule) AS value FROM f GROUP BY file")
 def _(spark, sf_dir):
-    return sinks.to_markdown(run_rules(views.tree(spark, sf_dir), _SEVERE)).select("file", "n")
+    return sinks.to_markdown(run_rules(views.tree(spark, sf_dir), _SEVERE)).select("file", "n", "value")
 
 
 def queries() -> dict:

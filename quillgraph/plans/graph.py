@@ -99,6 +99,12 @@ class Graph:
     def only(self, **tables: DataFrame) -> Graph:
         return replace(self, tables=self.tables | tables)
 
+    def written(self, *names: str) -> Graph:
+        """The same graph with tables (all without names) written once, for views that many steps read."""
+        from quillgraph.operators.closure import durable
+
+        return self.only(**{n: durable(self.spark, df, n) for n, df in self.tables.items() if not names or n in names})
+
     @property
     def nodes(self) -> DataFrame:
         return self.table("nodes")
@@ -149,4 +155,4 @@ class Graph:
         """(file, node, source) of what may be null."""
         from quillgraph.operators.analyses import nullability
 
-        return nullability(self)
+        return self._once(nullability(self), "nullability")

@@ -15,7 +15,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tree(spark: SparkSession, sf_dir: str, children: bool = False) -> Graph:
+def tree(spark: SparkSession, sf_dir: str, children: bool = False, written: bool = False) -> Graph:
     """region > nation > customer > order > line as File > Namespace > MethodDef > Conditional, Loop or
     Block > Call; one file a region, a customer's subtree is one function."""
     t = lambda name: read(spark, sf_dir, name)
@@ -56,7 +56,8 @@ def tree(spark: SparkSession, sf_dir: str, children: bool = False) -> Graph:
         lists = nodes.groupBy("file", "parent_id").agg(F.array_sort(F.collect_list("id")).alias("children"))
         lists = lists.where("parent_id IS NOT NULL").withColumnRenamed("parent_id", "id")
         nodes = nodes.join(lists, ["file", "id"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<bigint>")))
-    return Graph(spark, {"nodes": nodes})
+    graph = Graph(spark, {"nodes": nodes})
+    return graph.written() if written else graph
 
 
 TREE_SQL = """
@@ -179,7 +180,19 @@ def library(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(spark, {"nodes": nodes, "dfg_edges": edges, "xcalls": xcalls})
 
 
+_WRITTEN: dict[tuple[str, str], Graph] = {}
+
+
 def code(spark: SparkSession, sf_dir: str) -> Graph:
+    """``source``, written once an application: its nodes and the facts that rules ask of it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _WRITTEN:
+        _WRITTEN.clear()
+        _WRITTEN[key] = source(spark, sf_dir).written()
+    return _WRITTEN[key]
+
+
+def source(spark: SparkSession, sf_dir: str) -> Graph:
     """Source-like functions, one a part of number k and size z, in one file a brand:
 
     name(a[, b]) { buf[z]; if (z < 25) { malloc(z) } while (!flag) { buf; a } if (a != 0 | a == 0) { use(a) }

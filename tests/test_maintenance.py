@@ -14,6 +14,14 @@ def test_incremental_equals_full(spark, tmp_path):
     scan.batch(spark.createDataFrame([("a", 1, "x", 1), ("b", 1, "y", 2), ("c", 1, "z", 0)], schema), 0)
     scan.batch(spark.createDataFrame([("a", 2, "x2", 5), ("a", 0, "old", 9), ("b", 2, None, None)], schema), 1)
     assert sorted(map(tuple, scan.findings().collect())) == [("a", 5)]
+    # a scan that starts again goes on from the folder, also where batches are numbered from 0 again
+    again = IncrementalScan(spark, scan.path, scan.evaluate)
+    again.batch(spark.createDataFrame([("d", 1, "w", 7), ("a", 3, "x2", 6)], schema), 0)
+    assert sorted(map(tuple, again.findings().collect())) == [("a", 5), ("d", 7)]
+    # under another rule set what comes is judged anew, changed or not
+    other = IncrementalScan(spark, scan.path, lambda rows: rows.where("n > 6").select(F.col("path").alias("file"), "n"), "v2")
+    other.batch(spark.createDataFrame([("a", 3, "x2", 6)], schema), 0)
+    assert sorted(map(tuple, other.findings().collect())) == [("d", 7)]
 
 
 def test_discover_and_rules(spark, tmp_path):
