@@ -3,7 +3,6 @@
 #: Pairs replaced in lower-cased texts, in this order.
 EQUIVALENT = [
     ("licence", "license"),
-    ("licenced", "licensed"),
     ("acknowledgement", "acknowledgment"),
     ("favour", "favor"),
     ("honour", "honor"),
@@ -96,3 +95,27 @@ KNOWN = [
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
 ]
+
+#: (digest, name) of whole licences whose texts are too long to state here: SHA-256 of the canonical text, for those with a line
+#: "END OF TERMS AND CONDITIONS" also of the text up to that line (fixed values; they change with EQUIVALENT and ``canonical``).
+DIGESTS = [
+    ("ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100", "Apache-2.0"),
+    ("e9dbf930ca0f1e090ec68da9a37b657d11bc9e43b30643455d6a96dbf73116ca", "Apache-2.0"),
+    ("842d1d7843c0e8fa9d9fc60e2e1e785750f849881896afdeab8b3bcccd224479", "Artistic-1.0-Perl"),
+    ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "CC0-1.0"),
+    ("6a3527458ce3cfb5ade85445cd3d6acb0b358be7b39581a865ef5d3ac4f297f8", "GFDL-1.2-only"),
+    ("d93999c79de6eaf027d3a8a0aadbd0f0cefce6927b1d631b03a133c865480e3f", "GFDL-1.3-only"),
+    ("37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f", "GPL-1.0-only"),
+    ("3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9", "GPL-1.0-only"),
+    ("5147a46525fc36b30edbb3469564d4930add19b5b86c56d8d58e084575fd474a", "GPL-2.0-only"),
+    ("5e9874a182b8e50f136aed39c11d5b872aaa6c94c59b0780c37559869ffd0faa", "GPL-2.0-only"),
+    ("bd8a9678cc102044334826438740622a2d2bd3bcb7254d45d9ab87e1bfced4ed", "GPL-3.0-only"),
+    ("502fa73c5788144cfc3b1b6c0f5f6f80fdf0eea24cd8697030ef964b7de67d2f", "GPL-3.0-only"),
+    ("82b9c718a1edbbe60a4f5828e6e8c8390d714f09bfee18638761bb3f8fdff504", "LGPL-2.0-only"),
+    ("c2cefe189596f86dbbdab4ca8b161c6262f8b0d574184ce87144b676eb4e7d0a", "LGPL-2.0-only"),
+    ("8972cc10118fe8a142e8b2d34ba122d3a2c710126a256b6786246af9ae4cd5a6", "LGPL-2.1-only"),
+    ("0948f7f91046d0736fbe4b1285c1418c43656d51b8a98c2690fd48e68a51284e", "LGPL-2.1-only"),
+    ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "LGPL-3.0-only"),
+    ("f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6", "MPL-1.1"),
+    ("95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9", "MPL-2.0"),
+]

@@ -5,10 +5,11 @@ lines, equivalent spellings, punctuation and spacing) and its SHA-256 looked up
 in a table of known digests.  Short notices stand inside ordinary documents, so
 every line that names a licence is looked up as an entire text of its own too.
 
-The known table holds one row a licence (a parameter; tens to thousands of rows
-of a digest and a name), so it is the side that is broadcast.  Documents are
-never shuffled: the line digests are looked up inside the row through the same
-table as a literal map.  That the table has at most MAX_KNOWN rows is checked.
+The known table (a parameter) holds a digest and a name a row.  Up to MAX_KNOWN
+rows it is broadcast; beyond, the same joins shuffle.  Texts are never shuffled:
+a document becomes one small row for each line that names a licence, these join
+the known table, and one row a document (its digest, the names found) is put
+together again.
 
 Defined results: null, empty and blank texts, and texts of copyright lines
 alone, have the digest of the empty string and match nothing; equal texts each
@@ -21,9 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import table
-from quillgraph.llm.license_texts import EQUIVALENT, KNOWN
+from quillgraph.llm.license_texts import DIGESTS, EQUIVALENT, KNOWN
 
-#: Proven bound of the table that is broadcast and held as a map.
+#: Most rows of a known table that is broadcast (about 100 bytes each).
 MAX_KNOWN = 10_000
 
 
@@ -39,30 +40,30 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_licenses(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license_id); of licences with equal canonical texts the first name wins."""
-    if len(known) > MAX_KNOWN:
-        raise ValueError(f"{len(known)} licences; at most {MAX_KNOWN} are broadcast")
+def known_licenses(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """(digest, license_id) of texts and of ready digests; of licences with equal canonical texts the first name wins."""
     rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(known)], "i int, license_id string, body string")
-    rows = rows.withColumn("digest", digest(F.col("body")))
+    ready = spark.createDataFrame([(len(known) + i, n, d) for i, (d, n) in enumerate(digests)], "i int, license_id string, digest string")
+    rows = rows.select("i", "license_id", digest(F.col("body")).alias("digest")).unionByName(ready)
     return rows.groupBy("digest").agg(F.min_by("license_id", "i").alias("license_id"))
 
 
 def license_scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (of the entire text, else null), notices (names of the
-    licences that single lines state, sorted, joined by commas; '' if none) and matched."""
-    known = known if known is not None else known_licenses(spark)
-    pairs = known.limit(MAX_KNOWN + 1).collect()
-    if len(pairs) > MAX_KNOWN:
-        raise ValueError(f"more than {MAX_KNOWN} licences; no more are broadcast")
-    by_digest = F.create_map(*[F.lit(x) for r in pairs for x in (r["digest"], r["license_id"])])
+    licences that single lines state, sorted, joined by commas; '' if none) and matched.
+
+    known has one row a digest."""
+    known = (known if known is not None else known_licenses(spark)).select("digest", "license_id")
+    if len(known.limit(MAX_KNOWN + 1).collect()) <= MAX_KNOWN:
+        known = F.broadcast(known)
     body = F.coalesce(F.col("text"), F.lit(""))
     named = F.filter(F.split(body, "\n"), lambda x: x.rlike("(?i)licen[cs]e"))
-    out = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.transform(named, digest).alias("lines"))
-    out = out.join(F.broadcast(known), "digest", "left")
-    hits = F.filter(F.transform("lines", lambda x: F.try_element_at(by_digest, x)), lambda x: x.isNotNull())
-    hits = F.when(F.size("lines") == 0, F.lit("")).otherwise(F.array_join(F.array_sort(F.array_distinct(hits)), ","))
-    out = out.select("doc_id", "digest", "license_id", hits.alias("notices"))
+    # numbered in a projection of its own: beside a generator, the lines would be numbered
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", digest(F.col("text")).alias("digest"), F.transform(named, digest).alias("lines"))
+    rows = rows.select("rid", "doc_id", "digest", F.explode_outer("lines").alias("line"))
+    notice = known.select(F.col("digest").alias("line"), F.col("license_id").alias("notice"))
+    hits = rows.join(notice, "line", "left").groupBy("rid", "doc_id", "digest").agg(F.collect_set("notice").alias("names"))
+    out = hits.join(known, "digest", "left").select("doc_id", "digest", "license_id", F.array_join(F.array_sort("names"), ",").alias("notices"))
     return out.withColumn("matched", F.col("license_id").isNotNull() | (F.col("notices") != ""))
 
 
@@ -80,11 +81,13 @@ def _sql_canonical(x: str) -> str:
 
 def oracle() -> str:
     rows = ",\n".join(f"({i}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate(KNOWN))
+    ready = ",\n".join(f"({len(KNOWN) + i}, '{n}', '{d}')" for i, (d, n) in enumerate(DIGESTS))
     return f"""
 WITH raw(i, license_id, body) AS (VALUES {rows}),
+ready(i, license_id, digest) AS (VALUES {ready}),
 known AS (
   SELECT digest, min_by(license_id, i) AS license_id
-  FROM (SELECT i, license_id, sha256({_sql_canonical('body')}) AS digest FROM raw) GROUP BY digest),
+  FROM (SELECT i, license_id, sha256({_sql_canonical('body')}) AS digest FROM raw UNION ALL FROM ready) GROUP BY digest),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text, sha256({_sql_canonical('text')}) AS digest FROM documents),
 l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 n AS (

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import zlib
@@ -348,6 +349,28 @@ def test_licenses(spark, docs, empty):
     assert licenses.license_scan(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_licenses_joined(spark, monkeypatch, most):
+    # repeated rows, very long texts, several notices, and a known table that is joined without a broadcast
+    monkeypatch.setattr(licenses, "MAX_KNOWN", most)
+    notes = "Released under the MIT License.\nplain\nLicensed under CC BY 4.0.\nReleased under the MIT license\n"
+    rows = [(1, notes * 3000), (1, notes * 3000), (2, None), (2, ""), (3, "a licence of no kind\n" * 5000), (4, "x" * 300_000)]
+    got = [tuple(r) for r in licenses.license_scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "license_id", "notices", "matched").collect()]
+    assert sorted(got, key=str) == [(1, None, "CC-BY-4.0,MIT", True)] * 2 + [(2, None, "", False)] * 2 + [(3, None, "", False), (4, None, "", False)]
+
+
+def test_license_digests(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(i, (folder / f).read_text(encoding="utf-8"), n) for i, (f, n) in enumerate(names.items()) if (folder / f).exists()]
+    if not texts:
+        pytest.skip("no licence texts on this machine")
+    # other spacing, case and quotes change nothing; a missing word does
+    odd = [(100 + i, t.upper().replace("\n", "\n\n  "), n) for i, t, n in texts] + [(200 + i, t.replace(" the ", " ", 1), None) for i, t, _ in texts]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts + odd], "doc_id long, text string")
+    assert {r["doc_id"]: r["license_id"] for r in licenses.license_scan(spark, docs).collect()} == {i: n for i, _, n in texts + odd}
+
+
 def test_urls(spark):
     cases = [
         (1, "http://A.Example.com/en/1", "a.example.com", "/en/1", "com/en/", "block"),
