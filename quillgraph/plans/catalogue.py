@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import analyses, dfg, taint
+from quillgraph.operators import analyses, construct, dfg, taint
 from quillgraph.plans import views
 from quillgraph.plans.compiler import run_rules
 from quillgraph.sources import sinks
@@ -329,6 +329,32 @@ _code("meta_rust", "find n: Node where n.rust_meta.is_unsafe == false and n.rust
 _code("pred_in_let", "find n: MethodDef where let p = n.param(0) in first(p) and n matches MethodDef { name: n.name() }", ("1", "true"), extra='pred first(p: ParamDef) = p.name() == "a"')
 
 
+# construction from syntax trees (views.code has the shape of each function)
+def _built(spark, sf_dir):
+    return construct.with_control_flow(views.code(spark, sf_dir))
+
+
+_ARMS = "(0, 1, 0), (0, 2, 1), (1, 2, 0), (2, 3, 0), (3, 4, 0), (3, 5, 1), (4, 3, 0), (5, 6, 0), (5, 7, 1), (6, 7, 0), (7, 8, 0), (7, 9, 1), (8, 9, 0), (9, 10, 0)"
+
+
+@_add("build_cfg_edges", f"SELECT p_brand AS file, p_partkey * 64 + 1 AS \"function\", s::BIGINT AS src, t::BIGINT AS dst, a::BIGINT AS arm, 'normal' AS kind FROM part, (VALUES {_ARMS}) x(s, t, a)")
+def _(spark, sf_dir):
+    return _built(spark, sf_dir).table("cfg_edges")
+
+
+_HELD = "(0, 5), (0, 6), (0, 7), (0, 8), (0, 9), (1, 11), (1, 12), (2, 13), (3, 14), (3, 15), (4, 16), (4, 17), (5, 20), (5, 21), (5, 22), (5, 23), (6, 25), (6, 26), (7, 30), (7, 31), (7, 37), (8, 39), (8, 43), (9, 40), (9, 41), (9, 42)"
+
+
+@_add("build_block_nodes", f"SELECT p_brand AS file, p_partkey * 64 + n AS node_id, b::BIGINT AS block_ord FROM part, (VALUES {_HELD}) x(b, n) UNION ALL SELECT p_brand, p_partkey * 64 + n, 7 FROM part, (VALUES (32), (33), (34), (35)) x(n) WHERE p_partkey % 2 = 1 UNION ALL SELECT p_brand, p_partkey * 64 + 36, 7 FROM part WHERE p_partkey % 2 = 0")
+def _(spark, sf_dir):
+    return _built(spark, sf_dir).table("block_nodes").select("file", "node_id", "block_ord")
+
+
+@_add("build_data_flow", "SELECT p_brand AS file, p_partkey * 64 + s AS src, p_partkey * 64 + t AS dst, v AS variable, 'REACHING_DEF' AS edge_type FROM part, (VALUES (3, 17, 'a'), (3, 22, 'a'), (3, 26, 'a'), (3, 43, 'a'), (5, 16, 'buf')) x(s, t, v) UNION ALL SELECT p_brand, p_partkey * 64 + 3, p_partkey * 64 + CASE p_partkey % 2 WHEN 1 THEN 34 ELSE 36 END, 'a', 'REACHING_DEF' FROM part")
+def _(spark, sf_dir):
+    return construct.data_flow(_built(spark, sf_dir))
+
+
 # aggregates, set operations, sinks, maintenance
 @_add("agg_nodes_by_kind", f"WITH {views.TREE_SQL} SELECT file, kind, count(*) AS n, count(DISTINCT name) AS names FROM nodes GROUP BY file, kind")
 def _(spark, sf_dir):
