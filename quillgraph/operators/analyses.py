@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.kinds import NULLABLE_CALLS
-from quillgraph.operators.closure import nearest_seed
+from quillgraph.operators.closure import nearest_seed, reach
 from quillgraph.plans.graph import Graph
 
 #: Edge types that carry a null value.
@@ -242,7 +242,8 @@ def class_closure(graph: Graph) -> DataFrame:
 
 
 def histogram(samples: DataFrame, by: list[str], value: str, order: list[str], cap: int = 2000) -> DataFrame:
-    """count, min, max, mean (whole), p50, p95, p99 (nearest rank of the first ``cap`` samples in order)."""
+    """count, min, max, mean (whole), p50, p95, p99 (nearest rank of the first ``cap`` samples in order), stddev (of
+    these samples around the mean of all, whole; 0 for a single one)."""
     first = Window.partitionBy(*by).orderBy(*order)
     kept = samples.withColumn("_i", F.row_number().over(first))
     sample = F.array_sort(F.collect_list(F.when(F.col("_i") <= cap, F.col(value))))
@@ -251,7 +252,11 @@ def histogram(samples: DataFrame, by: list[str], value: str, order: list[str], c
         F.floor(F.sum(value) / F.count(value)).cast("long").alias("mean"), sample.alias("_s"),
     )
     rank = lambda p: F.get("_s", F.floor((F.size("_s") - 1) * p / 100 + F.lit(0.5)).cast("int"))
-    return out.select(*by, "n", "min", "max", "mean", *[rank(p).alias(f"p{p}") for p in (50, 95, 99)])
+    # squares are summed exactly, so the order of samples does not matter
+    exact = lambda x: (x - F.col("mean")).cast("decimal(19,0)")
+    squares = F.aggregate("_s", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + exact(x) * exact(x)).cast("decimal(38,0)"))
+    spread = F.when(F.size("_s") < 2, F.lit(0)).otherwise(F.floor(F.sqrt(squares.cast("double") / F.size("_s")))).cast("long")
+    return out.select(*by, "n", "min", "max", "mean", *[rank(p).alias(f"p{p}") for p in (50, 95, 99)], spread.alias("stddev"))
 
 
 def hit_rate(hits: Column, misses: Column) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import analyses, construct, dfg, taint
+from quillgraph.operators import analyses, calls, construct, dfg, profile, taint
 from quillgraph.plans import views
 from quillgraph.plans.compiler import run_rules
-from quillgraph.sources import sinks
+from quillgraph.sources import scans, sinks
 from quillgraph.streaming import incremental
 
 _QUERIES: dict = {}
@@ -355,6 +355,111 @@ def _(spark, sf_dir):
     return construct.data_flow(_built(spark, sf_dir))
 
 
+# programs: who calls whom
+_NEXT = "k + 64 IN (SELECT p_partkey FROM part)"
+_PARTS = "p AS (SELECT p_partkey AS k, 'p' || p_partkey % 64 AS file FROM part)"
+
+
+@_add("call_keys", f"WITH {_PARTS}, a AS (SELECT file, 'f' || k AS key, k * 64 + 1 AS id FROM p UNION ALL SELECT file, 'C' || k || '::f' || k, k * 64 + 1 FROM p UNION ALL SELECT file, 'C' || k, k * 64 + 31 FROM p WHERE k % 2 = 1 UNION ALL SELECT file, 'C' || k || '::C' || k, k * 64 + 31 FROM p WHERE k % 2 = 1 UNION ALL SELECT file, 'run', k * 64 + 32 FROM p WHERE k % 3 = 0 UNION ALL SELECT file, 'C' || k || '::run', k * 64 + 32 FROM p WHERE k % 3 = 0) SELECT file, key, min(id) AS id FROM a GROUP BY file, key")
+def _(spark, sf_dir):
+    return calls.definition_keys(views.program(spark, sf_dir))
+
+
+@_add("call_graph", f"WITH {_PARTS} SELECT file, k * 64 + 1 AS caller, 'f' || (k + 64) AS callee_name, k * 64 + 3 AS call, CASE WHEN {_NEXT} THEN (k + 64) * 64 + 1 END AS target FROM p")
+def _(spark, sf_dir):
+    return calls.call_graph(views.program(spark, sf_dir))
+
+
+@_add("call_callers", f"WITH {_PARTS} SELECT file, (k + 64) * 64 + 1 AS target, k * 64 + 1 AS caller FROM p WHERE {_NEXT}")
+def _(spark, sf_dir):
+    out = calls.called_by(calls.call_graph(views.program(spark, sf_dir)))
+    return out.select("file", "target", F.explode("callers").alias("caller"))
+
+
+@_add("call_arrays", f"WITH {_PARTS} SELECT file, k * 64 + 15 AS call, k * 64 + 1 AS target FROM p UNION ALL SELECT file, k * 64 + 15, (k + 64) * 64 + 1 FROM p WHERE {_NEXT}")
+def _(spark, sf_dir):
+    return calls.array_dispatch(views.program(spark, sf_dir))
+
+
+@_add("call_fields", f"WITH {_PARTS} SELECT file, k * 64 + 23 AS call, k * 64 + 1 AS target FROM p")
+def _(spark, sf_dir):
+    return calls.field_dispatch(views.program(spark, sf_dir))
+
+
+@_add("call_constructors", f"WITH {_PARTS} SELECT file, k * 64 + 30 AS call, CASE k % 2 WHEN 1 THEN 'C' || k || '::C' || k ELSE 'C' || k END AS callee_name, CASE k % 2 WHEN 1 THEN k * 64 + 31 END AS target FROM p")
+def _(spark, sf_dir):
+    return calls.constructor_calls(views.program(spark, sf_dir))
+
+
+@_add("call_classes", f"WITH RECURSIVE {_PARTS}, up AS (SELECT k AS c, k AS a, 0 AS h FROM p UNION ALL SELECT c, a % 64 + 64 * (a // 64 // 2), h + 1 FROM up WHERE a >= 64 AND a % 64 + 64 * (a // 64 // 2) <> a), first AS (SELECT c AS k, arg_min(a, h) AS t FROM up WHERE a % 3 = 0 AND a IN (SELECT k FROM p) GROUP BY c) SELECT 'p' || k % 64 AS file, k * 64 + 3 AS call, t * 64 + 32 AS target FROM first UNION SELECT 'p' || a % 64, a * 64 + 3, c * 64 + 32 FROM up WHERE h > 0 AND c % 3 = 0 AND a IN (SELECT k FROM p)")
+def _(spark, sf_dir):
+    asked = views.read(spark, sf_dir, "part").selectExpr("'p' || (p_partkey % 64) AS file", "p_partkey * 64 + 3 AS call", "'run' AS method", "'C' || p_partkey AS class")
+    return calls.class_dispatch(views.program(spark, sf_dir), asked)
+
+
+@_add("call_channels", f"WITH {_PARTS} SELECT a.file, a.k * 64 + 40 AS src, b.k * 64 + 42 AS dst FROM p a JOIN p b ON a.k % 640 = b.k % 640")
+def _(spark, sf_dir):
+    return calls.channels(views.program(spark, sf_dir)).select("file", "src", "dst")
+
+
+@_add("call_summaries", f"WITH {_PARTS} SELECT file, 'f' || k AS fn_name, 'TaintReturn' AS effect, 0::BIGINT AS idx FROM p WHERE k % 2 = 1")
+def _(spark, sf_dir):
+    return calls.summaries(views.program(spark, sf_dir).written())
+
+
+# scans of sources
+_LINES = "SELECT p_brand AS file, '#define ' || replace(p_name, ' ', '_') || CASE p_partkey % 3 WHEN 0 THEN ' plain_' || p_size WHEN 1 THEN '(a, b)  alloc(a * b)' ELSE ' ' || p_size END AS text, p_partkey AS k FROM part"
+
+
+@_add("scan_macros", f"SELECT file, regexp_extract(text, '^#define (\\w+)', 1) AS name, CASE k % 3 WHEN 1 THEN 'a,b' ELSE '' END AS params, CASE k % 3 WHEN 1 THEN 'alloc(a * b)' ELSE regexp_extract(text, '(\\S+)$', 1) END AS body, CASE k % 3 WHEN 0 THEN regexp_extract(text, '(\\S+)$', 1) WHEN 1 THEN 'alloc' END AS alias FROM ({_LINES})")
+def _(spark, sf_dir):
+    p = views.read(spark, sf_dir, "part")
+    end = "CASE p_partkey % 3 WHEN 0 THEN ' plain_' || p_size WHEN 1 THEN '(a, b)  alloc(a * b)' ELSE ' ' || p_size END"
+    return scans.macros(p.selectExpr("p_brand AS file", f"'#define ' || replace(p_name, ' ', '_') || {end} AS text")).withColumn("params", F.concat_ws(",", "params"))
+
+
+@_add("scan_strings", "SELECT p_partkey AS id, replace(p_name, ' ', chr(9)) || chr(10) || '\"' || 'z' AS value, octet_length((replace(p_name, ' ', chr(9)) || chr(10) || '\"' || 'z')::BLOB)::BIGINT AS string_length FROM part")
+def _(spark, sf_dir):
+    from quillgraph.plans.graph import Graph
+
+    p = views.read(spark, sf_dir, "part").select(F.lit("s").alias("file"), F.col("p_partkey").alias("id"), F.lit("Literal").alias("kind"), F.lit("String").alias("lit_kind"),
+        F.concat(F.lit('b"'), F.replace("p_name", F.lit(" "), F.lit("\\t")), F.lit('\\n\\"\\z"')).alias("text"))
+    return scans.string_values(Graph(spark, {"nodes": p})).select("id", "value", "string_length")
+
+
+_DIFF = "p AS (SELECT p_partkey AS k, p_name AS a, replace(p_name, 'a', CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'aa' ELSE 'e' END) AS b FROM part), s AS (SELECT *, coalesce(list_min([i FOR i IN range(1, least(len(a), len(b)) + 1) IF a[i] <> b[i]]) - 1, least(len(a), len(b))) AS st FROM p WHERE a <> b), t AS (SELECT *, coalesce(list_min([i FOR i IN range(1, least(len(a), len(b)) - st + 1) IF a[len(a) + 1 - i] <> b[len(b) + 1 - i]]) - 1, least(len(a), len(b)) - st) AS tail FROM s)"
+
+
+@_add("scan_edits", f"WITH {_DIFF} SELECT k, st::BIGINT AS start_byte, (len(a) - tail)::BIGINT AS old_end_byte, (len(b) - tail)::BIGINT AS new_end_byte, CASE WHEN len(a) - tail = st THEN 'insert' WHEN len(b) - tail = st THEN 'delete' ELSE 'replace' END AS change, (len(b) - tail)::BIGINT AS new_end_column FROM t")
+def _(spark, sf_dir):
+    p = views.read(spark, sf_dir, "part").selectExpr("p_partkey AS k", "CAST(p_name AS binary) AS a", "CAST(replace(p_name, 'a', CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'aa' ELSE 'e' END) AS binary) AS b")
+    out = p.select("k", scans.compute_edit("a", "b").alias("e")).where("e.change IS NOT NULL")
+    return out.select("k", "e.start_byte", "e.old_end_byte", "e.new_end_byte", "e.change", "e.new_end_column")
+
+
+# measures of runs
+@_add("profile_caches", "SELECT event_type AS name, sum(user_id % 3)::BIGINT AS hits, sum(user_id % 2)::BIGINT AS misses, count(value) AS inserts, count(*) - count(value) AS evictions, max(user_id) AS bytes, CASE WHEN sum(user_id % 3) + sum(user_id % 2) > 0 THEN 100.0 * sum(user_id % 3) / (sum(user_id % 3) + sum(user_id % 2)) ELSE 0 END::DECIMAL(18, 4) AS hit_rate FROM events GROUP BY event_type")
+def _(spark, sf_dir):
+    e = views.read(spark, sf_dir, "events").selectExpr("event_type AS name", "user_id % 3 AS hits", "user_id % 2 AS misses", "CAST(value IS NOT NULL AS long) AS inserts", "CAST(value IS NULL AS long) AS evictions", "user_id AS bytes")
+    return profile.caches(e).withColumn("hit_rate", F.col("hit_rate").cast("decimal(18,4)"))
+
+
+@_add("profile_parallel", "WITH s AS (SELECT o_orderpriority AS name, (sum(o_custkey) // count(*)) * count(*) AS total FROM orders GROUP BY 1) SELECT w.name || '/' || c.name AS label, w.total::BIGINT AS wall, c.total::BIGINT AS cpu, least(100.0, c.total / (w.total * 2) * 100)::DECIMAL(18, 4) AS efficiency FROM s w JOIN s c ON w.name <> c.name")
+def _(spark, sf_dir):
+    o = views.read(spark, sf_dir, "orders").selectExpr("o_orderpriority AS name", "o_orderkey AS at", "o_custkey AS nanos")
+    names = views.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("wall_stage")).distinct()
+    pairs = names.join(names.withColumnRenamed("wall_stage", "cpu_stage"), F.col("wall_stage") != F.col("cpu_stage"))
+    plan = pairs.select("wall_stage", "cpu_stage", F.concat_ws("/", "wall_stage", "cpu_stage").alias("label"), F.lit(2).alias("workers"))
+    return profile.parallel(profile.stages(o), plan).select("label", "wall", "cpu", F.col("efficiency").cast("decimal(18,4)").alias("efficiency"))
+
+
+@_add("profile_threads", "WITH t AS (SELECT o_custkey % 16 AS w, epoch(o_orderdate)::BIGINT AS b, CASE WHEN o_orderstatus <> 'P' THEN epoch(o_orderdate)::BIGINT + 1 + o_custkey * 100 END AS e FROM orders), v AS (SELECT b AS t, 1 AS d FROM t UNION ALL SELECT e, -1 FROM t WHERE e IS NOT NULL), n AS (SELECT t, sum(d) AS net FROM v GROUP BY t), r AS (SELECT max(c) AS peak FROM (SELECT sum(net) OVER (ORDER BY t) AS c FROM n)) SELECT count(DISTINCT w) AS started, count(b) AS submitted, count(e) AS completed, max(peak)::BIGINT AS peak, least(100.0, sum(e - b) * 100.0 / ((max(e) - min(b)) * 16))::DECIMAL(18, 4) AS utilisation FROM t, r")
+def _(spark, sf_dir):
+    begin = "unix_timestamp(CAST(o_orderdate AS timestamp))"
+    o = views.read(spark, sf_dir, "orders").selectExpr("o_custkey % 16 AS worker", f"{begin} AS begin", f"CASE WHEN o_orderstatus <> 'P' THEN {begin} + 1 + o_custkey * 100 END AS end")
+    return profile.threads(o, 16).select("started", "submitted", "completed", "peak", F.col("utilisation").cast("decimal(18,4)").alias("utilisation"))
+
+
 # aggregates, set operations, sinks, maintenance
 @_add("agg_nodes_by_kind", f"WITH {views.TREE_SQL} SELECT file, kind, count(*) AS n, count(DISTINCT name) AS names FROM nodes GROUP BY file, kind")
 def _(spark, sf_dir):
@@ -366,7 +471,7 @@ def _(spark, sf_dir):
     return analyses.size_estimate(views.code(spark, sf_dir))
 
 
-@_add("agg_histogram", "WITH s AS (SELECT event_type, (value * 100)::BIGINT AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL), l AS (SELECT event_type, list_sort(list(v)) AS a FROM s WHERE k <= 2000 GROUP BY event_type) SELECT s.event_type, count(*) AS n, min(v) AS min, max(v) AS max, floor(sum(v) / count(*))::BIGINT AS mean, any_value(a[floor((len(a) - 1) * 50 / 100 + 0.5)::INT + 1]) AS p50, any_value(a[floor((len(a) - 1) * 95 / 100 + 0.5)::INT + 1]) AS p95, any_value(a[floor((len(a) - 1) * 99 / 100 + 0.5)::INT + 1]) AS p99 FROM s JOIN l USING (event_type) GROUP BY s.event_type")
+@_add("agg_histogram", "WITH s AS (SELECT event_type, (value * 100)::BIGINT AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL), l AS (SELECT event_type, list_sort(list(v)) AS a FROM s WHERE k <= 2000 GROUP BY event_type), m AS (SELECT event_type, floor(sum(v) / count(*))::BIGINT AS mean FROM s GROUP BY event_type), d AS (SELECT event_type, sum((v - mean) * (v - mean))::DOUBLE AS q FROM s JOIN m USING (event_type) WHERE k <= 2000 GROUP BY event_type) SELECT s.event_type, count(*) AS n, min(v) AS min, max(v) AS max, floor(sum(v) / count(*))::BIGINT AS mean, any_value(a[floor((len(a) - 1) * 50 / 100 + 0.5)::INT + 1]) AS p50, any_value(a[floor((len(a) - 1) * 95 / 100 + 0.5)::INT + 1]) AS p95, any_value(a[floor((len(a) - 1) * 99 / 100 + 0.5)::INT + 1]) AS p99, any_value(CASE WHEN len(a) < 2 THEN 0 ELSE floor(sqrt(q / len(a)))::BIGINT END) AS stddev FROM s JOIN l USING (event_type) JOIN d USING (event_type) GROUP BY s.event_type")
 def _(spark, sf_dir):
     e = views.read(spark, sf_dir, "events").where("value IS NOT NULL").select("event_type", F.round(F.col("value") * 100).cast("long").alias("v"), "ts", "event_id")
     return analyses.histogram(e, ["event_type"], "v", ["ts", "event_id"])

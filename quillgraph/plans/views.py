@@ -267,3 +267,57 @@ def source(spark: SparkSession, sf_dir: str) -> Graph:
         "meta_rust": meta.select("file", "id", (F.col("z") < 9).alias("is_unsafe"), F.array("p_type").alias("lifetimes")),
     }
     return Graph(spark, {"nodes": nodes, "dfg_edges": edges, "call_sites": sites, "blocks": blocks, "cfg_edges": arcs, "block_nodes": places, **side})
+
+
+#: (node, kind, name, text, class, parent, children, there) of each part's program; f is the part's function, g the next one
+#: of its file.
+_PROGRAM = (
+    (1, "MethodDef", "f", "NULL", "c", "NULL", (2, 3, 5, 10, 15, 20, 23, 30, 40, 42), "true"),
+    (2, "ParamDef", "'x'", "NULL", "NULL", "1", (), "true"),
+    (3, "Call", "g", "NULL", "NULL", "1", (4,), "true"),
+    (4, "Identifier", "NULL", "'x'", "NULL", "3", (), "true"),
+    (5, "Return", "NULL", "NULL", "NULL", "1", (6,), "true"),
+    (6, "Identifier", "NULL", "'x'", "NULL", "5", (), "true"),
+    (10, "LocalDef", "'tab' || k", "NULL", "NULL", "1", (11,), "true"),
+    (11, "CollectionExpr", "NULL", "NULL", "NULL", "10", (12, 13), "true"),
+    (12, "Identifier", "NULL", "f", "NULL", "11", (), "true"),
+    (13, "UnaryOp", "NULL", "NULL", "NULL", "11", (14,), "true"),
+    (14, "Identifier", "NULL", "g", "NULL", "13", (), "true"),
+    (15, "Call", "NULL", "NULL", "NULL", "1", (16,), "true"),
+    (16, "Subscript", "NULL", "NULL", "NULL", "15", (17,), "true"),
+    (17, "Identifier", "NULL", "'tab' || k", "NULL", "16", (), "true"),
+    (20, "Assign", "NULL", "NULL", "NULL", "1", (21, 22), "true"),
+    (21, "MemberAccess", "NULL", "'ops.h' || k", "NULL", "20", (), "true"),
+    (22, "Identifier", "NULL", "f", "NULL", "20", (), "true"),
+    (23, "Call", "NULL", "NULL", "NULL", "1", (24,), "true"),
+    (24, "MemberAccess", "NULL", "'ops->h' || k", "NULL", "23", (), "true"),
+    (30, "NewExpr", "c", "NULL", "NULL", "1", (), "true"),
+    (31, "MethodDef", "c", "NULL", "c", "NULL", (), "k % 2 = 1"),
+    (32, "MethodDef", "'run'", "NULL", "c", "NULL", (), "k % 3 = 0"),
+    (40, "SendStmt", "NULL", "NULL", "NULL", "1", (41,), "true"),
+    (41, "Identifier", "NULL", "'ch' || (k % 640)", "NULL", "40", (), "true"),
+    (42, "ReceiveExpr", "NULL", "NULL", "NULL", "1", (43,), "true"),
+    (43, "Identifier", "NULL", "'ch' || (k % 640)", "NULL", "42", (), "true"),
+)
+
+
+def program(spark: SparkSession, sf_dir: str) -> Graph:
+    """Programs with every way to call a function: a part k is function f<k> of class C<k> in file p<k % 64>, which calls
+    the file's next function, by name, through an array and through a field, and makes a C<k>; classes form a binary
+    tree in their file.  In odd k the parameter flows to the return and the class has a constructor; run is a method of every
+    third class."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    p = p.selectExpr("k", "'p' || (k % 64) AS file", "'f' || k AS f", "'f' || (k + 64) AS g", "'C' || k AS c")
+    cells = []
+    for n, kind, name, text, cls, parent, below, there in _PROGRAM:
+        ids = ", ".join(f"k * 64 + {x}" for x in below)
+        own = n if kind == "MethodDef" else 1
+        up = "CAST(NULL AS bigint)" if parent == "NULL" else f"CAST(k * 64 + {parent} AS bigint)"
+        cells.append(f"""IF({there}, named_struct('id', CAST(k * 64 + {n} AS bigint), 'kind', '{kind}', 'name', CAST({name} AS string),
+            'text', CAST({text} AS string), 'class_context', CAST({cls} AS string), 'parent_id', {up},
+            'function_id', CAST(k * 64 + {own} AS bigint), 'line', CAST({n} AS bigint), 'children', CAST(array({ids}) AS array<bigint>)), NULL)""")
+    nodes = p.selectExpr("file", f"explode(array_compact(array({', '.join(cells)}))) AS n").select("file", "n.*")
+    nodes = nodes.withColumns({"lang": F.lit("cpp"), "node_type": F.lower("kind")})
+    edges = p.where("k % 2 = 1").selectExpr("file", "k * 64 + 2 AS src", "k * 64 + 6 AS dst", "'x' AS variable", "'REACHING_DEF' AS edge_type")
+    parents = p.where("k >= 64").selectExpr("file", "c AS child", "'C' || (k % 64 + 64 * (k div 64 div 2)) AS parent")
+    return Graph(spark, {"nodes": nodes, "dfg_edges": edges, "supertypes": parents})
