@@ -25,8 +25,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The columns of documents, with the row's number instead of doc_id, which becomes _own."""
+    """The columns of documents, with the row's number instead of doc_id, which becomes _own.
+
+    Where no doc_id is null or repeated it is the number itself, and texts are neither sorted nor written again."""
     rows = docs.select(F.col("doc_id").alias("_own"), *COLUMNS[1:])
+    if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
+        return rows.withColumn("doc_id", F.col("_own").cast("long"))
     rows = rows.orderBy(F.col("_own").asc_nulls_last(), F.xxhash64("text", "source"))
     return materialize(spark, rows.withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
 
