@@ -23,7 +23,8 @@ def durable(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    # files are compressed, so their size is no measure of what a broadcast would hold
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def ancestors(spark: SparkSession, tree: DataFrame, most: int = 512) -> DataFrame:

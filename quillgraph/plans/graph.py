@@ -92,9 +92,11 @@ class Graph:
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
+        """The table in its schema.  Its joins are merges: what exploded rows or compressed files let the planner guess
+        is far below the rows that a broadcast would hold in the driver."""
         if name in self.tables:
-            return conform(self.tables[name], name)
-        return self.spark.createDataFrame([], SCHEMAS[name])
+            return conform(self.tables[name], name).hint("merge")
+        return conform(self.spark.range(0), name).where(F.lit(False))
 
     def only(self, **tables: DataFrame) -> Graph:
         return replace(self, tables=self.tables | tables)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.plans.graph import Graph
@@ -15,6 +15,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, rows: int = 5000) -> DataFrame:
+    """``df`` dealt by a key to tasks of about so many rows, for tables whose rows become many: a file of a few MB
+    is one task else, however many rows it stands for.  Rows are counted in the files' footers."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
 def tree(spark: SparkSession, sf_dir: str, children: bool = False, written: bool = False) -> Graph:
     """region > nation > customer > order > line as File > Namespace > MethodDef > Conditional, Loop or
     Block > Call; one file a region, a customer's subtree is one function."""
@@ -180,6 +186,14 @@ def library(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(spark, {"nodes": nodes, "dfg_edges": edges, "xcalls": xcalls})
 
 
+
+def _constant(value, type_: str) -> str:
+    """SQL of a text, a number, a list of them or None."""
+    if isinstance(value, (list, tuple)):
+        return f"CAST(array({', '.join(repr(x) for x in value)}) AS {type_})"
+    return f"CAST({'NULL' if value is None else repr(value)} AS {type_})"
+
+
 _WRITTEN: dict[tuple[str, str], Graph] = {}
 
 
@@ -203,24 +217,22 @@ def source(spark: SparkSession, sf_dir: str) -> Graph:
     malloc to buf (POINTS_TO in odd k, else REACHING_DEF).  Blocks: entry 0 (condition z < 25) to then 1 or else 2, both
     to loop 3 (condition !flag), to body 4 or end 5, body back to 3, an exception from 1 to 5."""
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.col("p_size").alias("z"))
+    p = spread(p, "p_partkey")
     i = lambda n: F.col("p_partkey") * 64 + n
     big, high, odd = F.col("z") > 25, F.col("z") > 40, F.col("p_partkey") % 2 == 1
     text = lambda c: c.cast("string")
-    ids = lambda *ns: F.array(*[i(n) for n in ns])
+    numbers = lambda *ns: F.array(*[F.lit(n) for n in ns]).cast("array<bigint>")
 
     def node(n, kind, parent, children=(), fields=(), **more):
-        out = {"id": i(n), "kind": F.lit(kind), "parent_id": F.lit(None) if parent is None else i(parent), "function_id": i(1)}
-        out |= {"node_type": F.lit(kind.lower()), "children": ids(*children) if children else F.array().cast("array<bigint>")}
-        out["field_names"] = F.array(*[F.lit(f) for f in fields]).cast("array<string>")
-        return out | {k: v if not isinstance(v, (str, int)) else F.lit(v) for k, v in more.items()}
+        return {"n": n, "kind": kind, "parent_id": parent, "node_type": kind.lower(), "children": children, "field_names": fields} | more
 
     names = "id kind parent_id function_id node_type children field_names name text operator lit_kind array_size argument_count namespace class_context visibility signature qualified_name base_classes is_constructor is_destructor is_virtual".split()
-    types = {"array_size": "bigint", "argument_count": "bigint", "base_classes": "array<string>", "id": "bigint", "parent_id": "bigint", "function_id": "bigint", "children": "array<bigint>", "field_names": "array<string>"} | dict.fromkeys(("is_constructor", "is_destructor", "is_virtual"), "boolean")
+    types = {"n": "bigint", "array_size": "bigint", "argument_count": "bigint", "base_classes": "array<string>", "id": "bigint", "parent_id": "bigint", "function_id": "bigint", "children": "array<bigint>", "field_names": "array<string>"} | dict.fromkeys(("is_constructor", "is_destructor", "is_virtual"), "boolean")
     top = (2, 5, 6, 13, 20, 30, 40)
     rows = [
         node(1, "MethodDef", None, top, name=F.col("p_name"), namespace=F.col("p_brand"), class_context=F.col("p_type"), visibility=F.when(big, "public").otherwise("private"),
              signature=F.col("p_type"), qualified_name=F.concat_ws(".", "p_brand", "p_name"), base_classes=F.array("p_type", "p_brand"), is_constructor=F.col("z") == 1, is_destructor=F.when(F.col("z") == 2, True), is_virtual=high),
-        node(2, "Node", 1, (3, 4), node_type="parameter_list") | {"children": F.when(big, ids(3, 4)).otherwise(ids(3))},
+        node(2, "Node", 1, (3, 4), node_type="parameter_list"),
         node(3, "ParamDef", 2, name="a"), node(4, "ParamDef", 2, name="b"),
         node(5, "LocalDef", 1, name="buf", array_size=F.col("z").cast("bigint")),
         node(6, "Conditional", 1, (7, 10), ("condition", "consequence")),
@@ -230,17 +242,40 @@ def source(spark: SparkSession, sf_dir: str) -> Graph:
         node(16, "Identifier", 13, text="buf"), node(17, "Identifier", 13, text="a"),
         node(20, "Conditional", 1, (21, 24), ("condition", "consequence")), node(21, "BinaryOp", 20, (22, 23), operator=F.when(odd, "!=").otherwise("==")),
         node(22, "Identifier", 21, text="a"), node(23, "Literal", 21, lit_kind="Int", text="0"), node(24, "Block", 20, (25,)), node(25, "Call", 24, (26,), name="use", argument_count=1), node(26, "Identifier", 25, text="a"),
-        node(30, "Conditional", 1, (31, 38), ("condition", "consequence")), node(31, "BinaryOp", 30, (32, 37), operator=F.when(odd, "<").otherwise(">")) | {"children": F.when(odd, ids(32, 37)).otherwise(ids(36, 37))},
+        node(30, "Conditional", 1, (31, 38), ("condition", "consequence")), node(31, "BinaryOp", 30, (32, 37), operator=F.when(odd, "<").otherwise(">")),
         node(32, "BinaryOp", 31, (33, 35), operator="+"), node(33, "Call", 32, (34,), name="strlen", argument_count=1), node(34, "Identifier", 33, text="a"), node(35, "Literal", 32, lit_kind="Int", text="1"),
         node(36, "Identifier", 31, text="a"), node(37, "Literal", 31, lit_kind="Int", text=text(F.col("z"))), node(38, "Block", 30, (39,)), node(39, "Call", 38, (43,), name="use", argument_count=1), node(43, "Identifier", 39, text="a"),
         node(40, "Call", 1, (41, 42), name="calloc", argument_count=2), node(41, "Literal", 40, lit_kind="Int", text=text(F.col("z"))), node(42, "Literal", 40, lit_kind="Int", text="4"),
     ]
     there = {4: big, 32: odd, 33: odd, 34: odd, 35: odd, 36: ~odd}
-    entries = []
-    for r, n in zip(rows, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, 21, 22, 23, 24, 25, 26, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39, 43, 40, 41, 42], strict=True):
-        cell = F.struct(*[r.get(c, F.lit(None)).cast(types.get(c, "string")).alias(c) for c in names])
-        entries.append(F.when(there[n], cell) if n in there else cell)
-    nodes = p.select(F.col("p_brand").alias("file"), F.explode(F.array_compact(F.array(*entries))).alias("n")).select("file", F.lit("c").alias("lang"), F.col("n.id").alias("line"), "n.*")
+    # what depends on the part is not held in the nodes that are dealt out, which are one constant
+    own = {c: {} for c in names}
+    own["children"] = {2: F.when(big, numbers(3, 4)).otherwise(numbers(3)), 31: F.when(odd, numbers(32, 37)).otherwise(numbers(36, 37))}
+    cells = []
+    for r in rows:
+        fixed = {c: x for c, x in r.items() if not isinstance(x, Column)}
+        for c in r.keys() - fixed.keys():
+            own[c][r["n"]] = r[c].cast(types.get(c, "string"))
+        held = [f"'{c}', {_constant(fixed.get(c), types.get(c, 'string'))}" for c in ("n", *names)]
+        cells.append(f"named_struct({', '.join(held)})")
+    one = p.select("*", F.expr(f"explode(array({', '.join(cells)}))").alias("x"))
+    for n, test in there.items():
+        one = one.where((F.col("x.n") != n) | test)
+
+    def cell(c):
+        out = F.col(f"x.{c}")
+        for n, value in own[c].items():
+            out = F.when(F.col("x.n") == n, value).otherwise(out)
+        if c in ("id", "function_id"):
+            return i(F.col("x.n") if c == "id" else 1).alias(c)
+        if c == "parent_id":
+            return i(out).alias(c)
+        if c == "children":
+            first = F.col("p_partkey") * 64
+            return F.when(F.size(out) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(out, lambda x: first + x)).alias(c)
+        return out.alias(c)
+
+    nodes = one.select(F.col("p_brand").alias("file"), F.lit("c").alias("lang"), i(F.col("x.n")).alias("line"), *[cell(c) for c in names])
     edge = lambda a, b, v, t="REACHING_DEF": F.struct(i(a).alias("src"), i(b).alias("dst"), F.lit(v).alias("variable"), (F.lit(t) if isinstance(t, str) else t).alias("edge_type"))
     flows = [edge(3, n, "a") for n in (17, 22, 26, 43)] + [F.when(odd, edge(3, 34, "a")), F.when(~odd, edge(3, 36, "a"))]
     flows.append(edge(11, 5, "buf", F.when(odd, "POINTS_TO").otherwise("REACHING_DEF")))
@@ -306,7 +341,7 @@ def program(spark: SparkSession, sf_dir: str) -> Graph:
     the file's next function, by name, through an array and through a field, and makes a C<k>; classes form a binary
     tree in their file.  In odd k the parameter flows to the return and the class has a constructor; run is a method of every
     third class."""
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    p = spread(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), "k")
     p = p.selectExpr("k", "'p' || (k % 64) AS file", "'f' || k AS f", "'f' || (k + 64) AS g", "'C' || k AS c")
     cells = []
     for n, kind, name, text, cls, parent, below, there in _PROGRAM:
