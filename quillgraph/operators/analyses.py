@@ -228,9 +228,15 @@ def resolve_callees(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     keys = keys.select("target_file", "target", "k.key", "k.rank").where("key IS NOT NULL")
     asked = calls.select("file", "call_node", F.explode(F.array(
         F.struct(F.col("qualified_callee").alias("key"), F.lit(0).alias("ask")), F.struct(F.col("callee_name").alias("key"), F.lit(1).alias("ask")))).alias("a"))
-    hit = asked.select("file", "call_node", "a.key", "a.ask").where("key IS NOT NULL").join(keys, "key")
-    best = F.min(F.struct("ask", "rank", (F.col("file") != F.col("target_file")).alias("away"), "target_file", "target")).alias("b")
-    return hit.groupBy("file", "call_node").agg(best).select("file", "call_node", "b.target_file", "b.target")
+    asked = asked.select("file", "call_node", "a.key", "a.ask").where("key IS NOT NULL")
+    # one row a key, and one a key and file, so a name that many define costs a call no more than another
+    least = keys.groupBy("key").agg(F.min(F.struct("rank", "target_file", "target")).alias("any"))
+    own = keys.groupBy("key", F.col("target_file").alias("file")).agg(F.min(F.struct("rank", "target")).alias("own"))
+    hit = asked.join(least, "key").join(own, ["key", "file"], "left")
+    near = F.col("own.rank").eqNullSafe(F.col("any.rank"))
+    place = lambda c, own: F.when(near, own).otherwise(F.col(f"any.{c}")).alias(c)
+    rank = F.struct("ask", F.col("any.rank").alias("rank"), place("target_file", F.col("file")), place("target", F.col("own.target")))
+    return hit.groupBy("file", "call_node").agg(F.min(rank).alias("b")).select("file", "call_node", "b.target_file", "b.target")
 
 
 def class_closure(graph: Graph) -> DataFrame:

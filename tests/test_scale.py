@@ -1,7 +1,10 @@
 """Plans that must not grow faster than their tables."""
 
+import itertools
+
 import pytest
 
+from quillgraph.operators import analyses
 from quillgraph.plans import catalogue, views
 
 
@@ -28,3 +31,22 @@ def test_no_broadcast_by_guessed_size(spark, parts_dir, name):
 @pytest.mark.parametrize("view", [views.source, views.program])
 def test_views_are_dealt_out(spark, parts_dir, view):
     assert view(spark, parts_dir).nodes.rdd.getNumPartitions() == 3
+
+
+def test_callees_by_brute_force(spark):
+    files, names = ("f", "g", "h"), ("a", "b", None)
+    defs = [(f, i * 10 + k, n, q) for k, f in enumerate(files) for i, (n, q) in enumerate(itertools.product(names, ("x.a", "a", None))) if (i + k) % 3]
+    calls = [(f, i, n, q) for f in (*files, "z") for i, (n, q) in enumerate(itertools.product(names, ("x.a", "b", None)))]
+    want = {}
+    for f, c, n, q in calls:
+        for ask, key in enumerate((q, n)):
+            for df, i, dn, dq in defs:
+                for rank, own in enumerate((dq, dn)):
+                    if key is not None and key == own:
+                        want[f, c] = min(want.get((f, c), (9,)), (ask, rank, df != f, df, i))
+    c = spark.createDataFrame(calls, "file string, call_node long, callee_name string, qualified_callee string")
+    d = spark.createDataFrame(defs, "file string, id long, name string, qualified_name string")
+    out = analyses.resolve_callees(c, d)
+    assert {(r.file, r.call_node): (r.target_file, r.target) for r in out.collect()} == {k: v[3:] for k, v in want.items()}
+    # definitions are reduced to one row a key before calls meet them
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [key") >= 2
