@@ -20,7 +20,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-BY_MERGES = ["call_constructors", "call_fields"]
+BY_MERGES = ["call_constructors", "call_fields", "call_arrays"]
 
 
 @pytest.mark.parametrize("name", BY_MERGES)
