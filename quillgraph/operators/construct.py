@@ -315,12 +315,14 @@ def noreturn_names(graph: Graph, extra: list[str] = ()) -> DataFrame:
 def control_flow(graph: Graph, extra: list[str] = ()) -> DataFrame:
     """(file, function, what, a, b, arm, kind): rows of blocks (a), of nodes in blocks (a in b) and of edges (a to b)."""
     n = graph.nodes.where("function_id IS NOT NULL")
-    names = noreturn_names(graph).groupBy("file").agg(F.collect_set("name").alias("_own"))
+    names = noreturn_names(graph).withColumn("_own", F.lit(True))
     cols = ["id", "kind", "node_type", "name", "text", "operator", "loop_kind", "lang", "children", F.col("field_names").alias("fields")]
     # texts are asked only of names
     rows = n.select("file", F.col("function_id").alias("function"), *cols).withColumn("text", F.when(F.col("kind") == "Identifier", F.col("text")))
-    # (file, its functions that don't return) has one row a file: small beside its nodes, and read by no one else
-    rows = rows.join(names, "file", "left").withColumn("_own", F.when((F.col("kind") == "Call") & F.array_contains("_own", F.col("name")), F.lit(True)))
+    # calls alone are asked, by file and name: a file with many nodes is no group of its own
+    called = (F.col("kind") == "Call") & F.col("name").isNotNull()
+    rest = rows.where(~F.coalesce(called, F.lit(False))).withColumn("_own", F.lit(None).cast("boolean"))
+    rows = rows.where(called).join(names, ["file", "name"], "left").select(rest.columns).unionByName(rest)
     given = {*NORETURN, *extra}
 
     def run(key, t):
