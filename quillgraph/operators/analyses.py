@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.kinds import NULLABLE_CALLS
 from quillgraph.operators.closure import nearest_seed, reach
+from quillgraph.operators.groups import by_shape
 from quillgraph.plans.graph import Graph
 
 #: Edge types that carry a null value.
@@ -40,11 +41,12 @@ def nullability(graph: Graph, calls: list[str] = NULLABLE_CALLS) -> DataFrame:
     return nearest_seed(graph.spark, seeds.select("file", F.col("id").alias("seed")), edges, ["file"]).select("file", "node", F.col("seed").alias("source"))
 
 
-def arguments(graph: Graph) -> DataFrame:
-    """(file, call, args): the children of a node's first argument list, else its own children."""
+def arguments(graph: Graph, kind: str | None = None) -> DataFrame:
+    """(file, call, args): the children of a node's first argument list, else its own children; of nodes of the kind."""
     n = graph.nodes
     lists = n.where(F.col("node_type").isin("argument_list", "arguments")).groupBy("file", F.col("parent_id").alias("call"))
     lists = lists.agg(F.min_by("children", "id").alias("inner"))
+    n = n if kind is None else n.where(F.col("kind") == kind)
     out = n.select("file", F.col("id").alias("call"), "children").join(lists, ["file", "call"], "left")
     return out.select("file", "call", F.coalesce("inner", "children", F.array().cast("array<bigint>")).alias("args"))
 
@@ -54,7 +56,7 @@ def sizes(graph: Graph) -> DataFrame:
     call's is its folded argument, calloc's the product of two, or their text."""
     n = graph.nodes
     calls = n.where((F.col("kind") == "Call") & F.col("name").isin("malloc", "alloca", "valloc", "calloc")).select("file", F.col("id").alias("call"), "name")
-    calls = calls.join(arguments(graph), ["file", "call"])
+    calls = calls.join(arguments(graph, "Call"), ["file", "call"])
     value = graph.constants.select("file", F.col("node").alias("arg"), "value")
     word = n.select("file", F.col("id").alias("arg"), F.col("text").alias("word"))
     for i in range(2):
@@ -105,12 +107,14 @@ def parameters(graph: Graph) -> DataFrame:
     return rows.select("file", "fn", F.transform("p", lambda x: x["id"]).alias("params"))
 
 
-def conditions(graph: Graph, kinds: list[str] | None = None) -> DataFrame:
-    """(file, id, condition) of nodes of the kinds (of all without): the child of the field ``condition``, else the first child."""
+def conditions(graph: Graph, kinds: list[str] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """(file, id, condition) of nodes of the kinds (of all without): the child of the field ``condition``, else the first
+    child; and ``more`` columns."""
     at = F.array_position(F.coalesce("field_names", F.array().cast("array<string>")), "condition").cast("int")
     named = F.when(at > 0, F.get("children", at - 1))
     nodes = graph.nodes if kinds is None else graph.nodes.where(F.col("kind").isin(kinds))
-    return nodes.select("file", "id", F.coalesce(named, F.get("children", F.lit(0))).alias("condition"))
+    given = [c.alias(name) for name, c in (more or {}).items()]
+    return nodes.select("file", "id", F.coalesce(named, F.get("children", F.lit(0))).alias("condition"), *given)
 
 
 def block_conditions(graph: Graph) -> DataFrame:
@@ -174,17 +178,15 @@ def number(text: str) -> int | None:
 
 def constants(graph: Graph) -> DataFrame:
     """(file, node, value): integer values of constant expressions, bottom up, one function (or a file's
-    top level) a group: an expression never leaves its function."""
+    top level) a group, equal functions once: an expression never leaves its function."""
 
-    def run(key, t):
-        import pyarrow as pa
-
-        rows = {r["id"]: r for r in t.to_pylist()}
+    def run(given):
+        rows = {r["id"]: r for r in given}
         known: dict[int, int | None] = {}
 
         def own(i: int) -> int | None:
             r = rows[i]
-            below = r["children"] or []
+            below = r["children"]
             # of a binary operator the outer children count, of what has one operand the last
             values = [known.get(c) for c in (below if len(below) < 2 else [below[0], below[-1]] if r["kind"] == "BinaryOp" else below[-1:])]
             if r["kind"] == "Literal":
@@ -203,19 +205,20 @@ def constants(graph: Graph) -> DataFrame:
             todo = [i]
             while todo:
                 x = todo[-1]
-                wait = [c for c in rows[x]["children"] or [] if c in rows and c not in known and c != x]
+                wait = [c for c in rows[x]["children"] if c in rows and c not in known and c != x]
                 if wait and x not in known:
                     known[x] = None  # a cycle has no value
                     todo += wait
                     continue
                 todo.pop()
                 known[x] = own(x)
-        out = [(i, v) for i, v in known.items() if v is not None]
-        return pa.table({"file": pa.array([key[0].as_py()] * len(out), pa.string()), "node": pa.array([o[0] for o in out], pa.int64()), "value": pa.array([o[1] for o in out], pa.int64())})
+        return [(i, v) for i, v in known.items() if v is not None]
 
     n = graph.nodes.where(F.col("kind").isin("Literal", "BinaryOp", "UnaryOp", "Cast") | (F.col("node_type") == "parenthesized_expression"))
-    n = n.select("file", F.coalesce("function_id", F.lit(-1)).alias("fn"), "id", "kind", "node_type", "lit_kind", "text", "operator", "children")
-    return n.groupBy("file", "fn").applyInArrow(run, "file string, node long, value long")
+    word = F.when(F.col("kind") == "Literal", F.col("text")).alias("text")
+    n = n.select("file", F.coalesce("function_id", F.lit(-1)).alias("fn"), "id", "kind", "node_type", "lit_kind", word, "operator", "children")
+    out = by_shape(n, ["file", "fn"], run, "node long, value long", ["id"], "id", ["children"], ["kind", "node_type", "lit_kind", "text", "operator"], ["node"])
+    return out.select("file", "node", "value")
 
 
 def resolve_callees(calls: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Control-flow facts, one function a group.
 
-A function's blocks fit a task, so each is one Arrow group (function graphs are
+A function's blocks fit a task, so each is one group (function graphs are
 bounded by source functions, not by the corpus); groups are dealt by (file,
-function), never by file alone.  One pass gives every relation:
+function), never by file alone, and equal graphs are computed once a task.
+One pass gives every relation:
 
 dom, postdom, reach (reflexive), scc (a: block, b: least block of its component),
 frontier, loop (a: block in a loop, b: its header), noexit (a: block of a
@@ -19,6 +20,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.operators.groups import by_shape
+
 
 def closure(n: int, succ: dict[int, list[int]], start: list[int], without: int | None = None) -> set[int]:
     seen = {s for s in start if s != without}
@@ -94,25 +97,11 @@ def facts(spark: SparkSession, blocks: DataFrame, edges: DataFrame) -> DataFrame
     rows = blocks.select("file", "function", F.lit(None).cast("string").alias("kind"), F.col("block_ord").alias("a"), F.lit(None).cast("long").alias("b"))
     rows = rows.unionByName(edges.select("file", "function", F.coalesce("kind", F.lit("normal")).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
 
-    def run(key, t):
-        import pyarrow as pa
-
-        kind, a, b = (t.column(c).to_pylist() for c in ("kind", "a", "b"))
-        own = [x for x, k in zip(a, kind, strict=True) if k is None]
-        arcs = [(x, y, k) for x, y, k in zip(a, b, kind, strict=True) if k is not None]
-        out = function_facts(own, arcs)
-        n = len(out)
-        return pa.table(
-            {
-                "file": pa.array([key[0].as_py()] * n, pa.string()),
-                "function": pa.array([key[1].as_py()] * n, pa.int64()),
-                "fact": pa.array([x[0] for x in out], pa.string()),
-                "a": pa.array([x[1] for x in out], pa.int64()),
-                "b": pa.array([x[2] for x in out], pa.int64()),
-            }
-        )
-
-    return rows.groupBy("file", "function").applyInArrow(run, "file string, function long, fact string, a long, b long")
+    def run(given):
+        own = [r["a"] for r in given if r["kind"] is None]
+        return function_facts(own, [(r["a"], r["b"], r["kind"]) for r in given if r["kind"] is not None])
+
+    return by_shape(rows, ["file", "function"], run, "fact string, a long, b long", ["a", "b"], words=["kind"])
 
 
 def reach_without(spark: SparkSession, edges: DataFrame, asked: DataFrame) -> DataFrame:

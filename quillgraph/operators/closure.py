@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.operators.groups import by_shape
+
 
 def durable(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written to, and read from, the folder that all executors share."""
@@ -27,22 +29,61 @@ def durable(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
-def ancestors(spark: SparkSession, tree: DataFrame, most: int = 512) -> DataFrame:
-    """(file, anc, desc, depth) of (file, id, parent_id).  Depth doubles each round: paths of up to 2**k
-    edges are joined with themselves, so rounds grow with the logarithm of the tree's height."""
-    out = tree.where("parent_id IS NOT NULL").select(
-        "file", F.col("parent_id").alias("anc"), F.col("id").alias("desc"), F.lit(1).cast("long").alias("depth")
-    )
-    out, reach = durable(spark, out, "tree"), 1
+def _doubled(spark: SparkSession, edges: DataFrame, most: int) -> DataFrame:
+    """(file, anc, desc, depth) of the edges (file, anc, desc, depth) of a forest, depths added up along each path.
+    The edges of a path double each round: paths of up to 2**k edges are joined with themselves, so rounds grow with the
+    logarithm of the tree's height."""
+    out, reach = durable(spark, edges.withColumn("hops", F.lit(1).cast("long")), "tree"), 1
     while reach < most:
-        low = out.select("file", F.col("anc").alias("mid"), "desc", F.col("depth").alias("d1")).where(F.col("d1") == reach)
-        high = out.select("file", "anc", F.col("desc").alias("mid"), F.col("depth").alias("d2"))
-        more = low.join(high, ["file", "mid"]).select("file", "anc", "desc", (F.col("d1") + F.col("d2")).alias("depth"))
+        low = out.select("file", F.col("anc").alias("mid"), "desc", F.col("depth").alias("d1"), F.col("hops").alias("h1")).where(F.col("h1") == reach)
+        high = out.select("file", "anc", F.col("desc").alias("mid"), F.col("depth").alias("d2"), F.col("hops").alias("h2"))
+        more = low.join(high, ["file", "mid"]).select("file", "anc", "desc", (F.col("d1") + F.col("d2")).alias("depth"), (F.col("h1") + F.col("h2")).alias("hops"))
         more = durable(spark, more.where(F.col("anc") != F.col("desc")), "tree")
         if not more.limit(1).count():
-            return out
+            break
         out, reach = out.unionByName(more), reach * 2
-    return out
+    return out.drop("hops")
+
+
+def ancestors(spark: SparkSession, tree: DataFrame, most: int = 512) -> DataFrame:
+    """(file, anc, desc, depth) of (file, id, parent_id, function_id), up to ``most`` edges deep.
+
+    What stays inside a function is found in one pass over functions.  Nodes whose parent is elsewhere (in another
+    function or, as they, in none) are linked by joins: they alone are a tree, whose paths double each round."""
+    pairs = ["file", "anc", "desc", "depth"]
+
+    def run(given):
+        up, out = {r["id"]: r["parent_id"] for r in given}, []
+        for i, p in up.items():
+            if p is not None and p not in up:
+                out.append((p, i, 0))
+            depth = 1
+            while p in up and p != i and depth <= most:
+                out.append((p, i, depth))
+                p, depth = up[p], depth + 1
+        return out
+
+    one = tree.where("function_id IS NOT NULL").select("file", "function_id", "id", "parent_id")
+    made = by_shape(one, ["file", "function_id"], run, "anc long, desc long, depth long", ["id", "parent_id"], "id", shifted=["anc", "desc"])
+    made = durable(spark, made.select(*pairs), "tree")
+    inside = made.where("depth > 0")
+    free = tree.where("function_id IS NULL AND parent_id IS NOT NULL").select("file", F.col("parent_id").alias("anc"), F.col("id").alias("desc"))
+    leaves = durable(spark, made.where("depth = 0").select("file", "anc", "desc").unionByName(free), "leaves")
+    if not leaves.limit(1).count():
+        return inside
+    # (file, desc, top, k): the node at or above each node where its function is left
+    tops = leaves.select("file", F.col("desc").alias("top")).join(inside.select("file", F.col("anc").alias("top"), "desc", F.col("depth").alias("k")), ["file", "top"])
+    tops = durable(spark, tops.select("file", "desc", "top", "k").unionByName(leaves.select("file", "desc", F.col("desc").alias("top"), F.lit(0).cast("long").alias("k"))), "tops")
+    links = leaves.withColumnsRenamed({"desc": "low", "anc": "desc"}).join(tops, ["file", "desc"])
+    far = _doubled(spark, links.select("file", F.col("top").alias("anc"), F.col("low").alias("desc"), (F.col("k") + 1).alias("depth")), most)
+    far = far.unionByName(leaves.select("file", F.col("desc").alias("anc"), "desc", F.lit(0).cast("long").alias("depth")))
+    # the parents of a top and of all tops above it, and what is above these in their functions
+    out = leaves.withColumnsRenamed({"anc": "up", "desc": "anc"}).join(far, ["file", "anc"])
+    out = out.select("file", F.col("up").alias("anc"), F.col("desc").alias("top"), (F.col("depth") + 1).alias("depth"))
+    over = inside.select("file", "anc", F.col("desc").alias("mid"), F.col("depth").alias("d"))
+    more = out.withColumnRenamed("anc", "mid").join(over, ["file", "mid"]).select("file", "anc", "top", (F.col("depth") + F.col("d")).alias("depth"))
+    out = out.unionByName(more).join(tops, ["file", "top"]).select("file", "anc", "desc", (F.col("depth") + F.col("k")).alias("depth"))
+    return inside.unionByName(durable(spark, out.where((F.col("anc") != F.col("desc")) & (F.col("depth") <= most)), "tree"))
 
 
 def reach(

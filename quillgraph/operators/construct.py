@@ -1,7 +1,7 @@
 """Control flow and data flow from syntax trees.
 
-Control flow is built a function at a time (one Arrow group of (file, function), bounded by the size of a source
-function).  Statements become points from the last one backwards, so each knows what follows it; straight runs of
+Control flow is built a function at a time (one group of (file, function), bounded by the size of a source function; equal
+functions once a task).  Statements become points from the last one backwards, so each knows what follows it; straight runs of
 points are then blocks.  Data flow joins definitions and uses of a variable in a function where the blocks allow it.
 
 Defined results: a function without statements has an entry and an exit block; kinds that are not listed are plain
@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators import cfg
+from quillgraph.operators.groups import by_shape
 from quillgraph.plans.graph import Graph
 
 #: Functions that never return (fixed values).
 NORETURN = ["abort", "exit", "_exit", "_Exit", "quick_exit", "longjmp", "siglongjmp", "pthread_exit", "thrd_exit", "__assert_fail"]
+#: Stands between the fields of a node while they are one text.
+FIELD_MARK = "\x1f"
 #: Kinds whose evaluation may raise.
 RAISING = {"Call", "NewExpr", "Throw", "DeleteExpr"}
 #: Languages whose cases run on into the next one.
@@ -316,37 +319,32 @@ def control_flow(graph: Graph, extra: list[str] = ()) -> DataFrame:
     """(file, function, what, a, b, arm, kind): rows of blocks (a), of nodes in blocks (a in b) and of edges (a to b)."""
     n = graph.nodes.where("function_id IS NOT NULL")
     names = noreturn_names(graph).withColumn("_own", F.lit(True))
-    cols = ["id", "kind", "node_type", "name", "text", "operator", "loop_kind", "lang", "children", F.col("field_names").alias("fields")]
-    # texts are asked only of names
-    rows = n.select("file", F.col("function_id").alias("function"), *cols).withColumn("text", F.when(F.col("kind") == "Identifier", F.col("text")))
+    cols = ["id", "kind", "node_type", "name", "text", "operator", "loop_kind", "lang", "children"]
+    fields = F.array_join("field_names", FIELD_MARK, "").alias("fields")
+    rows = n.select("file", F.col("function_id").alias("function"), F.col("function_id").alias("root"), *cols, fields)
     # calls alone are asked, by file and name: a file with many nodes is no group of its own
     called = (F.col("kind") == "Call") & F.col("name").isNotNull()
     rest = rows.where(~F.coalesce(called, F.lit(False))).withColumn("_own", F.lit(None).cast("boolean"))
     rows = rows.where(called).join(names, ["file", "name"], "left").select(rest.columns).unionByName(rest)
-    given = {*NORETURN, *extra}
-
-    def run(key, t):
-        import pyarrow as pa
-
-        table = t.to_pydict()
-        fields = ("kind", "node_type", "name", "text", "operator", "loop_kind", "children", "fields")
-        tree = {i: {f: table[f][k] for f in fields} for k, i in enumerate(table["id"])}
-        for x in tree.values():
-            x["children"], x["fields"] = x["children"] or [], x["fields"] or []
-        root, out = key[1].as_py(), []
-        own = {name for name, mark in zip(table["name"], table["_own"], strict=True) if mark}
-        if root in tree:
-            nodes, edges = function_flow(tree, root, table["lang"][0] or "c", given | own)
-            out += [("block", b, None, None, None) for b in range(len(nodes))]
-            out += [("node", x, b, None, None) for b, held in enumerate(nodes) for x in held]
-            out += [("edge", *e) for e in edges]
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        arrays = [pa.array(c, ty) for c, ty in zip(columns, types, strict=True)]
-        head = [pa.array([key[0].as_py()] * len(out), pa.string()), pa.array([root] * len(out), pa.int64())]
-        return pa.table(head + arrays, names=["file", "function", "what", "a", "b", "arm", "kind"])
-
-    return rows.groupBy("file", "function").applyInArrow(run, "file string, function long, what string, a long, b long, arm long, kind string")
+    # texts are asked only of identifiers, names also of calls that don't return: these have one name
+    ends = (F.col("kind") == "Call") & (F.col("name").isin(*NORETURN, *extra) | F.coalesce("_own", F.lit(False)))
+    word = F.col("kind") == "Identifier"
+    rows = rows.withColumns({"text": F.when(word, F.col("text")), "name": F.when(ends, F.lit(NORETURN[0])).when(word, F.col("name"))})
+
+    def run(given):
+        tree, root = {r["id"]: r for r in given}, given[0]["root"]
+        for x in given:
+            x["fields"] = (x["fields"] or "").split(FIELD_MARK)
+        if root not in tree:
+            return []
+        nodes, edges = function_flow(tree, root, given[0]["lang"] or "c")
+        out = [("block", None, b, None, None, None) for b in range(len(nodes))]
+        out += [("node", x, None, b, None, None) for b, held in enumerate(nodes) for x in held]
+        return out + [("edge", None, *e) for e in edges]
+
+    words = ["kind", "node_type", "name", "text", "operator", "loop_kind", "lang", "fields"]
+    out = by_shape(rows, ["file", "function"], run, "what string, node long, a long, b long, arm long, kind string", ["id", "root"], "id", ["children"], words, ["node"])
+    return out.select("file", "function", "what", F.coalesce("node", "a").alias("a"), "b", "arm", "kind")
 
 
 def with_control_flow(graph: Graph, extra: list[str] = ()) -> Graph:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators.analyses import arguments, conditions
 from quillgraph.operators.closure import durable, reach
-from quillgraph.operators.dfg import subtree
 from quillgraph.plans.graph import Graph
 
 #: A capacity that isn't known.
@@ -34,45 +33,50 @@ def opposite(op: Column) -> Column:
     return _mapped(op, {"<": ">=", "<=": ">", ">": "<=", ">=": "<", "==": "!=", "!=": "=="})
 
 
+def _below(graph: Graph, tops: DataFrame, top: str, node: str) -> DataFrame:
+    """``tops`` (file, top, ...) once for each node at or below ``top``, which is in ``node``."""
+    down = graph.ancestry.select("file", F.col("anc").alias(top), F.col("desc").alias(node))
+    return tops.withColumn(node, F.col(top)).unionByName(tops.join(down, ["file", top]))
+
+
 def occurrences(graph: Graph, values: DataFrame, places: DataFrame) -> DataFrame:
     """(file, value, place): the places (file, value, place) that stand for the value: itself, or what a flow from
     below the value reaches below the place."""
-    below = subtree(graph)
-    start = values.select("file", "value").distinct().join(below.withColumnsRenamed({"top": "value", "node": "seed"}), ["file", "value"])
+    places = durable(graph.spark, places.distinct(), "guards")
+    start = durable(graph.spark, _below(graph, values.select("file", "value").distinct(), "value", "seed"), "guards")
     hit = reach(graph.spark, start.select("file", "seed"), graph.table("dfg_edges"), ["file"])
     reached = start.join(hit, ["file", "seed"]).where(F.col("node") != F.col("value")).select("file", "value", "node").distinct()
-    inner = places.distinct().join(below.withColumnRenamed("top", "place"), ["file", "place"])
     same = places.where(F.col("place") == F.col("value")).select("file", "value", "place")
+    inner = _below(graph, places.select("file", "value", "place"), "place", "node")
     return inner.join(reached, ["file", "value", "node"], "left_semi").select("file", "value", "place").unionByName(same).distinct()
 
 
 def _roots(graph: Graph, asked: DataFrame) -> DataFrame:
     """``asked`` with the condition of each guard (its own where it has no children) and whether the target is in
     its consequence."""
-    n = graph.nodes
-    tested = conditions(graph).select("file", F.col("id").alias("guard"), F.coalesce("condition", "id").alias("root"))
-    asked = durable(graph.spark, asked, "guards")
-    rows = asked.join(tested, ["file", "guard"])
     at = F.array_position(F.coalesce("field_names", F.array().cast("array<string>")), "consequence").cast("int")
-    then = n.select("file", F.col("id").alias("guard"), F.when(at > 0, F.get("children", at - 1)).alias("top")).where("top IS NOT NULL")
-    inside = then.join(subtree(graph), ["file", "top"]).select("file", "guard", F.col("node").alias("target"), F.lit(True).alias("then"))
-    rows = rows.join(inside.distinct(), ["file", "guard", "target"], "left").withColumn("then", F.coalesce("then", F.lit(False)))
-    return durable(graph.spark, rows, "guards")
+    tested = conditions(graph, more={"top": F.when(at > 0, F.get("children", at - 1))})
+    tested = tested.select("file", F.col("id").alias("guard"), F.coalesce("condition", "id").alias("root"), "top")
+    rows = durable(graph.spark, asked.join(tested, ["file", "guard"]), "guards")
+    inside = graph.ancestry.select("file", F.col("anc").alias("top"), F.col("desc").alias("target"))
+    inside = rows.select("file", "top", "target").distinct().join(inside, ["file", "top", "target"]).withColumn("then", F.lit(True))
+    rows = rows.join(inside, ["file", "top", "target"], "left")
+    rows = rows.withColumn("then", F.coalesce(F.col("then") | (F.col("top") == F.col("target")), F.col("top") == F.col("target"), F.lit(False)))
+    return durable(graph.spark, rows.drop("top"), "guards")
 
 
 def _occurrence(graph: Graph, rows: DataFrame) -> DataFrame:
     """``rows`` with ``found``: in the condition, a length call of the value, or else an identifier that stands for it;
     the last in order of id where there are several."""
-    n = graph.nodes
-    spots = rows.select("file", "guard", "value", "root").distinct().join(subtree(graph).withColumnRenamed("top", "root"), ["file", "root"])
-    named = n.select("file", F.col("id").alias("node"), "kind", "name")
-    spots = spots.join(named, ["file", "node"])
+    spots = _below(graph, rows.select("file", "guard", "value", "root").distinct(), "root", "node")
+    named = graph.nodes.where("kind IN ('Call', 'Identifier')").select("file", F.col("id").alias("node"), "kind", "name")
+    spots = durable(graph.spark, spots.join(named, ["file", "node"]), "guards")
     sites = graph.table("call_sites").groupBy("file", F.col("call_id").alias("node")).agg(F.max("callee").alias("callee"))
     calls = spots.where("kind = 'Call'").join(sites, ["file", "node"], "left").where(F.coalesce("callee", "name").isin(LENGTH_CALLS))
-    calls = calls.join(arguments(graph).withColumnRenamed("call", "node"), ["file", "node"]).withColumn("place", F.explode("args"))
+    calls = calls.join(arguments(graph, "Call").withColumnRenamed("call", "node"), ["file", "node"]).withColumn("place", F.explode("args"))
     plain = spots.where("kind = 'Identifier'").withColumn("place", F.col("node"))
     both = calls.select("file", "guard", "value", "node", "place", F.lit(1).alias("rank"))
-    both = both.unionByName(plain.select("file", "guard", "value", "node", "place", F.lit(0).alias("rank")))
+    both = durable(graph.spark, both.unionByName(plain.select("file", "guard", "value", "node", "place", F.lit(0).alias("rank"))), "guards")
     known = occurrences(graph, rows, both.select("file", "value", "place"))
     best = both.join(known, ["file", "value", "place"], "left_semi").groupBy("file", "guard", "value").agg(F.max_by("node", F.struct("rank", "node")).alias("found"))
     return durable(graph.spark, rows.join(best, ["file", "guard", "value"], "left"), "guards")
@@ -83,20 +87,24 @@ def _comparison(graph: Graph, rows: DataFrame) -> DataFrame:
     branch taken, and its sides."""
     n = graph.nodes.where((F.col("kind") == "BinaryOp") & F.col("operator").isin("<", "<=", ">", ">=", "==", "!=") & (F.size("children") >= 2))
     n = n.select("file", F.col("id").alias("binop"), "operator", F.get("children", F.lit(0)).alias("left"), F.element_at("children", -1).alias("right"))
-    up = graph.ancestry.select("file", F.col("desc").alias("found"), F.col("anc").alias("binop"), "depth").join(n, ["file", "binop"])
+    found = rows.where("found IS NOT NULL").select("file", "guard", "found").distinct()
+    # all that is asked below lies above what was found
+    above = graph.ancestry.select("file", F.col("desc").alias("found"), "anc", "depth").join(found.select("file", "found").distinct(), ["file", "found"], "left_semi")
+    above = durable(graph.spark, above, "guards")
+    near = above.withColumnRenamed("anc", "binop").join(n, ["file", "binop"])
     # the comparison lies below the guard
-    inside = graph.ancestry.select("file", F.col("anc").alias("guard"), F.col("desc").alias("binop"))
-    cases = rows.where("found IS NOT NULL").select("file", "guard", "found").distinct().join(up, ["file", "found"]).join(inside, ["file", "guard", "binop"])
-    side = subtree(graph).withColumnRenamed("node", "found")
+    guard = above.select("file", "found", F.col("anc").alias("guard"), F.col("depth").alias("high"))
+    cases = found.join(guard, ["file", "guard", "found"]).join(near, ["file", "found"]).where("depth < high")
     for name in ("left", "right"):
-        held = side.select("file", F.col("top").alias(name), "found", F.lit(True).alias(f"in_{name}"))
-        cases = cases.join(held, ["file", name, "found"], "left")
+        held = above.select("file", "found", F.col("anc").alias(name), F.lit(True).alias("_held"))
+        cases = cases.join(held, ["file", "found", name], "left")
+        cases = cases.withColumn(f"in_{name}", (F.col(name) == F.col("found")) | F.coalesce("_held", F.lit(False))).drop("_held")
     cases = cases.where("in_left OR in_right")
     near = cases.groupBy("file", "guard", "found").agg(F.min_by(F.struct("operator", "left", "right", "in_left"), "depth").alias("c"))
     on_left = F.coalesce(F.col("c.in_left"), F.lit(False))
     op = F.when(on_left, F.col("c.operator")).otherwise(flipped(F.col("c.operator")))
     out = rows.join(near, ["file", "guard", "found"], "left").withColumn("op", F.when(F.col("then"), op).otherwise(opposite(op)))
-    return out.withColumns({"side": F.when(on_left, F.col("c.left")).otherwise(F.col("c.right")), "bound": F.when(on_left, F.col("c.right")).otherwise(F.col("c.left"))})
+    out = out.withColumns({"side": F.when(on_left, F.col("c.left")).otherwise(F.col("c.right")), "bound": F.when(on_left, F.col("c.right")).otherwise(F.col("c.left"))})
     return durable(graph.spark, out.drop("c"), "guards")
 
 

@@ -116,7 +116,7 @@ class Graph:
         """(file, anc, desc, depth) of all strict ancestors."""
         from quillgraph.operators.closure import ancestors
 
-        return ancestors(self.spark, self.nodes.select("file", "id", "parent_id"))
+        return ancestors(self.spark, self.nodes.select("file", "id", "parent_id", "function_id"))
 
     def _once(self, df: DataFrame, name: str) -> DataFrame:
         from quillgraph.operators.closure import durable
