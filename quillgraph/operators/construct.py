@@ -384,13 +384,17 @@ def data_flow(graph: Graph) -> DataFrame:
     around = around.unionByName(every.where("src <> dst").select("file", "function", F.col("src").alias("b"), F.col("dst").alias("a")).join(reach, ["file", "function", "a", "b"]).select("file", "function", F.col("b").alias("a"), "b"))
     ways = reach.where("a <> b").unionByName(around).distinct().withColumn("_way", F.lit(True))
     place = graph.table("block_nodes").select("file", F.col("node_id").alias("node"), "block_ord")
-    spot = graph.nodes.select("file", F.col("id").alias("node"), F.struct("line", "column", "id").alias("at"))
-
-    def located(df, block, at, node):
-        out = df.join(spot, ["file", "node"]).join(place, ["file", "node"], "left")
+    # only nodes of these kinds define or use
+    spot = graph.nodes.where(F.col("kind").isin("ParamDef", "LocalDef", "Assign", "Identifier"))
+    spot = spot.select("file", F.col("id").alias("node"), F.struct("line", "column", "id").alias("at"))
+    ends = definitions(graph).withColumn("_def", F.lit(True)).unionByName(uses(graph).withColumn("_def", F.lit(False)))
+    ends = graph._once(ends.join(spot, ["file", "node"]).join(place, ["file", "node"], "left"), "ends")
+
+    def located(is_def, block, at, node):
+        out = ends.where(F.col("_def") == is_def)
         return out.select("file", "function", "variable", F.col("block_ord").alias(block), F.col("at").alias(at), F.col("node").alias(node))
 
-    pairs = located(definitions(graph), "a", "_from", "src").join(located(uses(graph), "b", "_to", "dst"), ["file", "function", "variable"])
+    pairs = located(True, "a", "_from", "src").join(located(False, "b", "_to", "dst"), ["file", "function", "variable"])
     # parameters stand before every block
     entry = F.coalesce("a", F.lit(0))
     pairs = pairs.withColumn("_first", F.col("_from") <= F.col("_to"))
