@@ -50,3 +50,12 @@ def test_callees_by_brute_force(spark):
     assert {(r.file, r.call_node): (r.target_file, r.target) for r in out.collect()} == {k: v[3:] for k, v in want.items()}
     # definitions are reduced to one row a key before calls meet them
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [key") >= 2
+
+
+def test_code_writes_parts_not_nodes(spark, parts_dir):
+    graph = views.code(spark, parts_dir)
+    for name in ("nodes", "dfg_edges", "cfg_edges", "meta_cpp"):
+        assert all("quillgraph-parts" in f for f in graph.table(name).inputFiles())
+    assert views.code(spark, parts_dir) is graph
+    rows = graph.nodes.where("id = 64 * 30 + 8")
+    assert rows.exceptAll(views.source(spark, parts_dir).nodes.where("id = 64 * 30 + 8")).isEmpty() and rows.count() == 1
