@@ -176,45 +176,54 @@ def number(text: str) -> int | None:
     return value if type(value) is int and -(1 << 63) <= value < 1 << 63 else None
 
 
+def folded(given: list[dict]) -> dict[int, int | None]:
+    """Values of the expressions of one function, bottom up; None where there is none."""
+    rows = {r["id"]: r for r in given}
+    known: dict[int, int | None] = {}
+
+    def own(i: int) -> int | None:
+        r = rows[i]
+        below = r["children"]
+        # of a binary operator the outer children count, of what has one operand the last
+        values = [known.get(c) for c in (below if len(below) < 2 else [below[0], below[-1]] if r["kind"] == "BinaryOp" else below[-1:])]
+        if r["kind"] == "Literal":
+            if r["lit_kind"] == "Null":
+                return 0
+            if r["lit_kind"] == "Bool":
+                return int((r["text"] or "").lower() == "true")
+            return number(r["text"] or "") if r["lit_kind"] == "Int" else None
+        if r["kind"] in ("Cast",) or r["node_type"] == "parenthesized_expression":
+            return values[-1] if values else None
+        if r["kind"] in ("BinaryOp", "UnaryOp") and values and None not in values:
+            return fold(r["operator"], values)
+        return None
+
+    for i in rows:
+        todo = [i]
+        while todo:
+            x = todo[-1]
+            wait = [c for c in rows[x]["children"] if c in rows and c not in known and c != x]
+            if wait and x not in known:
+                known[x] = None  # a cycle has no value
+                todo += wait
+                continue
+            todo.pop()
+            known[x] = own(x)
+    return known
+
+
+#: Kinds whose nodes may have a constant value; parentheses may as well.
+VALUED = ["Literal", "BinaryOp", "UnaryOp", "Cast"]
+
+
 def constants(graph: Graph) -> DataFrame:
     """(file, node, value): integer values of constant expressions, bottom up, one function (or a file's
     top level) a group, equal functions once: an expression never leaves its function."""
 
     def run(given):
-        rows = {r["id"]: r for r in given}
-        known: dict[int, int | None] = {}
-
-        def own(i: int) -> int | None:
-            r = rows[i]
-            below = r["children"]
-            # of a binary operator the outer children count, of what has one operand the last
-            values = [known.get(c) for c in (below if len(below) < 2 else [below[0], below[-1]] if r["kind"] == "BinaryOp" else below[-1:])]
-            if r["kind"] == "Literal":
-                if r["lit_kind"] == "Null":
-                    return 0
-                if r["lit_kind"] == "Bool":
-                    return int((r["text"] or "").lower() == "true")
-                return number(r["text"] or "") if r["lit_kind"] == "Int" else None
-            if r["kind"] in ("Cast",) or r["node_type"] == "parenthesized_expression":
-                return values[-1] if values else None
-            if r["kind"] in ("BinaryOp", "UnaryOp") and values and None not in values:
-                return fold(r["operator"], values)
-            return None
-
-        for i in rows:
-            todo = [i]
-            while todo:
-                x = todo[-1]
-                wait = [c for c in rows[x]["children"] if c in rows and c not in known and c != x]
-                if wait and x not in known:
-                    known[x] = None  # a cycle has no value
-                    todo += wait
-                    continue
-                todo.pop()
-                known[x] = own(x)
-        return [(i, v) for i, v in known.items() if v is not None]
-
-    n = graph.nodes.where(F.col("kind").isin("Literal", "BinaryOp", "UnaryOp", "Cast") | (F.col("node_type") == "parenthesized_expression"))
+        return [(i, v) for i, v in folded(given).items() if v is not None]
+
+    n = graph.nodes.where(F.col("kind").isin(VALUED) | (F.col("node_type") == "parenthesized_expression"))
     word = F.when(F.col("kind") == "Literal", F.col("text")).alias("text")
     n = n.select("file", F.coalesce("function_id", F.lit(-1)).alias("fn"), "id", "kind", "node_type", "lit_kind", word, "operator", "children")
     out = by_shape(n, ["file", "fn"], run, "node long, value long", ["id"], "id", ["children"], ["kind", "node_type", "lit_kind", "text", "operator"], ["node"])

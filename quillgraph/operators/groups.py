@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 KEPT, WORDS = 64 << 20, 1 << 20
 
 
-def by_shape(df: DataFrame, keys: list[str], run: Callable[[list[dict]], list[tuple]], schema: str, ids: list[str], base: str | None = None, lists: list[str] = (), words: list[str] = (), shifted: list[str] = ()) -> DataFrame:
+def by_shape(df: DataFrame, keys: list[str], run: Callable[[list[dict]], list[tuple]], schema: str, ids: list[str], base: str | None = None, lists: list[str] = (), words: list[str] = (), shifted: list[str] = (), order: list[str] = ()) -> DataFrame:
     """``keys`` (text, long) and ``schema`` of what ``run`` makes of the rows of each group.
 
     ids: columns of longs, lists: of lists of longs; both are given to ``run`` less the least ``base`` of the group
-    (as they are without), which is added again to the columns ``shifted`` of its result.  words: columns of texts."""
+    (as they are without), which is added again to the columns ``shifted`` of its result.  words: columns of texts.
+    order: columns by which rows of equal ``base`` are sorted, for rows that are to make equal shapes."""
     columns = [*dict.fromkeys([*ids, *lists, *words])]
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [x.split()[1] for x in schema.split(", ")]
@@ -119,5 +120,5 @@ def by_shape(df: DataFrame, keys: list[str], run: Callable[[list[dict]], list[tu
                 made.append(pc.add(column, back) if name in shifted else column)
             yield pa.RecordBatch.from_arrays(made, names=[*keys, *names])
 
-    given = df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *([base] if base else ids))
+    given = df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *([base] if base else ids), *order)
     return given.mapInArrow(stream, f"{keys[0]} string, {keys[1]} long, {schema}")
