@@ -150,17 +150,20 @@ class Compiler:
             sides[var] = env
         env, bound = sides[names[0]], {names[0]}
         for var in names[1:]:
-            env = self.join(env, sides[var], bound, var, [t for t in tests if var in variables(t) and variables(t) <= bound | {var}])
+            env, met = self.join(env, sides[var], bound, var, [t for t in tests if var in variables(t) and variables(t) <= bound | {var}])
+            tests = [t for t in tests if t is not met]
             bound.add(var)
             for t in [t for t in tests if variables(t) <= bound]:
                 env = self.keep(env, t, bound)
                 tests.remove(t)
         return env.select("file", *names)
 
-    def join(self, env: DataFrame, side: DataFrame, bound: set[str], var: str, tests: list) -> DataFrame:
-        """Equi-join on the file and every key that the tests imply between ``var`` and what is bound."""
+    def join(self, env: DataFrame, side: DataFrame, bound: set[str], var: str, tests: list) -> tuple[DataFrame, object]:
+        """Equi-join on the file and every key that the tests imply between ``var`` and what is bound; and the test of
+        ancestry that the join has met, if any.  Of ancestry and a function the pairs of ancestors are joined: a function
+        has many more pairs of nodes than that."""
         on = []
-        ancestors = None
+        ancestors = met = None
         for t in tests:
             match t:
                 case L.Method(L.Var(a), name, (L.Var(b),)) if name in {"same_function", *PAIR_FACTS, "same_block"} and var in (a, b) and a != b:
@@ -169,15 +172,16 @@ class Compiler:
                 case L.Compare("==", L.Method(L.Var(a), "id", ()), L.Method(L.Var(b), "id", ())) if var in (a, b) and a != b:
                     on.append(F.col(f"{a}.id") == F.col(f"{b}.id"))
                 case L.Method(L.Var(low), "has_ancestor", (L.Method(L.Var(high), "id", ()),)) if var in (low, high) and low != high:
-                    ancestors = ancestors or (low, high)
+                    ancestors, met = ancestors or (low, high), met or t
         side = side.withColumnRenamed("file", "_file")
-        if ancestors is None or on:
-            return env.join(side, [F.col("file") == F.col("_file"), *on]).drop("_file")
+        if ancestors is None:
+            return env.join(side, [F.col("file") == F.col("_file"), *on]).drop("_file"), None
         low, high = ancestors
         pairs = self.graph.ancestry.select(F.col("file").alias("_f"), "anc", "desc")
         known, other = (low, "desc") if low in bound else (high, "anc"), (high, "anc") if low in bound else (low, "desc")
         env = env.join(pairs, (F.col("file") == F.col("_f")) & (F.col(f"{known[0]}.id") == F.col(known[1])))
-        return env.join(side, (F.col("_f") == F.col("_file")) & (F.col(f"{other[0]}.id") == F.col(other[1]))).drop("_file", "_f", "anc", "desc")
+        on = [F.col("_f") == F.col("_file"), F.col(f"{other[0]}.id") == F.col(other[1]), *on]
+        return env.join(side, on).drop("_file", "_f", "anc", "desc"), met
 
     def keep(self, env: DataFrame, test, bound: set[str]) -> DataFrame:
         columns = env.columns
@@ -316,8 +320,8 @@ class Compiler:
             side = self.keep(side, t, {var})
             tests.remove(t)
         linked = [t for t in tests if var in variables(t)]
-        inner = self.join(outer, side, set(used), var, linked)
-        for t in tests:
+        inner, met = self.join(outer, side, set(used), var, linked)
+        for t in [t for t in tests if t is not met]:
             inner = self.keep(inner, t, {*used, var})
         mark = f"_m{next(self._fresh)}"
         hits = inner.select(*keys).distinct().withColumn(mark, F.lit(True))

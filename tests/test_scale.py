@@ -6,6 +6,7 @@ import pytest
 
 from quillgraph.operators import analyses
 from quillgraph.plans import catalogue, views
+from quillgraph.plans.compiler import Compiler, run_rules
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +60,12 @@ def test_code_writes_parts_not_nodes(spark, parts_dir):
     assert views.code(spark, parts_dir) is graph
     rows = graph.nodes.where("id = 64 * 30 + 8")
     assert rows.exceptAll(views.source(spark, parts_dir).nodes.where("id = 64 * 30 + 8")).isEmpty() and rows.count() == 1
+
+
+def test_ancestry_is_joined_once_and_not_by_function(spark, parts_dir, monkeypatch):
+    marks, mark = [], Compiler.mark
+    monkeypatch.setattr(Compiler, "mark", lambda self, *a: marks.append(a) or mark(self, *a))
+    graph = views.code(spark, parts_dir)
+    rule = 'find g: Conditional, t: Call where g.same_function(t) and t.has_ancestor(g.id()) and t.name() == "use"'
+    out = run_rules(graph, f'rule "r" {{ severity: low {rule} }}')
+    assert not marks and out.count() == 2 * 12_000
