@@ -46,10 +46,11 @@ MAX_CALLS = 10_000
 
 class Value:
     """What an expression stands for: a node (its struct column), a scalar, or a constant; a size is an integer,
-    or else the text of an expression (``text``); ``meta`` names a node's side table."""
+    or else the text of an expression (``text``); ``meta`` names a node's side table, ``name`` the column of a
+    node that was navigated to."""
 
-    def __init__(self, kind: str, column: Column | None = None, constant=None, text: Column | None = None, meta: str | None = None):
-        self.kind, self.column, self.constant, self.text, self.meta = kind, column, constant, text, meta
+    def __init__(self, kind: str, column: Column | None = None, constant=None, text: Column | None = None, meta: str | None = None, name: str | None = None):
+        self.kind, self.column, self.constant, self.text, self.meta, self.name = kind, column, constant, text, meta, name
 
 
 def variables(e) -> set[str]:
@@ -120,6 +121,8 @@ class Compiler:
     def __init__(self, graph: Graph, rules: L.RuleSet, depth: int = 64):
         self.graph, self.rules, self.depth = graph, rules, depth
         self._fresh, self._calls = count(), 0
+        #: Columns of the nodes that expressions stand for; a test that repeats an expression joins it once.
+        self._nodes: dict[object, str] = {}
 
     # environments
 
@@ -231,14 +234,19 @@ class Compiler:
             return env, F.col(f"{e.name}.id").isNotNull()
         if isinstance(e, L.Quantified):
             body = negated(e.body, e.every)
+            outer, self._nodes = self._nodes, {}
             env, some = self.exists(env, e.var, e.type, body, bound)
+            self._nodes = outer
             return env, ~some if e.every else some
         if isinstance(e, L.Let):
             env, v = self.value(env, e.value, bound)
             if v.kind != "node":
                 return env, F.lit(False)
             env = env.withColumn(e.var, v.column)
+            # the name may have stood for another node
+            outer, self._nodes = self._nodes, {}
             env, body = self.truth(env, e.body, bound | {e.var})
+            self._nodes = outer
             return env, F.col(f"{e.var}.id").isNotNull() & body
         if isinstance(e, L.Matches):
             return self.matches(env, e, bound)
@@ -349,12 +357,17 @@ class Compiler:
         if isinstance(e, L.Method):
             if e.name in RELATIONS:
                 return self.relation(env, e, bound)
+            if self._nodes.get(e) in env.columns:
+                return env, Value("node", F.col(self._nodes[e]))
             env, of = self.value(env, e.of, bound)
             if of.meta is not None:
                 return self.side_table(env, of, e.name)
             if of.kind != "node":
                 return env, Value("null", F.lit(None).cast("string"))
-            return self.method(env, of.column, e, bound)
+            env, v = self.method(env, of.column, e, bound)
+            if v.name is not None:
+                self._nodes[e] = v.name
+            return env, v
         if isinstance(e, (L.Pattern, L.Many, L.Apply)):
             raise RuleError("a pattern or a list stands only after 'in'")
         env, c = self.truth(env, e, bound)
@@ -366,7 +379,7 @@ class Compiler:
         nodes = self.graph.nodes.select(F.col("file").alias(f"{name}f"), F.col("id").alias(f"{name}i"), F.struct(*NODE_FIELDS).alias(name))
         env = env.withColumn(f"{name}k", ident)
         env = env.join(nodes, (F.col("file") == F.col(f"{name}f")) & (F.col(f"{name}k") == F.col(f"{name}i")), "left")
-        return env.drop(f"{name}f", f"{name}i", f"{name}k"), Value("node", F.col(name))
+        return env.drop(f"{name}f", f"{name}i", f"{name}k"), Value("node", F.col(name), name=name)
 
     def method(self, env: DataFrame, node: Column, e: L.Method, bound: set[str]) -> tuple[DataFrame, Value]:
         name = e.name
@@ -560,7 +573,10 @@ class Compiler:
         word = F.coalesce(node["name"], node["text"])
         env, a = self.look(env, called, [(node["id"], "call_id")], "hit")
         env, b = self.look(env, local, [(node["function_id"], "function_id"), (word, "name")], "hit")
-        env, c = self.look(env, anywhere, [(word, "name")], "hit")
+        # the file is searched for what its function lacks; other rows are dealt by their ids, not all of a word to one task
+        lacks = F.coalesce(a.isNull() & b.isNull() & (node["kind"] == "Identifier"), F.lit(False))
+        spread = F.when(lacks, F.lit(0).cast("long")).otherwise(node["id"])
+        env, c = self.look(env, anywhere.withColumn("spread", F.lit(0).cast("long")), [(F.when(lacks, word), "name"), (spread, "spread")], "hit")
         return self.step(env, node, F.coalesce(a, F.when(node["kind"] == "Identifier", F.coalesce(b, c))))
 
     # relations between bound nodes

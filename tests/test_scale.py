@@ -69,3 +69,13 @@ def test_ancestry_is_joined_once_and_not_by_function(spark, parts_dir, monkeypat
     rule = 'find g: Conditional, t: Call where g.same_function(t) and t.has_ancestor(g.id()) and t.name() == "use"'
     out = run_rules(graph, f'rule "r" {{ severity: low {rule} }}')
     assert not marks and out.count() == 2 * 12_000
+
+
+def test_repeated_navigation_is_joined_once(spark, parts_dir, monkeypatch):
+    steps, step = [], Compiler.step
+    monkeypatch.setattr(Compiler, "step", lambda self, *a: steps.append(a) or step(self, *a))
+    out = catalogue.queries()["name_refers_to"](spark, parts_dir)
+    # the declaration and the parent
+    assert len(steps) == 2
+    # words that their function declares are not sent to the one task of the word
+    assert "spread" in out._jdf.queryExecution().analyzed().toString()
