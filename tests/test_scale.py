@@ -3,10 +3,12 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillgraph.operators import analyses
+from quillgraph.operators import analyses, calls
 from quillgraph.plans import catalogue, views
 from quillgraph.plans.compiler import Compiler, run_rules
+from quillgraph.plans.graph import Graph
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +81,37 @@ def test_repeated_navigation_is_joined_once(spark, parts_dir, monkeypatch):
     assert len(steps) == 2
     # words that their function declares are not sent to the one task of the word
     assert "spread" in out._jdf.queryExecution().analyzed().toString()
+
+
+def ends_of(spark, rows):
+    """A graph of (file, id, kind, channel) ends, each with an identifier below it."""
+    nodes = [(f, i, k, None, None) for f, i, k, _ in rows] + [(f, -i, "Identifier", c, i) for f, i, _, c in rows]
+    return Graph(spark, {"nodes": spark.createDataFrame(nodes, "file string, id long, kind string, text string, parent_id long")})
+
+
+def test_channels_by_brute_force(spark, monkeypatch):
+    for name, size in (("TILE", 4), ("RUN", 3), ("PAIRS", 20), ("ENDS", 7)):
+        monkeypatch.setattr(calls, name, size)
+    kinds = ("SendStmt", "ReceiveExpr", "ReceiveExpr")
+    rows = [(f"f{i % 2}", i, kinds[i % 3], (None, "a", "a", "a", "b", "c")[i * i % 11 % 6]) for i in range(1, 90)]
+    rows += [("g", 100 + i, "SendStmt", "a") for i in range(5)] + [("h", 110 + i, "ReceiveExpr", "a") for i in range(5)]
+    want = sorted((f, a, b, c) for f, a, k, c in rows for g, b, m, d in rows if (k, m) == kinds[:2] and f == g and c == d is not None)
+    assert len(want) > 100 and sorted(map(tuple, calls.channels(ends_of(spark, rows)).collect())) == want
+    # one that sends and receives is paired with itself; without ends of a side there is nothing
+    some = ends_of(spark, [("f", 1, "Both", "a"), ("f", 2, "ReceiveExpr", "a")])
+    both = calls.channels(some, send=F.col("kind") == "Both", receive=F.col("kind").isin("Both", "ReceiveExpr"))
+    assert sorted((r.src, r.dst) for r in both.collect()) == [(1, 1), (1, 2)]
+    assert calls.channels(ends_of(spark, [("f", 1, "SendStmt", "a")])).isEmpty()
+
+
+def test_a_large_channel_is_dealt_out_and_written_small(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(calls, "TILE", 500)
+    monkeypatch.setattr(calls, "PAIRS", 500_000)
+    n = spark.range(4000).selectExpr("'f' AS file", "id * 2 + 1 AS id", "IF(id % 2 = 0, 'SendStmt', 'ReceiveExpr') AS kind", "NULL AS text", "NULL AS parent_id")
+    n = n.unionByName(n.selectExpr("file", "id + 1 AS id", "'Identifier' AS kind", "'a' AS text", "id AS parent_id"))
+    calls.channels(Graph(spark, {"nodes": n})).select("file", "src", "dst").write.parquet(f"{tmp_path}/out")
+    files = list((tmp_path / "out").glob("part-*.parquet"))
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.distinct().count() == out.count() == 2000 * 2000
+    # a plain join's pairs took 3.1 bytes each on 60 copies of part
+    assert sum(f.stat().st_size for f in files) < 2000 * 2000 and len(files) > 1
