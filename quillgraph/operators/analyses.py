@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.kinds import NULLABLE_CALLS
-from quillgraph.operators.closure import nearest_seed, reach
+from quillgraph.operators.closure import durable, nearest_seed, reach
 from quillgraph.operators.groups import by_shape
 from quillgraph.plans.graph import Graph
 
@@ -117,6 +117,41 @@ def conditions(graph: Graph, kinds: list[str] | None = None, more: dict[str, Col
     return nodes.select("file", "id", F.coalesce(named, F.get("children", F.lit(0))).alias("condition"), *given)
 
 
+def guarding(graph: Graph, kinds: list[str]) -> DataFrame:
+    """(file, desc, condition) of the nearest node of the kinds at or above each node, up to 512 edges away.
+
+    One pass over functions finds it; pairs of ancestors are joined only for nodes whose way up leaves their function
+    before it meets a guard.  Nodes without a function stand with the function that they are, or alone."""
+    guard = F.col("kind").isin(kinds)
+    more = {"fn": F.coalesce("function_id", "id"), "parent_id": F.col("parent_id"), "tag": F.when(guard, "guard")}
+    rows = conditions(graph, more=more).withColumn("condition", F.when(F.col("tag").isNotNull(), F.col("condition")))
+
+    def run(given):
+        rows = {r["id"]: r for r in given}
+        # (guard, edges to it, whether the way up leaves the rows)
+        best = {i: (i, 0, False) for i, r in rows.items() if r["tag"] is not None}
+        for i in rows:
+            way, met = {}, i
+            while met in rows and met not in best and met not in way:
+                way[met] = None
+                met = rows[met]["parent_id"]
+            above, far, left = best.get(met, (None, 0, met is not None and met not in rows))
+            for x in reversed(way):
+                far += 1
+                best[x] = above, far, left
+        held = [(i, rows[g]["condition"], 1) for i, (g, far, _) in best.items() if g is not None and far <= 512]
+        return held + [(i, None, 0) for i, (g, _, left) in best.items() if g is None and left]
+
+    done = by_shape(rows, ["file", "fn"], run, "desc long, condition long, held long", ["id", "parent_id", "condition"], "id", words=["tag"], shifted=["desc", "condition"])
+    done = durable(graph.spark, done.drop("fn"), "guarding")
+    found, rest = done.where("held = 1").drop("held"), done.where("held = 0").select("file", "desc")
+    if rest.isEmpty():
+        return found
+    own = conditions(graph, kinds).withColumnRenamed("id", "anc")
+    above = graph.ancestry.join(rest, ["file", "desc"], "left_semi").join(own, ["file", "anc"])
+    return found.unionByName(above.groupBy("file", "desc").agg(F.min_by("condition", "depth").alias("condition")))
+
+
 def block_conditions(graph: Graph) -> DataFrame:
     """(file, function, src, value): blocks of two or more normal successors that hold a constant condition."""
     normal = graph.table("cfg_edges").where("kind IS NULL OR kind <> 'exception'")

@@ -449,7 +449,7 @@ class Compiler:
             return env, Value("int", place["block"])
         if name in ("branch_condition", "loop_condition", "guard_evals_true", "guard_evals_false"):
             kinds = {"branch_condition": ["Conditional", "Switch"], "loop_condition": ["Loop"]}.get(name, GUARDS)
-            env, condition = self.look(env, self.guarding(kinds), [(node["id"], "desc")], "condition")
+            env, condition = self.look(env, analyses.guarding(self.graph, kinds), [(node["id"], "desc")], "condition")
             if name.endswith("condition"):
                 return self.step(env, node, condition)
             env, v = self.look(env, self.graph.constants, [(condition, "node")], "value")
@@ -487,13 +487,6 @@ class Compiler:
             return env, Value("bool", F.when(row["here"], F.coalesce(row[field], F.lit(False))))
         return env, Value("str", F.get(row[field], F.lit(0)) if type_.startswith("array") else row[field])
 
-    def guarding(self, kinds: list[str]) -> DataFrame:
-        """(file, desc, condition) of the nearest node of the kinds at or above each node."""
-        own = analyses.conditions(self.graph, kinds)
-        above = self.graph.ancestry.join(own.withColumnRenamed("id", "anc"), ["file", "anc"]).select("file", "desc", "depth", "condition")
-        near = above.unionByName(own.select("file", F.col("id").alias("desc"), F.lit(0).cast("long").alias("depth"), "condition"))
-        return near.groupBy("file", "desc").agg(F.min_by("condition", "depth").alias("condition"))
-
     def guard(self, env, node, e, bound):
         """excludes_zero(value, target) and bounds_value(value, target, capacity) of the guard ``node``."""
         columns = []

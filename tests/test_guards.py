@@ -3,6 +3,7 @@
 import random
 
 from quillgraph.operators import guards
+from quillgraph.operators.analyses import conditions, guarding
 from quillgraph.plans.graph import Graph
 
 NODES = "file string, id long, kind string, node_type string, name string, text string, parent_id long, function_id long, operator string, lit_kind string, children array<long>, field_names array<string>"
@@ -83,3 +84,35 @@ def test_pass_needs_no_join_of_ancestors(spark, monkeypatch):
     graph = Graph(spark, {"nodes": spark.createDataFrame([tuple(x[c] for c in columns) for x in nodes], NODES), "dfg_edges": spark.createDataFrame(flows, "file string, src long, dst long")})
     guards.excludes_zero(graph, spark.createDataFrame(asked, "file string, guard long, value long, target long, capacity long"))
     assert "ancestry" not in vars(graph) and "constants" not in vars(graph)
+
+
+def test_nearest_guards_by_brute_force(spark):
+    rng, rows = random.Random(7), []
+    for f in ("f", "g"):
+        for i in range(120):
+            # functions of ten nodes whose ways up stay inside, leave them, end in a cycle or at a node without function
+            up = rng.choice([None, i - i % 10, rng.randrange(i - i % 10, i + 1), rng.randrange(120), i - 1])
+            kind = rng.choice(["Conditional", "Loop", "Call", "Call", "Call", "MethodDef"])
+            fields = ["x", "condition"] if i % 4 == 0 else []
+            rows.append((f, i, kind, None if i % 10 == 9 else i - i % 10, up, [1000 + i, 2000 + i][: i % 3], fields))
+    n = spark.createDataFrame(rows, "file string, id long, kind string, function_id long, parent_id long, children array<long>, field_names array<string>")
+    graph = Graph(spark, {"nodes": n})
+    for kinds in (["Conditional"], ["Conditional", "Loop"]):
+        at = {(r.file, r.id): r.condition for r in conditions(graph, kinds).collect()}
+        parents, want = {r[:2]: r[4] for r in rows}, {}
+        for f, i, *_ in rows:
+            p, seen = i, set()
+            while p is not None and p not in seen and (f, p) not in at:
+                seen.add(p)
+                p = parents.get((f, p))
+            if (f, p) in at:
+                want[f, i] = at[f, p]
+        out = [tuple(r) for r in guarding(graph, kinds).collect()]
+        assert len(out) == len(want) and {(f, d): c for f, d, c in out} == want
+
+
+def test_guards_inside_functions_need_no_ancestors(spark):
+    rows = [("f", 1, "MethodDef", 1, None, [2]), ("f", 2, "Loop", 1, 1, [3, 4]), ("f", 3, "Literal", 1, 2, []), ("f", 4, "Call", 1, 2, []), ("f", 5, "Call", 1, 1, [])]
+    graph = Graph(spark, {"nodes": spark.createDataFrame(rows, "file string, id long, kind string, function_id long, parent_id long, children array<long>")})
+    assert sorted(map(tuple, guarding(graph, ["Loop"]).collect())) == [("f", i, 3) for i in (2, 3, 4)]
+    assert "ancestry" not in graph.__dict__
